@@ -87,3 +87,37 @@ def nearest_state(peaks: DataFrame, states: DataFrame, row_keys: Sequence[str],
 
 
 FWHM_PER_SIGMA = 2.0 * math.sqrt(2.0 * math.log(2.0))
+
+
+def validate_mean_spectra(means: DataFrame, axis: Sequence[float], lo: float, hi: float, min_fwhm: float = 0.5,
+                          y: str = "intensity") -> DataFrame:
+    """Cluster mean spectra: only empty or dark ones are rejected; position and width just warn.
+
+    The main peak is the highest local maximum with 5 % prominence, else with 1 %, else the highest channel.
+    """
+    top = F.array_max(y)
+    d = find_peaks(means, y)
+
+    def highest(share: float) -> Column:
+        kept = F.filter("peaks", lambda p: p["prominence"] >= share * top)
+        best = F.array_max(F.transform(kept, lambda p: F.struct(p["height"].alias("h"), (-p["i"]).alias("m"))))
+        return -best["m"]
+
+    at = F.coalesce(highest(0.05), highest(0.01), F.array_position(F.col(y), top).cast("int") - 1)
+    energy = F.array(*[F.lit(float(e)) for e in axis])
+    d = d.withColumn("_k", at).withColumn("valid", F.coalesce((F.size(y) > 0) & (top >= 1e-6), F.lit(False)))
+    d = d.withColumn("peak_ev", F.get(energy, F.col("_k")))
+    half = F.get(y, F.col("_k")) / 2.0
+    n = F.size(y)
+    # channels around the peak that stay above half its height
+    left = F.aggregate(F.sequence(F.col("_k"), F.lit(0), F.lit(-1)), F.struct(F.col("_k").alias("i"), F.lit(True).alias("go")),
+                       lambda s, j: F.struct(F.when(s["go"] & (F.get(y, j) >= half), j).otherwise(s["i"]).alias("i"),
+                                             (s["go"] & (F.get(y, j) >= half)).alias("go")))["i"]
+    right = F.aggregate(F.sequence(F.col("_k"), n - 1), F.struct(F.col("_k").alias("i"), F.lit(True).alias("go")),
+                        lambda s, j: F.struct(F.when(s["go"] & (F.get(y, j) >= half), j).otherwise(s["i"]).alias("i"),
+                                              (s["go"] & (F.get(y, j) >= half)).alias("go")))["i"]
+    width = (F.get(energy, right) - F.get(energy, left)).cast("double")
+    outside = ~F.col("peak_ev").between(lo, hi)
+    return d.withColumn("fwhm_ev", F.abs(width)).withColumn("out_of_range", outside).withColumn(
+        "warnings", F.array_compact(F.array(F.when(outside, "peak outside expected range"),
+                                            F.when(F.abs(width) < min_fwhm, "narrow peak")))).drop("_k", "peaks")

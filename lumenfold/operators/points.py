@@ -19,13 +19,17 @@ def whole(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys)
 
 
+def _field_array(array: str, field: str) -> Column:
+    return F.transform(array, lambda p: p[field])
+
+
 def pack(points: DataFrame, keys: Sequence[str] = KEYS, columns: Sequence[str] = ("energy", "intensity"),
          carry: Sequence[str] = ()) -> DataFrame:
     """Points -> one row per spectrum; arrays are ordered by channel index."""
     items = F.array_sort(F.collect_list(F.struct("i", *columns)))
     out = points.groupBy(*keys).agg(items.alias("_p"), *[F.first(c).alias(c) for c in carry])
     # transform (not plain field access) keeps Catalyst from inlining the extraction into every element access
-    return out.select(*keys, *carry, *[F.transform("_p", lambda p, c=c: p[c]).alias(c) for c in columns])
+    return out.select(*keys, *carry, *[_field_array("_p", c).alias(c) for c in columns])
 
 
 def unpack(packed: DataFrame, columns: Sequence[str] = ("energy", "intensity")) -> DataFrame:

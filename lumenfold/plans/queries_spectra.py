@@ -384,7 +384,7 @@ def gate_issue_counts(spark, sf):
 
 @query("gate_alerts", f"""WITH {PTS}, {GATE_SQL}
 SELECT instrument, CAST(sweep AS BIGINT) AS sweep, CASE WHEN nc > 0 THEN 'critical: ' || nc || ' issues, first: ' || (CASE WHEN n < 10 THEN 'too few points' ELSE 'signal to noise unusable' END)
-WHEN flag = 'failed' THEN 'failed' WHEN flag = 'poor' THEN 'poor: ' || (nw + lowres) || ' issues' WHEN nw > 0 THEN flag || ': ' || nw || ' warnings' ELSE flag END AS alert FROM g4""")
+WHEN flag = 'failed' THEN 'failed' WHEN flag = 'poor' THEN 'poor, ' || (nw + lowres) || ' issues' WHEN nw > 0 THEN flag || ': ' || nw || ' warnings' ELSE flag END AS alert FROM g4""")
 def gate_alerts(spark, sf):
     from lumenfold.functions.scalars import gate_alert
     g = gated(spark, sf)
