@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.points import materialise
 
 def find_peaks(packed: DataFrame, y: str = "intensity", out: str = "peaks") -> DataFrame:
     """Add ARRAY<STRUCT<i, height, prominence>> of inner local maxima (plateaus count once, at their middle)."""
@@ -43,7 +44,7 @@ def find_peaks(packed: DataFrame, y: str = "intensity", out: str = "peaks") -> D
         (F.get(a, k) - F.greatest(base(F.sequence(k - 1, F.lit(0)), k), base(F.sequence(k + 1, n - 1), k)))
         .alias("prominence")))
     none = F.array().cast("array<struct<i:int,height:double,prominence:double>>")
-    return packed.withColumn(out, F.when(n >= 3, peaks).otherwise(none))
+    return materialise(packed, **{out: F.when(n >= 3, peaks).otherwise(none)})
 
 
 def dominant_peak(peaks: Column, threshold: Column) -> Column:

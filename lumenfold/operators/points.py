@@ -19,8 +19,15 @@ def whole(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys)
 
 
-def _field_array(array: str, field: str) -> Column:
-    return F.transform(array, lambda p: p[field])
+def materialise(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add computed columns through a one-element generator.
+
+    The optimizer pushes filters and merges projections by copying an expression into each place that uses it. For
+    array functions that would repeat the work per element, so such columns go through a generator, which it
+    does not look into. No shuffle and no Python is involved.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
 
 
 def pack(points: DataFrame, keys: Sequence[str] = KEYS, columns: Sequence[str] = ("energy", "intensity"),
@@ -28,8 +35,7 @@ def pack(points: DataFrame, keys: Sequence[str] = KEYS, columns: Sequence[str] =
     """Points -> one row per spectrum; arrays are ordered by channel index."""
     items = F.array_sort(F.collect_list(F.struct("i", *columns)))
     out = points.groupBy(*keys).agg(items.alias("_p"), *[F.first(c).alias(c) for c in carry])
-    # transform (not plain field access) keeps Catalyst from inlining the extraction into every element access
-    return out.select(*keys, *carry, *[_field_array("_p", c).alias(c) for c in columns])
+    return materialise(out, **{c: F.col("_p")[c] for c in columns}).select(*keys, *carry, *columns)
 
 
 def unpack(packed: DataFrame, columns: Sequence[str] = ("energy", "intensity")) -> DataFrame:

@@ -94,11 +94,11 @@ def map_summary(spark, sf):
 
 # ---- masks ------------------------------------------------------------------
 
-@query("mask_low_counts", f"""WITH {MAP}, t AS (SELECT vec_id, round(sum(v), 9) AS s FROM mp GROUP BY 1) SELECT vec_id, s >= 3 AS mask, CASE WHEN s >= 3 THEN round(s, 8) ELSE 0 END AS total FROM t""")
+@query("mask_low_counts", f"""WITH {MAP}, t AS (SELECT vec_id, sum(v) AS s FROM mp GROUP BY 1) SELECT vec_id, s >= 3 AS mask, CASE WHEN s >= 3 THEN round(s, 4) + 0e0 ELSE 0 END AS total FROM t""")
 def mask_low_counts(spark, sf):
     m = map_spectra(spark, sf).withColumn("mask", mp.low_count_mask(F.col("intensity"), 3.0))
     z = m.withColumn("intensity", mp.zero_masked(F.col("mask"), F.col("intensity")))
-    return z.select("vec_id", "mask", rnd(sc.array_sum(F.col("intensity")), 8).alias("total"))
+    return z.select("vec_id", "mask", rnd(sc.array_sum(F.col("intensity")), 4).alias("total"))
 
 
 @query("mask_intensity", f"""WITH {MAP}, t AS (SELECT vec_id, sum(v) AS s, avg(v) AS m FROM mp GROUP BY 1) SELECT vec_id, s > 32e-1 AS by_total, m > 45e-3 AS by_mean FROM t""")
