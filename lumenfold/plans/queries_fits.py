@@ -209,14 +209,14 @@ def fit_line_shapes(spark, sf):
 
 @query("run_spectra_to_composition", f"""WITH {PTS}{shirley_sql(5)}, sg AS (SELECT instrument, sweep, any_value(sample) AS sample, any_value(region) AS region, any_value(layer) AS layer, count(*) AS n, 0 AS z FROM sh GROUP BY 1, 2),
 s1 AS (SELECT *, (energy - lag(energy) OVER w) * (intensity - b + lag(intensity - b) OVER w) / 2 AS s FROM sh WINDOW w AS (PARTITION BY instrument, sweep ORDER BY i)), ar AS (SELECT instrument, sweep, abs(coalesce(sum(s), 0)) AS area FROM s1 GROUP BY 1, 2),
-f(region, f) AS (VALUES ('C1s', 6631e-3), ('O1s', 16007e-3), ('F1s', 22267e-3), ('N1s', 22814e-3), ('Si2p', 19281e-3)), nm AS (SELECT sample, layer, region, area / f AS q FROM sg JOIN ar USING (instrument, sweep) JOIN f USING (region) WHERE n >= 40)
+f(region, f) AS (VALUES ('C1s', 6631e-3), ('O1s', 16007e-3), ('F1s', 22267e-3), ('N1s', 22814e-3), ('Si2p', 19281e-3)), nm AS (SELECT sample, layer, region, area / f AS q FROM sg JOIN ar USING (instrument, sweep) JOIN f USING (region))
 SELECT sample, layer, region, round(CASE WHEN sum(q) OVER w > 0 THEN q / sum(q) OVER w * 100 ELSE 0 END, 4) + 0e0 AS atomic_percent FROM nm WINDOW w AS (PARTITION BY sample, layer)""")
 def run_spectra_to_composition(spark, sf):
     """Spectra -> background -> area -> sensitivity factor -> atomic percent, in one plan."""
     from lumenfold.operators.background import background
     from lumenfold.operators.quant import atomic_percent
     from lumenfold.schemas import rsf_table
-    p = background(recorded_points(spark, sf), KEYS, "shirley").withColumn("_n", F.count("*").over(pt.whole(KEYS))).filter("_n >= 40")
+    p = background(recorded_points(spark, sf), KEYS, "shirley")
     area = labelled(pt.trapezoid(p, KEYS, y="corrected"))
     pct = atomic_percent(area, rsf_table(spark), factor="corrected_rsf")
     return pct.select("sample", "layer", "region", rnd("atomic_percent", 4).alias("atomic_percent"))

@@ -413,9 +413,9 @@ er AS (SELECT a.y, a.x, count(*) FILTER (b.m) = 4 AS m FROM ms a JOIN ms b ON b.
 di AS (SELECT a.y, a.x, bool_or(b.m) AS m FROM er a JOIN er b ON b.y - a.y IN (0, 1) AND b.x - a.x IN (0, 1) GROUP BY 1, 2)"""
 
 
-@query("image_net_ratio", f"WITH {IMG} SELECT y, x, round(value - 5e-1 * off, 6) + 0e0 AS net, round((value - 5e-1 * off) / (off + 1e-9), 4) + 0e0 AS ratio FROM im WHERE off > 0")
+@query("image_net_ratio", f"WITH {IMG} SELECT y, x, round(value - 5e-1 * off, 6) + 0e0 AS net, round((value - 5e-1 * off) / (off + 1e-9), 4) + 0e0 AS ratio FROM im")
 def image_net_ratio(spark, sf):
-    n = im.net_and_ratio(map_pixels(spark, sf, 0), map_pixels(spark, sf, 1).filter(F.col("value") > 0), PX, 0.5)
+    n = im.net_and_ratio(map_pixels(spark, sf, 0), map_pixels(spark, sf, 1), PX, 0.5)
     return n.select(*PX, rnd("net", 6).alias("net"), rnd("ratio", 4).alias("ratio"))
 
 

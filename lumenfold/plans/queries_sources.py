@@ -107,24 +107,25 @@ def source_parser_choice(spark, sf):
         *KEYS, F.when(short, "?").otherwise(F.col("parser")).alias("parser"), F.when(short, 0).otherwise(F.col("m")).alias("n_points"))
 
 
-@query("source_aggregated", f"""WITH {PTS}, k AS (SELECT instrument, sweep FROM pts GROUP BY 1, 2 HAVING count(*) >= 5) SELECT instrument, 'scan_L' || layer AS label, layer, i, round(raw, 4) + 0e0 AS intensity FROM pts JOIN k USING (instrument, sweep) WHERE sweep < 2""")
+@query("source_aggregated", f"""WITH {PTS}, k AS (SELECT instrument, sweep FROM pts GROUP BY 1, 2 HAVING count(*) >= 5) SELECT instrument, CAST(sweep // 2 AS BIGINT) AS export, 'scan_L' || (sweep % 2 + 1) AS label, CAST(sweep % 2 + 1 AS INTEGER) AS layer, i, round(raw, 4) + 0e0 AS intensity FROM pts JOIN k USING (instrument, sweep)""")
 def source_aggregated(spark, sf):
-    p = recorded_points(spark, sf).filter("sweep < 2")
-    wide = p.groupBy("instrument", "i").pivot("sweep", [0, 1]).agg(F.first("raw"))
-    wide = wide.select("instrument", F.col("i").cast("string").alias("Binding_Energy_eV"), F.coalesce(F.col("0").cast("string"), F.lit("nan")).alias("Intensity_scan_L1"), F.col("1").cast("string").alias("scan_L2_cps"))
+    """Pairs of sweeps as one combined export with two intensity columns, read back as single spectra."""
+    p = recorded_points(spark, sf).withColumn("export", F.floor(F.col("sweep") / 2)).withColumn("_k", F.pmod("sweep", F.lit(2)))
+    wide = p.groupBy("instrument", "export", "i").pivot("_k", [0, 1]).agg(F.first("raw"))
+    wide = wide.select("instrument", "export", F.col("i").cast("string").alias("Binding_Energy_eV"), F.coalesce(F.col("0").cast("string"), F.lit("nan")).alias("Intensity_scan_L1"), F.col("1").cast("string").alias("scan_L2_cps"))
     z = tx.unpivot_aggregated(wide)
-    return z.select("instrument", "label", "layer", F.col("energy").cast("int").alias("i"), rnd("intensity", 4).alias("intensity"))
+    return z.select("instrument", "export", "label", "layer", F.col("energy").cast("int").alias("i"), rnd("intensity", 4).alias("intensity"))
 
 
-@query("source_map_text", f"""WITH {MAP}, k AS (SELECT y, x, vec_id, CAST(sum(v) AS DOUBLE) AS t, max(v) AS m FROM mp GROUP BY 1, 2, 3), ex AS (SELECT y AS f, unnest(range(25)) AS x FROM (SELECT DISTINCT y FROM k))
-SELECT ex.f AS file, CAST(ex.x // 5 AS INTEGER) AS y, CAST(ex.x % 5 AS INTEGER) AS x, 'C1s' AS region, round(CASE WHEN ex.x < 24 THEN coalesce(t, 0) ELSE 0 END, 4) + 0e0 AS total, CASE WHEN ex.f % 2 = 0 THEN 300e0 ELSE 295e0 END AS last_ev FROM ex LEFT JOIN k ON k.y = ex.f AND k.x = ex.x""")
+@query("source_map_text", f"""WITH {MAP}, k AS (SELECT y, x, vec_id, CAST(sum(v) AS DOUBLE) AS t, max(v) AS m FROM mp GROUP BY 1, 2, 3), ex AS (SELECT y AS f, unnest(range(30)) AS x FROM (SELECT DISTINCT y FROM k))
+SELECT ex.f AS file, CAST(ex.x // 5 AS INTEGER) AS y, CAST(ex.x % 5 AS INTEGER) AS x, 'C1s' AS region, round(coalesce(t, 0), 4) + 0e0 AS total, CASE WHEN ex.f % 2 = 0 THEN 300e0 ELSE 295e0 END AS last_ev FROM ex LEFT JOIN k ON k.y = ex.f AND k.x = ex.x""")
 def source_map_text(spark, sf):
-    """Each line of the map becomes a file of 5 x 5 pixels with its last pixel missing; even files carry an energy row."""
+    """Each line of the map becomes a file of 5 x 6 pixels whose last row is missing; even files carry an energy row."""
     m = map_spectra(spark, sf)
     w = F.struct("x", numbers_text(F.col("intensity"), " ").alias("t"))
-    f = m.filter("x < 24").groupBy("y").agg(F.array_sort(F.collect_list(w)).alias("r"))  # at most 24 pixels per file
+    f = m.groupBy("y").agg(F.array_sort(F.collect_list(w)).alias("r"))  # one line of the map: its width in pixels
     axis = F.when(F.pmod("y", F.lit(2)) == 0, F.concat(F.lit("# binding energy\n"), numbers_text(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda c: 281.1 + 0.3 * c)), F.lit("\n"))).otherwise("")
-    text = F.concat(F.lit("map of 12-Mar\nC 1s\n0.0\n1.0\n5\n0.0, 1.0\n5\n# comment\n"), axis, F.array_join(F.transform("r", lambda p: p["t"]), "\n"))
+    text = F.concat(F.lit("map of 12-Mar\nC 1s\n0.0\n1.0\n5\n0.0, 1.0\n6\n# comment\n"), axis, F.array_join(F.transform("r", lambda p: p["t"]), "\n"))
     d = pt.materialise(f.select(F.col("y").alias("file"), text.alias("text")), lines=tx.lines_of(F.col("text")))
     maps = tx.parse_maps(d)
     last = maps.select("file", F.round(F.element_at("energy", -1), 4).alias("last_ev"))

@@ -460,12 +460,9 @@ pq AS (SELECT pa.*, peak_height / (b + 1e-10) AS peak_to_baseline, peak_height /
 
 
 @query("quality_peak", f"""WITH {PTS}{shirley_sql(5)}, {PEAKQ_SQL}
-SELECT pq.instrument, CAST(pq.sweep AS BIGINT) AS sweep, round(peak_height, 4) + 0e0 AS peak_height, round(peak_fwhm, 4) + 0e0 AS peak_fwhm, round(peak_to_baseline, 3) + 0e0 AS peak_to_baseline, round(dynamic_range, 4) + 0e0 AS dynamic_range FROM pq
-WHERE (SELECT count(*) FROM pts p WHERE p.instrument = pq.instrument AND p.sweep = pq.sweep) >= 20""")
+SELECT pq.instrument, CAST(pq.sweep AS BIGINT) AS sweep, round(peak_height, 4) + 0e0 AS peak_height, round(peak_fwhm, 4) + 0e0 AS peak_fwhm, round(peak_to_baseline, 3) + 0e0 AS peak_to_baseline, round(dynamic_range, 4) + 0e0 AS dynamic_range FROM pq""")
 def quality_peak(spark, sf):
-    p = recorded_points(spark, sf)
-    long = p.withColumn("_n", F.count("*").over(pt.whole(KEYS))).filter("_n >= 20").drop("_n")
-    q = ql.peak_metrics(long, KEYS)
+    q = ql.peak_metrics(recorded_points(spark, sf), KEYS)
     return q.select(*KEYS, rnd("peak_height", 4).alias("peak_height"), rnd("peak_fwhm", 4).alias("peak_fwhm"),
                     rnd("peak_to_baseline", 3).alias("peak_to_baseline"), rnd("dynamic_range", 4).alias("dynamic_range"))
 
