@@ -38,10 +38,7 @@ REGION_TOKEN = r"([A-Za-z][a-z]?)(\d)([spdfSPDF])"
 
 def region_token(text: Column) -> Column:
     """First element-orbital token in canonical case (c1S -> C1s), NULL when absent."""
-    element = F.initcap(F.lower(F.regexp_extract(text, REGION_TOKEN, 1)))
-    level = F.regexp_extract(text, REGION_TOKEN, 2)
-    orbital = F.lower(F.regexp_extract(text, REGION_TOKEN, 3))
-    return F.when(level != "", F.concat(element, level, orbital))
+    return F.initcap(F.nullif(F.regexp_extract(text, REGION_TOKEN, 0), F.lit("")))
 
 
 def region_token_count(text: Column) -> Column:

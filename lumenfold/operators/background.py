@@ -10,43 +10,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.fixed_values import TOUGAARD_B, TOUGAARD_C
-from lumenfold.operators.points import along, whole
+from lumenfold.operators.points import backwards, whole
 
 
 def integral_to_end(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> DataFrame:
-    """Trapezoid integral from each channel to the last one (0 on the last)."""
-    w = along(keys)
-    seg = F.coalesce((F.lead(x).over(w) - F.col(x)) * (F.col(y) + F.lead(y).over(w)) / 2.0, F.lit(0.0))
-    tail = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn("_seg", seg).withColumn(out, F.sum("_seg").over(tail)).drop("_seg")
+    """Trapezoid integral from each channel to the last one (0 on the last).
 
-
-def _end_levels(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    g = whole(keys)
-    df = df.withColumn("_n", F.count("*").over(g))
-    m = F.greatest(F.lit(1), F.least(F.lit(7), F.floor(F.col("_n") / 5)))
-    return (
-        df.withColumn("_m", m)
-        .withColumn("_yl", F.avg(F.when(F.col("i") < F.col("_m"), F.col("intensity"))).over(g))
-        .withColumn("_yr", F.avg(F.when(F.col("i") >= F.col("_n") - F.col("_m"), F.col("intensity"))).over(g))
-    )
+    The window runs backwards, so the integral is a running sum and not a sum over all later rows per row.
+    """
+    w = backwards(keys)
+    seg = F.coalesce((F.lag(x).over(w) - F.col(x)) * (F.col(y) + F.lag(y).over(w)) / 2.0, F.lit(0.0))
+    return df.withColumn("_seg", seg).withColumn(out, F.sum("_seg").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_seg")
 
 
 def shirley_steps(points: DataFrame, keys: Sequence[str], steps: int = 5, out: str = "background",
                   clamp: bool = True) -> DataFrame:
-    """Shirley background with a fixed number of steps, all windows on one partitioning (ascending energy)."""
-    g = whole(keys)
-    df = _end_levels(points, keys)
-    line = F.when(F.col("_n") > 1, F.col("_yl") + (F.col("_yr") - F.col("_yl")) * F.col("i") / (F.col("_n") - 1)) \
-        .otherwise(F.col("_yl"))
+    """Shirley background with a fixed number of steps on ascending energies.
+
+    Every window runs backwards over the same partitioning, so the steps add no shuffle and no sort, and the
+    integral is a running sum; a step costs two window operators.
+    """
+    w = backwards(keys)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    y, i = F.col("intensity"), F.col("i")
+    df = points.withColumns({"_n": F.count("*").over(full), "_dx": F.lag("energy").over(w) - F.col("energy")})
+    df = df.withColumn("_m", F.greatest(F.lit(1), F.least(F.lit(7), F.floor(F.col("_n") / 5))))
+    df = df.withColumns({"_yl": F.avg(F.when(i < F.col("_m"), y)).over(full),
+                         "_yr": F.avg(F.when(i >= F.col("_n") - F.col("_m"), y)).over(full)})
+    line = F.when(F.col("_n") > 1, F.col("_yl") + (F.col("_yr") - F.col("_yl")) * i / (F.col("_n") - 1)).otherwise(F.col("_yl"))
     df = df.withColumn("_b", line)
     for _ in range(steps):
-        df = df.withColumn("_d", F.col("intensity") - F.col("_b"))
-        df = integral_to_end(df, keys, "energy", "_d", "_s")
-        df = df.withColumn("_s0", F.max(F.when(F.col("i") == 0, F.col("_s"))).over(g))
+        df = df.withColumn("_d", y - F.col("_b"))
+        df = df.withColumn("_seg", F.coalesce(F.col("_dx") * (F.col("_d") + F.lag("_d").over(w)) / 2.0, F.lit(0.0)))
+        df = df.withColumns({"_s": F.sum("_seg").over(run), "_s0": F.sum("_seg").over(full)})
         df = df.withColumn("_b", F.col("_yr") + (F.col("_yl") - F.col("_yr")) / (F.col("_s0") + 1e-15) * F.col("_s"))
     b = F.least("_b", "intensity") if clamp else F.col("_b")
-    return df.withColumn(out, b).drop("_n", "_m", "_yl", "_yr", "_b", "_d", "_s", "_s0")
+    return df.withColumn(out, b).drop("_n", "_dx", "_m", "_yl", "_yr", "_b", "_d", "_seg", "_s", "_s0")
 
 
 def _batches_by_length(xs: pd.Series) -> Iterator[tuple[int, np.ndarray]]:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,19 +21,30 @@ from pyspark.sql import functions as F
 MAX_CHANNELS = 4096
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Arrow list column of equally long lists -> matrix without a copy per row."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def list_of(m: np.ndarray) -> pa.Array:
+    m = np.ascontiguousarray(m, dtype=float)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
 def summed_rows(df: DataFrame, column: str, product: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
     """Sum over all batches of product(batch matrix), a matrix with `width` columns, by a Spark aggregate."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for pdf in batches:
-            if len(pdf):
-                part = product(np.stack(pdf[column].to_list()).astype(float))
+        for batch in batches:
+            if batch.num_rows:
+                part = product(matrix_of(batch.column(0)))
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"r": np.arange(len(total), dtype=np.int32), "v": list(total)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), list_of(total)], names=["r", "v"])
 
-    parts = df.select(column).mapInPandas(partial, "r int, v array<double>")
+    parts = df.select(F.col(column).cast("array<double>")).mapInArrow(partial, "r int, v array<double>")
     sums = parts.groupBy("r").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
     out = np.zeros((len(sums), width))
     for row in sums:
@@ -96,11 +108,11 @@ def component_count(ratio: Sequence[float], threshold: float = 0.95, least: int
 def per_row(column: Column, fn: Callable[[np.ndarray], np.ndarray]) -> Column:
     """ARRAY<DOUBLE> -> ARRAY<DOUBLE> by a function on the matrix of an Arrow batch."""
 
-    @F.pandas_udf("array<double>")
-    def run(xs: pd.Series) -> pd.Series:
-        return pd.Series(list(fn(np.stack(xs.to_list()).astype(float))))
+    @F.arrow_udf("array<double>")
+    def run(xs: pa.Array) -> pa.Array:
+        return list_of(fn(matrix_of(xs)))
 
-    return run(column)
+    return run(column.cast("array<double>"))
 
 
 def pca_scores(column: Column, pca: PrincipalAxes) -> Column:

@@ -20,6 +20,7 @@ from lumenfold.operators.background import shirley_packed
 from lumenfold.operators.peaks import FWHM_PER_SIGMA, find_peaks
 from lumenfold.operators.points import along, materialise
 from lumenfold.operators.smooth import savgol
+from lumenfold.session import spread
 
 PARAMETERS = ("amplitude", "binding_energy", "fwhm", "eta")
 # Bounds that a template may leave out (initial, low, high).
@@ -357,7 +358,8 @@ def fit_templates(packed: DataFrame, templates: Sequence[RegionTemplate], keys:
             .withColumn("_ph", F.transform("_p", lambda p: F.get("_y", p["i"])))
     else:
         d = d.withColumn("_pe", empty).withColumn("_ph", empty)
-    d = d.select(*keys, region, "_x", "_y", "_pe", "_ph")
+    # the fit costs far more than moving its input, so it gets the session's full parallelism
+    d = spread(d.select(*keys, region, "_x", "_y", "_pe", "_ph"))
     names = [*keys, region]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

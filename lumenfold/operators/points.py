@@ -15,6 +15,10 @@ def along(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("i")
 
 
+def backwards(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(F.desc("i"))
+
+
 def whole(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys)
 

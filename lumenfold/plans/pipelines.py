@@ -58,13 +58,16 @@ def run_map(spectra: DataFrame, axis: Sequence[float], region: str, low_counts:
     keep = mp.cluster_mask(F.col("cluster"), wanted, n_clusters) if wanted else F.lit(True)
     labelled = labelled.join(F.broadcast(valid.select("cluster", "valid")), "cluster", "left")  # n_clusters rows
     labelled = labelled.withColumn("mask", F.col("mask") & F.coalesce("valid", F.lit(False)) & keep)
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
     stats = spread.crossJoin(F.broadcast(mp.entropy_statistics(spectra)))  # one row each
     wish = stats.select(mp.worth_decomposing(F.col("mean_sigma"), F.col("max_sigma"), F.col("std")).alias("run")).first()["run"]
     factor = None
     out = labelled
     if force or wish:
         k = dc.component_count(dc.fit_pca(d, 10).ratio, 0.95, most=4)
-        inside = labelled.filter("mask")
-        factor = dc.fit_mcr(inside if inside.limit(1).count() else labelled, k)
+        # every iteration reads the masked spectra once more
+        inside = labelled.filter("mask").select("intensity").persist(StorageLevel.MEMORY_AND_DISK)
+        factor = dc.fit_mcr(inside if inside.limit(1).count() else labelled.select("intensity"), k)
+        inside.unpersist()
         out = labelled.withColumn("amounts", dc.concentrations(F.col("intensity"), factor.spectra))
     return MapRun(out.drop("scores", "valid"), spread, valid, factor, factor is not None)

@@ -42,7 +42,7 @@ def source_two_column(spark, sf):
     sep = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("  ")), (F.pmod("instrument", F.lit(4)) + 1).cast("int"))
     body = F.array_join(F.zip_with("energy", "raw", lambda e, y: F.concat(e.cast("string"), sep, y.cast("string"))), "\r\n")
     d = with_lines(packed(spark, sf).drop("region", "layer"), F.concat(F.lit("# recorded\nenergy,counts\n"), body))
-    d = pt.materialise(d, points=tx.parse_two_column(F.col("lines"))).drop("lines")
+    d = tx.parse_two_column(d).drop("lines")
     return exploded(d).withColumn("region", F.coalesce("region", F.lit("-")))
 
 
@@ -50,14 +50,14 @@ def source_two_column(spark, sf):
 def source_sections(spark, sf):
     text = F.concat(F.lit("exported\n"), F.lower("region"), F.lit("\ndwell 0.1 s\n"), pairs_text(), F.lit("\nend of data\n"))
     d = with_lines(packed(spark, sf), text).drop("region", "layer")
-    return exploded(pt.materialise(d, points=tx.parse_sections(F.col("lines"))).drop("lines"))
+    return exploded(tx.parse_sections(d).drop("lines"))
 
 
 @query("source_paired_rows", LONG.format(region="region", layer="CAST(1 AS INTEGER)") + ATLEAST3)
 def source_paired_rows(spark, sf):
     text = F.concat(F.lit("\n"), "region", F.lit("\n"), numbers_text(F.col("energy")), F.lit("\n"), numbers_text(F.col("raw")), F.lit("\n"))
     d = with_lines(packed(spark, sf), text).drop("region", "layer")
-    return exploded(pt.materialise(d, points=tx.parse_paired_rows(F.col("lines"))).drop("lines"))
+    return exploded(tx.parse_paired_rows(d).drop("lines"))
 
 
 @query("source_region_table", f"""WITH {PTS}, u AS (SELECT instrument, sweep, region, i, energy, raw + 5e-1 AS v FROM pts UNION ALL SELECT instrument, sweep, 'Cl2p', i, energy - 50, raw * 2 FROM pts)

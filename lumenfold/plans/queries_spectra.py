@@ -63,7 +63,7 @@ def seq_integral_to_end(spark, sf):
 
 def shirley_sql(steps: int, clamp: bool = True) -> str:
     """CTEs ending in sh(instrument, sweep, sample, region, layer, i, energy, intensity, b)."""
-    w = "(PARTITION BY instrument, sweep ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    w = "(PARTITION BY instrument, sweep ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     o = "(PARTITION BY instrument, sweep ORDER BY i)"
     g = "(PARTITION BY instrument, sweep)"
     text = f""",

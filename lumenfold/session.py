@@ -57,3 +57,11 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inn
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over the session's shuffle partitions, ahead of work that is heavy per row.
+
+    A number of partitions that is asked for is not merged by adaptive execution, which only looks at bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

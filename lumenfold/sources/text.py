@@ -1,7 +1,7 @@
 """Text formats as column expressions: a file is one row with its lines, and parsing needs no shuffle.
 
-Each parser maps ARRAY<STRING> lines to ARRAY<STRUCT<region, layer, i, energy, intensity>>; an empty array means
-that the format was not recognised. A file's size bounds its row, and the file gate reports files beyond the limit.
+Each parser adds ARRAY<STRUCT<region, layer, i, energy, intensity>> to rows with ARRAY<STRING> lines; an empty array
+means that the format was not recognised. A file's size bounds its row, and the file gate reports files beyond the limit.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold import fixed_values as fv
-from lumenfold.functions.scalars import region_token
+from lumenfold.functions.scalars import region_token, region_token_count
 from lumenfold.operators.points import materialise
 
 POINTS = "array<struct<region:string,layer:int,i:int,energy:double,intensity:double>>"
@@ -89,60 +89,74 @@ def detect_format(extension: Column, text: Column) -> Column:
             .when(e.isin("txt", "asc", "csv", "dat"), by_text).otherwise("unknown"))
 
 
-def parse_two_column(lines: Column) -> Column:
+def prepared(files: DataFrame, lines: str = "lines") -> DataFrame:
+    """Numeric fields and region token of every line, worked out once for all parsers."""
+    if "_num" in files.columns:
+        return files
+    return materialise(files, _num=F.transform(lines, numbers), _tok=F.transform(lines, region_token))
+
+
+def parse_two_column(files: DataFrame, lines: str = "lines", out: str = "points") -> DataFrame:
     """First two numeric fields per line; comment lines are skipped."""
-    data = F.filter(lines, lambda s: ~F.trim(s).startswith("#"))
-    values = F.filter(F.transform(data, numbers), lambda v: F.size(v) >= 2)
-    return _rows(F.transform(values, _pair), F.lit(None), F.lit(1)).cast(POINTS)
+    d = prepared(files, lines)
+    kept = F.filter(F.zip_with(lines, "_num", lambda s, v: F.struct(F.ltrim(s).startswith("#").alias("c"), v.alias("v"))),
+                    lambda p: ~p["c"] & (F.size(p["v"]) >= 2))
+    return materialise(d, **{out: _rows(F.transform(kept, lambda p: _pair(p["v"])), F.lit(None), F.lit(1)).cast(POINTS)})
 
 
-def _heads(lines: Column, test: Callable[[Column], Column]) -> Column:
+def _heads(lines: Column, flags: Column) -> Column:
+    """ARRAY<STRUCT<at, end>>: flagged lines and the start of the next one."""
     n = F.size(lines)
-    at = F.filter(_up_to(F.lit(0), n - 1), lambda k: F.coalesce(test(F.get(lines, k)), F.lit(False)))
+    at = F.filter(F.transform(flags, lambda f, k: F.when(f, k)), lambda k: k.isNotNull())
     return F.transform(at, lambda k, q: F.struct(k.alias("at"), F.coalesce(F.get(at, q + 1), n).alias("end")))
 
 
-def _leading_block(body: Column, good: Callable[[Column], Column]) -> Column:
-    """Lines from the first good one up to the first that is not."""
-    start = first_where(body, good)
-    rest = F.slice(body, F.greatest(start, F.lit(0)) + 1, F.size(body))
-    stop = first_where(rest, lambda s: ~good(s))
-    return F.when(start >= 0, F.slice(rest, F.lit(1), F.when(stop >= 0, stop).otherwise(F.size(rest)))).otherwise(
-        F.array().cast("array<string>"))
-
-
-def parse_sections(lines: Column) -> Column:
+def parse_sections(files: DataFrame, lines: str = "lines", out: str = "points") -> DataFrame:
     """Region token line, metadata lines, then energy/intensity lines until the next token or a line without both."""
-    heads = _heads(lines, lambda s: region_token(s).isNotNull() & ~F.trim(s).startswith("#"))
-
-    def section(h: Column) -> Column:
-        body = F.slice(lines, h["at"] + 2, F.greatest(h["end"] - h["at"] - 1, F.lit(0)))
-        block = _leading_block(body, lambda s: F.size(numbers(s)) >= 2)
-        pairs = F.transform(block, lambda s: _pair(numbers(s)))
-        return F.when(F.size(pairs) >= 3, _rows(pairs, region_token(F.get(lines, h["at"])), F.lit(1)))
-
-    return F.flatten(F.array_compact(F.transform(heads, section))).cast(POINTS)
-
-
-def parse_paired_rows(lines: Column) -> Column:
+    d = prepared(files, lines)
+    flags = F.zip_with(lines, "_tok", lambda s, t: t.isNotNull() & ~F.ltrim(s).startswith("#"))
+    d = materialise(d, _h=_heads(F.col(lines), flags))
+    body = F.transform("_h", lambda h: F.struct(F.get("_tok", h["at"]).alias("region"), F.slice(
+        "_num", h["at"] + 2, F.greatest(h["end"] - h["at"] - 1, F.lit(0))).alias("v")))
+    d = materialise(d, _s=F.transform(body, lambda b: F.struct(b["region"].alias("region"), _leading_block(b["v"]).alias("v"))))
+    kept = F.filter("_s", lambda b: F.size(b["v"]) >= 3)
+    pts = F.flatten(F.transform(kept, lambda b: _rows(F.transform(b["v"], _pair), b["region"], F.lit(1))))
+    return materialise(d, **{out: pts.cast(POINTS)}).drop("_h", "_s")
+
+
+def _leading_block(rows: Column) -> Column:
+    """Rows from the first one with two numbers up to the first one without."""
+    good = F.transform(rows, lambda v: F.size(v) >= 2)
+    start = F.array_position(good, True).cast("int")
+    stop = F.array_position(F.slice(good, F.greatest(start, F.lit(1)), F.size(rows)), False).cast("int")
+    return F.when(start > 0, F.slice(rows, start, F.when(stop > 0, stop - 1).otherwise(F.size(rows)))).otherwise(
+        F.slice(rows, F.lit(1), F.lit(0)))
+
+
+def parse_paired_rows(files: DataFrame, lines: str = "lines", out: str = "points") -> DataFrame:
     """Region line, energy row, intensity row of equal length >= 3 with monotone energies."""
-    heads = _heads(lines, lambda s: region_token(s).isNotNull())
+    d = prepared(files, lines)
+    d = materialise(d, _h=_heads(F.col(lines), F.transform("_tok", lambda t: t.isNotNull())))
+    b = F.transform("_h", lambda h: F.struct(F.get("_tok", h["at"]).alias("region"), F.get("_num", h["at"] + 1).alias("e"),
+                                             F.get("_num", h["at"] + 2).alias("y")))
+    long = F.filter(b, lambda p: (F.size(p["e"]) >= 3) & (F.size(p["e"]) == F.size(p["y"])))
+    d = materialise(d, _b=long)
 
-    def block(h: Column) -> Column:
-        e, y = numbers(F.get(lines, h["at"] + 1)), numbers(F.get(lines, h["at"] + 2))
-        steps = F.transform(F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), lambda v, k: v - F.get(e, k))
-        monotone = F.forall(steps, lambda d: d >= 0) | F.forall(steps, lambda d: d <= 0)
-        pairs = F.zip_with(e, y, lambda a, b: F.struct(a.alias("e"), b.alias("y")))
-        return F.when((F.size(e) >= 3) & (F.size(e) == F.size(y)) & monotone,
-                      _rows(pairs, region_token(F.get(lines, h["at"])), F.lit(1)))
+    def monotone(p: Column) -> Column:
+        ascending = F.array_sort(p["e"])
+        return (p["e"] == ascending) | (p["e"] == F.reverse(ascending))
 
-    return F.flatten(F.array_compact(F.transform(heads, block))).cast(POINTS)
+    pts = F.flatten(F.transform(F.filter("_b", monotone), lambda p: _rows(
+        F.zip_with(p["e"], p["y"], lambda a, v: F.struct(a.alias("e"), v.alias("y"))), p["region"], F.lit(1))))
+    return materialise(d, **{out: pts.cast(POINTS)}).drop("_h", "_b")
 
 
 def _table(lines: Column) -> dict[str, Column]:
     """Header row of a column table (first row with two region tokens) and its column ranges."""
     rows = F.transform(lines, cells)
-    head = first_where(rows, lambda r: F.size(F.filter(r, lambda c: region_token(c).isNotNull())) >= 2)
+    # one pattern count per line; cells are only looked at where the line has two tokens
+    head = first_where(F.zip_with(lines, rows, lambda s, r: F.when(region_token_count(s) >= 2, F.size(
+        F.filter(r, lambda c: region_token(c).isNotNull())) >= 2).otherwise(False)), lambda b: b)
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     return {"rows": rows, "head": head, "width": width}
 
@@ -211,7 +225,7 @@ def parse_blocks(files: DataFrame, lines: str = "lines") -> DataFrame:
 
     A block holds metadata lines, a line with the number of points, then that many energy/intensity lines.
     """
-    heads = materialise(files, _h=_heads(F.col(lines), lambda s: s.rlike(BLOCK_HEAD)))
+    heads = materialise(files, _h=_heads(F.col(lines), F.transform(lines, lambda s: s.rlike(BLOCK_HEAD))))
     b = heads.withColumn("_b", F.explode("_h"))
     b = materialise(b, _title=F.get(lines, F.col("_b.at")), _body=F.slice(lines, F.col("_b.at") + 2, F.greatest(
         F.col("_b.end") - F.col("_b.at") - 1, F.lit(0))))
@@ -351,21 +365,21 @@ def parse_concentrations(files: DataFrame, lines: str = "lines") -> DataFrame:
 
 def parse_files(files: DataFrame, lines: str = "lines") -> DataFrame:
     """The first parser in this order that yields points wins; `parser` is NULL for files nobody can read."""
-    d = parse_depth_table(files, lines, "_p1")
+    d = parse_depth_table(prepared(files, lines), lines, "_p1")
     d = parse_region_table(d, lines, "_p2")
     deep = F.exists("_p1", lambda p: p["layer"] > 1)
-    d = materialise(d, _p3=parse_paired_rows(F.col(lines)), _p4=parse_sections(F.col(lines)), _p5=parse_two_column(F.col(lines)))
+    d = parse_two_column(parse_sections(parse_paired_rows(d, lines, "_p3"), lines, "_p4"), lines, "_p5")
     order = [("depth_table", "_p1", deep), ("region_table", "_p2", F.size("_p2") > 0), ("paired_rows", "_p3", F.size("_p3") > 0),
              ("sections", "_p4", F.size("_p4") > 0), ("two_column", "_p5", F.size("_p5") > 0)]
     name, pts = F, F
     for n, c, ok in order:
         name, pts = name.when(ok, n), pts.when(ok, F.col(c))
     d = materialise(d, parser=name.otherwise(None), points=pts.otherwise(F.array().cast(POINTS)))
-    return d.drop("_p1", "_p2", "_p3", "_p4", "_p5")
+    return d.drop("_p1", "_p2", "_p3", "_p4", "_p5", "_num", "_tok")
 
 
 def explode_points(parsed: DataFrame, points: str = "points") -> DataFrame:
-    keep = [c for c in parsed.columns if c not in (points, "lines", "text")]
+    keep = [c for c in parsed.columns if c not in (points, "lines", "text") and not c.startswith("_")]
     return parsed.select(*keep, F.inline(points))
 
 
