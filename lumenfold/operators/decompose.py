@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHANNELS = 4096
+FEW_PARTITIONS = 64
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -32,33 +34,37 @@ def list_of(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
 
-def summed_rows(df: DataFrame, column: str, product: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """Sum over all batches of product(batch matrix), a matrix with `width` columns, by a Spark aggregate."""
+def summed_rows(df: DataFrame, column: str, product: Callable[[np.ndarray], np.ndarray],
+                partitions: int | None = None) -> np.ndarray:
+    """Sum over all batches of product(batch matrix).
+
+    A partition emits its own sum once and Spark adds the sums up by matrix row. A caller that knows its data to have
+    few partitions says so, and the few partial sums are then added on the driver, which saves a shuffle per pass.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                part = product(matrix_of(batch.column(0)))
+                x = matrix_of(batch.column(0))
+                if x.shape[1] > MAX_CHANNELS:
+                    raise ValueError(f"{x.shape[1]} channels: products would not fit the driver")
+                part = product(x)
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), list_of(total)], names=["r", "v"])
 
-    parts = df.select(F.col(column).cast("array<double>")).mapInArrow(partial, "r int, v array<double>")
-    sums = parts.groupBy("r").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
-    out = np.zeros((len(sums), width))
+    source = df.select(F.col(column).cast("array<double>"))
+    parts = source.mapInArrow(partial, "r int, v array<double>")
+    if partitions is None or partitions > FEW_PARTITIONS:
+        parts = parts.groupBy("r").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    sums = parts.collect()
+    out = np.zeros((1 + max((row["r"] for row in sums), default=-1), len(sums[0]["v"]) if sums else 0))
     for row in sums:
-        out[row["r"]] = row["v"]
+        out[row["r"]] += row["v"]
     return out
 
 
-def channel_count(spectra: DataFrame, column: str = "intensity") -> int:
-    p = spectra.select(F.size(column)).first()[0]
-    if p > MAX_CHANNELS:
-        raise ValueError(f"{p} channels: covariance would not fit the driver")
-    return p
-
-
 @dataclass
 class PrincipalAxes:
     mean: np.ndarray
@@ -71,12 +77,13 @@ class PrincipalAxes:
 
 def fit_pca(spectra: DataFrame, k: int = 3, column: str = "intensity") -> PrincipalAxes:
     """Centred PCA from one pass of second moments; the largest loading of each axis is positive."""
-    p = channel_count(spectra, column)
-
     def product(x: np.ndarray) -> np.ndarray:
         return np.vstack([np.append(x.T @ x, x.sum(0)[:, None], 1), np.append(x.sum(0), len(x))[None, :]])
 
-    m = summed_rows(spectra, column, product, p + 1)
+    m = summed_rows(spectra, column, product)
+    if not len(m):
+        raise ValueError("no spectra")
+    p = m.shape[1] - 1
     n = m[-1, -1]
     mean = m[-1, :-1] / n
     second = m[:-1, :-1]
@@ -186,9 +193,21 @@ def _ols_clip(x: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 def _alternate(spectra: DataFrame, start: np.ndarray, column: str, rows: Callable, iterations: int, tol: float,
                exact_nonneg: bool) -> Factorisation | None:
-    """One aggregate job per iteration: row coefficients, their products and the residual in one pass."""
+    """One job per iteration: row coefficients, their products and the residual in one pass."""
     s = np.maximum(start, 0.0)
     k, p = s.shape
+    # read once per iteration; lost blocks are recomputed from the source
+    held = spectra.select(F.col(column).cast("array<double>").alias(column)).persist(StorageLevel.MEMORY_AND_DISK)
+    partitions = held.rdd.getNumPartitions()
+    try:
+        return _iterate(held, s, column, rows, iterations, tol, exact_nonneg, partitions)
+    finally:
+        held.unpersist()
+
+
+def _iterate(held: DataFrame, s: np.ndarray, column: str, rows: Callable, iterations: int, tol: float, exact_nonneg: bool,
+             partitions: int) -> Factorisation | None:
+    k, p = s.shape
     previous, total, resid, done = None, 0.0, 0.0, 0
     for done in range(1, iterations + 1):
         def product(x: np.ndarray, s=s) -> np.ndarray:
@@ -198,7 +217,7 @@ def _alternate(spectra: DataFrame, start: np.ndarray, column: str, rows: Callabl
             tail[:4] = (e * e).sum(), (x * x).sum(), x.sum(), x.size
             return np.vstack([np.hstack([c.T @ c, c.T @ x]), tail])
 
-        m = summed_rows(spectra, column, product, k + p)
+        m = summed_rows(held, column, product, partitions)
         if len(m) != k + 1 or not np.isfinite(m).all() or np.linalg.matrix_rank(m[:k, :k]) < k:
             return None
         resid = m[k, 0]
@@ -227,7 +246,7 @@ def fit_nmf(spectra: DataFrame, k: int, column: str = "intensity", iterations: i
         u = x @ v
         return np.vstack([(np.maximum(u, 0) ** 2).sum(0), (np.maximum(-u, 0) ** 2).sum(0)])
 
-    up, un = np.sqrt(summed_rows(spectra, column, sides, k))
+    up, un = np.sqrt(summed_rows(spectra, column, sides))
     start = np.empty((k, len(v)))
     for j in range(k):
         pos, neg = np.maximum(v[:, j], 0), np.maximum(-v[:, j], 0)

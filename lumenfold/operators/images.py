@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +136,8 @@ def process_single_energy_map(on: DataFrame, off: DataFrame | None, maps: Sequen
     """Net map, blur, Otsu mask and clean-up: (maps, y, x, value, threshold, mask)."""
     pixel = [*maps, "y", "x"]
     net = net_and_ratio(on, off, pixel).select(*pixel, F.col("net").alias("value"))
-    masked = threshold_mask(gaussian_blur(net, maps, sigma), maps)
+    # read by the histogram, the mask and the result
+    smooth = gaussian_blur(net, maps, sigma).persist(StorageLevel.MEMORY_AND_DISK)
+    masked = threshold_mask(smooth, maps)
     clean = morphology(masked, maps, op, size)
     return masked.drop("mask").join(clean, pixel)

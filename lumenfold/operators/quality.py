@@ -136,7 +136,7 @@ def gate_files(files: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     # base64 of zero bytes only has 'A' and padding, so this needs no Python and no charset
     nulls = (F.length("header") > 0) & ~F.base64("header").rlike("[^A=\\s]")
     df = files.withColumn("extension", ext).withColumn("issues", issues_of(
-        issue(size.isNull(), "critical", "file_access", "missing file"),
+        issue(size.isNull(), "critical", "file_access", "missing or empty file"),
         issue(size == 0, "critical", "file_size", "empty file"),
         issue((size > 0) & (size < t.min_file_bytes), "critical", "file_size", "file too small", size, t.min_file_bytes),
         issue(size > t.max_file_bytes, "warning", "file_size", "file very large", size, t.max_file_bytes),

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a count bounded by this many rows succeeds.
-BROADCAST_ROWS = 100_000
+# A side is broadcast only when it has at most this many rows, which is checked by reading one row more.
+BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,20 +40,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most `rows` rows; reads no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
                salts: int = 32, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach one-row-per-key statistics to a large table without moving a hot key to one task.
 
-    A checked-small `stats` is broadcast, so the large side is not shuffled at all. A larger one is
-    replicated over a fixed number of salts and the large side is salted per row, which splits every key.
+    The statistics are computed once, up to one row beyond the bound. Within the bound they become a local table and
+    are broadcast, so the large side is not shuffled. Beyond it they are copied over a fixed number of salts and the
+    large side is salted per row, which splits every key.
     """
-    if is_small(stats, rows):
-        return df.join(F.broadcast(stats), keys, how)
+    head = stats.limit(rows + 1).toArrow()
+    if head.num_rows <= rows:
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(head, stats.schema)), keys, how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")

@@ -35,6 +35,12 @@ def read_headers(spark: SparkSession, paths: str | Sequence[str], size: int = 51
     return files.select("path", "length", F.expr(f"substring(content, 1, {size})").alias("header"))
 
 
+def with_expected(headers: DataFrame, expected: DataFrame) -> DataFrame:
+    """Add the expected paths that the scan did not return. Spark's scans skip files of zero bytes, so an absent
+    file and an empty one both appear here with a NULL length, which the file gate treats as critical."""
+    return expected.select("path").distinct().join(headers, "path", "full")
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "^﻿", ""), r"\r?\n")
 
