@@ -19,21 +19,22 @@ def reference_peaks(packed: DataFrame, lo: float, hi: float, min_points: int = 2
                     prominence: float = 0.10) -> DataFrame:
     """Per spectrum: dominant smoothed peak inside [lo, hi] and the raw maximum there; NULL peak when none."""
     inside = F.filter(F.arrays_zip("energy", "intensity"), lambda p: p["energy"].between(min(lo, hi), max(lo, hi)))
-    d = materialise(packed, _z=inside).filter(F.size("_z") >= min_points)
+    d = materialise(packed, _a=inside)
+    d = materialise(d, _z=F.when(F.size("_a") >= min_points, F.col("_a")))
     d = materialise(d, _x=F.col("_z")["energy"], _y=F.col("_z")["intensity"])
     d = find_peaks(materialise(d, _s=savgol(F.col("_y"), window, 2, window)), "_s", "_p")
     d = materialise(d, _t=F.array_max("_s"))
     peak = dominant_peak(F.col("_p"), F.greatest(F.lit(1e-6), F.lit(prominence) * F.col("_t")))
     d = materialise(d, _k=peak["i"])
     return d.withColumn("peak_ev", F.when(F.col("_t") > 0, F.get("_x", F.col("_k")))).withColumn("local_max", F.array_max("_y")) \
-        .drop("_z", "_x", "_y", "_s", "_p", "_t", "_k")
+        .drop("_a", "_z", "_x", "_y", "_s", "_p", "_t", "_k")
 
 
-def _status(candidates: DataFrame, files: DataFrame, file_keys: Sequence[str], target: float, limit: float) -> DataFrame:
-    """Best candidate per file (mergeable max_by, so a file with very many spectra is combined before the shuffle)."""
-    best = candidates.filter(F.col("peak_ev").isNotNull()).groupBy(*file_keys).agg(
-        F.max_by("peak_ev", F.struct("local_max", "_tie")).alias("peak_ev"))
-    d = files.join(best, list(file_keys), "left").withColumn("attempted_shift_ev", F.lit(target) - F.col("peak_ev"))
+def _status(spectra: DataFrame, file_keys: Sequence[str], target: float, limit: float) -> DataFrame:
+    """Best candidate per file: one mergeable aggregate, so a file with very many spectra is combined before the shuffle."""
+    found = F.when(F.col("peak_ev").isNotNull(), F.struct("local_max", "_tie"))
+    d = spectra.groupBy(*file_keys).agg(F.count("*").alias("n_spectra"), F.max_by("peak_ev", found).alias("peak_ev"))
+    d = d.withColumn("attempted_shift_ev", F.lit(target) - F.col("peak_ev"))
     status = (F.when(F.col("peak_ev").isNull(), "peak_not_found")
               .when(F.abs("attempted_shift_ev") > limit, "exceeds_limit").otherwise("applied"))
     d = d.withColumn("status", status)
@@ -45,8 +46,8 @@ def calibration_table(packed: DataFrame, file_keys: Sequence[str], spectrum_keys
                       enabled: bool = True) -> DataFrame:
     """One row per file: peak, attempted and applied shift, status."""
     definitions = fv.REGION_DEFINITIONS if definitions is None else definitions
-    files = packed.groupBy(*file_keys).agg(F.count("*").alias("n_spectra"))
     if not enabled or region not in definitions:
+        files = packed.groupBy(*file_keys).agg(F.count("*").alias("n_spectra"))
         none = F.lit(None).cast("double")
         return files.withColumn("peak_ev", none).withColumn("attempted_shift_ev", none).withColumn(
             "status", F.lit("missing_reference" if enabled else "disabled")).withColumn("applied_shift_ev", F.lit(0.0))
@@ -54,7 +55,7 @@ def calibration_table(packed: DataFrame, file_keys: Sequence[str], spectrum_keys
     found = reference_peaks(packed, lo, hi)
     # the first spectrum wins among equal maxima
     tie = F.struct(*[-F.col(k) for k in spectrum_keys])
-    return _status(found.withColumn("_tie", tie), files, file_keys, target, limit)
+    return _status(found.withColumn("_tie", tie), file_keys, target, limit)
 
 
 def metallic_table(packed: DataFrame, file_keys: Sequence[str], spectrum_keys: Sequence[str], line: str = "Au4f",
@@ -71,12 +72,11 @@ def metallic_table(packed: DataFrame, file_keys: Sequence[str], spectrum_keys: S
 def edge_table(packed: DataFrame, file_keys: Sequence[str], spectrum_keys: Sequence[str], window: float = 1.0,
                limit: float = fv.MAX_SHIFT_EV) -> DataFrame:
     """Fermi edge moved to 0 eV; the spectrum with the highest maximum in the window decides."""
-    files = packed.groupBy(*file_keys).agg(F.count("*").alias("n_spectra"))
     d = packed.withColumn("_e", fit_edge(F.col("energy"), F.col("intensity"), window))
     edge = F.nanvl(F.col("_e.edge_ev"), F.lit(None).cast("double"))
     d = d.withColumn("peak_ev", edge).withColumn("local_max", F.col("_e.top")).withColumn(
         "_tie", F.struct(*[-F.col(k) for k in spectrum_keys]))
-    return _status(d, files, file_keys, 0.0, limit)
+    return _status(d, file_keys, 0.0, limit)
 
 
 def apply_shift(points: DataFrame, table: DataFrame, file_keys: Sequence[str]) -> DataFrame:

@@ -63,6 +63,18 @@ def trend(df: DataFrame, x: str, y: str) -> DataFrame:
     return g.withColumn("t", r * F.sqrt((F.col("n") - 2) / (1.0 - r * r)))
 
 
+def trend_table(df: DataFrame, names: Sequence[str], y: str) -> DataFrame:
+    """n, r, slope and intercept of every feature against y, from one aggregate (incomplete pairs are skipped)."""
+    def part(x: str) -> list:
+        pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+        return [F.count_if(pair), F.corr(x, y), F.regr_slope(y, x), F.regr_intercept(y, x)]
+
+    fields = ("n", "r", "slope", "intercept")
+    one = df.agg(*[c.alias(f"{f}_{k}") for k, x in enumerate(names) for f, c in zip(fields, part(x))])
+    rows = F.array(*[F.struct(F.lit(x).alias("feature"), *[F.col(f"{f}_{k}").alias(f) for f in fields]) for k, x in enumerate(names)])
+    return one.select(F.inline(rows))
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by Simpson integration after x = sin^2."""
     if x <= 0.0 or x >= 1.0:

@@ -177,6 +177,16 @@ def compile_template(t: RegionTemplate) -> Compiled:
                     [width[n] for n in names], [mix[n] for n in names], own)
 
 
+def initial_peaks(templates: Sequence[RegionTemplate], region: str) -> list[tuple[float, float]]:
+    """(centre, sigma) of a region's lines, by exact name, then without case; sigma is fwhm / 2.355."""
+    hit = [t for t in templates if t.region == region] or [t for t in templates if t.region.lower() == region.lower()]
+    out = []
+    for ln in hit[0].lines if hit else []:
+        b, w = ln.binding_energy, ln.fwhm
+        out.append(((b.lo + b.hi) / 2 if b.init is None else b.init, ((w.lo + w.hi) / 2 if w.init is None else w.init) / 2.355))
+    return out
+
+
 # ---- batched bounded least squares ------------------------------------------
 
 Model = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]

@@ -79,6 +79,8 @@ def exact_quantile(df: DataFrame, value: str, q: float, bins: int = 4096, small:
     n, lo, hi = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if n == 0:
         return None
+    if n <= small:
+        return v.agg(F.percentile("v", F.lit(q))).first()[0]
     rank = (n - 1) * q
 
     def order_statistic(k: int) -> float:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,79 +154,121 @@ def modality(nx: Column, ny: Column, n_energy: Column, has_intensity: Column) ->
 
 
 # ---- per-spectrum metrics ---------------------------------------------------
+#
+# Each metric is a triple: columns added by windows over the spectrum, aggregates, and the values made from them.
+# A single metric uses one triple; the full record chains all of them into one grouping with one shuffle.
 
-def baseline_metrics(points: DataFrame, keys: Sequence[str], detrend: str = "mean") -> DataFrame:
-    """Level, spread, drift and noise of the top quarter of the energy range, and the peak SNR over it.
 
-    `detrend="mean"` removes the mean before the spread is taken; `"linear"` removes the fitted line.
-    """
+def _baseline_columns(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = whole(keys)
-    df = (
-        points.withColumn("_n", F.count("*").over(g))
-        .withColumn("_hi", F.max("energy").over(g)).withColumn("_lo", F.min("energy").over(g))
-        .withColumn("_top", F.max("intensity").over(g)).withColumn("_mean", F.avg("intensity").over(g))
-        .withColumn("_in", F.col("energy") >= F.col("_hi") - (F.col("_hi") - F.col("_lo")) * 0.25)
-    )
-    df = df.withColumn("_c", F.count_if("_in").over(g)).withColumn("_use", (F.col("_c") < 5) | F.col("_in"))
-    df = df.filter("_use").withColumn("_u", F.col("energy") - F.avg("energy").over(g))
-    u, y = F.col("_u"), F.col("intensity")
-    aggs = quadratic_coefficients(u, y)
-    out = df.groupBy(*keys).agg(
-        F.first("_n").alias("n"), F.first("_top").alias("_top"), F.first("_mean").alias("_mean"),
-        F.avg(y).alias("_bm"), F.stddev_pop(y).alias("_bs"), F.max(y).alias("_bmax"), F.min(y).alias("_bmin"),
-        F.regr_slope(y, u).alias("_slope"), F.stddev_pop(u).alias("_us"), *[c.alias(k) for k, c in aggs.items()])
-    curve = F.abs(solve_quadratic({k: F.col(k) for k in aggs})[2])
+    df = points.withColumns({"_hi": F.max("energy").over(g), "_lo": F.min("energy").over(g)})
+    inside = F.col("energy") >= F.col("_hi") - (F.col("_hi") - F.col("_lo")) * 0.25
+    df = df.withColumn("_in", inside).withColumn("_c", F.count_if("_in").over(g))
+    df = df.withColumn("_use", (F.col("_c") < 5) | F.col("_in"))
+    return df.withColumn("_u", F.when(F.col("_use"), F.col("energy") - F.avg(F.when(F.col("_use"), F.col("energy"))).over(g)))
+
+
+def _baseline_aggregates() -> dict[str, Column]:
+    u, y = F.col("_u"), F.when(F.col("_use"), F.col("intensity"))
+    return {
+        "_bn": F.count("*"), "_top": F.max("intensity"), "_mean": F.avg("intensity"), "_bm": F.avg(y), "_bs": F.stddev_pop(y),
+        "_bmax": F.max(y), "_bmin": F.min(y), "_slope": F.regr_slope(y, u), "_us": F.stddev_pop(u), **quadratic_coefficients(u, y)}
+
+
+def _baseline_values(detrend: str = "mean") -> dict[str, Column]:
+    curve = F.abs(solve_quadratic({k: F.col(k) for k in [f"_q{i}" for i in range(5)] + ["_r0", "_r1", "_r2"]})[2])
     std = F.col("_bs")
     if detrend == "linear":
         s = F.col("_slope") * F.col("_us")
         std = F.sqrt(F.greatest(std * std - s * s, F.lit(0.0)))
-    ok = F.col("n") >= 10
 
     def value(c: Column) -> Column:
-        return F.when(ok, c).otherwise(0.0)
+        return F.when(F.col("_bn") >= 10, c).otherwise(0.0)
+
+    return {
+        "n": F.col("_bn"), "snr_xps": value((F.col("_top") - F.col("_bm")) / (std + 1e-12)), "baseline_mean": value(F.col("_bm")),
+        "baseline_std": value(std), "baseline_slope": value(F.coalesce(F.when(F.col("_q0") >= 3, F.col("_slope")), F.lit(0.0))),
+        "baseline_curvature": value(F.coalesce(F.when(F.col("_q0") >= 5, curve), F.lit(0.0))),
+        "noise_pk_pk": value(F.col("_bmax") - F.col("_bmin")), "relative_noise": value(std / (F.col("_mean") + 1e-10))}
+
+
+def _resolution_columns(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return points.withColumn("_step", F.abs(F.col("energy") - F.lag("energy").over(along(keys))))
+
+
+def _resolution_aggregates() -> dict[str, Column]:
+    # the median is over the channels of one spectrum, a bounded number
+    return {"_rn": F.count("*"), "_span": F.max("energy") - F.min("energy"), "_med": F.median("_step")}
+
+
+def _resolution_values() -> dict[str, Column]:
+    return {"points_per_ev": F.when(F.col("_span") > 0, F.col("_rn") / F.col("_span")).otherwise(0.0),
+            "energy_step_ev": F.coalesce("_med", F.lit(0.0)), "energy_range": F.col("_span")}
+
+
+def _peak_columns(points: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
+    df = shirley_steps(points, keys, steps).withColumn("_net", F.col("intensity") - F.col("background"))
+    return df.withColumn("_h", F.max("_net").over(whole(keys)))
+
+
+def _peak_aggregates() -> dict[str, Column]:
+    above = F.when(F.col("_net") >= F.col("_h") / 2.0, F.col("energy"))
+    return {"_ph": F.max("_h"), "_w": F.coalesce(F.max(above) - F.min(above), F.lit(0.0)),
+            "_pb": F.max_by("background", F.struct("_net", (-F.col("i")).alias("m"))), "_ps": F.stddev_pop("_net")}
+
+
+def _peak_values() -> dict[str, Column]:
+    return {"peak_height": F.col("_ph"), "peak_fwhm": F.col("_w"), "peak_to_baseline": F.col("_ph") / (F.col("_pb") + 1e-10),
+            "dynamic_range": F.col("_ph") / (F.col("_ps") + 1e-10)}
+
 
-    return out.select(
-        *keys, "n",
-        value((F.col("_top") - F.col("_bm")) / (std + 1e-12)).alias("snr_xps"),
-        value(F.col("_bm")).alias("baseline_mean"), value(std).alias("baseline_std"),
-        value(F.coalesce(F.when(F.col("_q0") >= 3, F.col("_slope")), F.lit(0.0))).alias("baseline_slope"),
-        value(F.coalesce(F.when(F.col("_q0") >= 5, curve), F.lit(0.0))).alias("baseline_curvature"),
-        value(F.col("_bmax") - F.col("_bmin")).alias("noise_pk_pk"),
-        value(std / (F.col("_mean") + 1e-10)).alias("relative_noise"))
+def _shift_aggregates() -> dict[str, Column]:
+    return {"peak_ev": F.max_by("energy", F.struct("intensity", (-F.col("i")).alias("m")))}
+
+
+def _with_shift(df: DataFrame, expected: DataFrame, t: Thresholds) -> DataFrame:
+    d = df.join(expected.select("region", "typical_be"), "region", "left")
+    shift = F.coalesce(F.col("peak_ev") - F.col("typical_be"), F.lit(0.0))
+    return d.withColumn("shift_estimate_ev", shift).withColumn("suspected_shift", F.abs(shift) > t.max_shift_ev).drop("typical_be")
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], values: dict[str, Column]) -> DataFrame:
+    g = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return g.select(*keys, *[c.alias(n) for n, c in values.items()])
+
+
+def baseline_metrics(points: DataFrame, keys: Sequence[str], detrend: str = "mean") -> DataFrame:
+    """Level, spread, drift and noise of the top quarter of the energy range, and the peak SNR over it.
+
+    `detrend="mean"` removes the mean before the spread is taken; `"linear"` removes the fitted line.
+    """
+    return _grouped(_baseline_columns(points, keys), keys, _baseline_aggregates(), _baseline_values(detrend))
 
 
 def resolution_metrics(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Points per eV and median energy step of one spectrum (bounded number of channels per group)."""
-    df = points.withColumn("_d", F.abs(F.col("energy") - F.lag("energy").over(along(keys))))
-    span = F.max("energy") - F.min("energy")
-    return df.groupBy(*keys).agg(
-        F.when(span > 0, F.count("*") / span).otherwise(0.0).alias("points_per_ev"),
-        F.coalesce(F.median("_d"), F.lit(0.0)).alias("energy_step_ev"), span.alias("energy_range"))
+    """Points per eV and median energy step of one spectrum."""
+    return _grouped(_resolution_columns(points, keys), keys, _resolution_aggregates(), _resolution_values())
 
 
 def shift_check(points: DataFrame, expected: DataFrame, keys: Sequence[str], t: Thresholds = Thresholds()) -> DataFrame:
     """Distance of the highest point (the first on ties) from the region's expected energy."""
-    top = points.groupBy(*keys, "region").agg(
-        F.max_by("energy", F.struct("intensity", (-F.col("i")).alias("m"))).alias("peak_ev"))
-    df = top.join(expected.select("region", "typical_be"), "region", "left")
-    shift = F.coalesce(F.col("peak_ev") - F.col("typical_be"), F.lit(0.0))
-    return df.select(*keys, "region", "peak_ev", shift.alias("shift_estimate_ev"),
-                     (F.abs(shift) > t.max_shift_ev).alias("suspected_shift"))
+    top = points.groupBy(*keys, "region").agg(*[c.alias(n) for n, c in _shift_aggregates().items()])
+    return _with_shift(top, expected, t).select(*keys, "region", "peak_ev", "shift_estimate_ev", "suspected_shift")
 
 
 def peak_metrics(points: DataFrame, keys: Sequence[str], steps: int = 5) -> DataFrame:
     """Height, width, peak-to-background and dynamic range after the Shirley background."""
-    g = whole(keys)
-    df = shirley_steps(points, keys, steps).withColumn("_c", F.col("intensity") - F.col("background"))
-    df = df.withColumn("_h", F.max("_c").over(g))
-    above = F.when(F.col("_c") >= F.col("_h") / 2.0, F.col("energy"))
-    out = df.groupBy(*keys).agg(
-        F.max("_h").alias("peak_height"), F.coalesce(F.max(above) - F.min(above), F.lit(0.0)).alias("peak_fwhm"),
-        F.max_by("background", F.struct("_c", (-F.col("i")).alias("m"))).alias("_b"),
-        F.stddev_pop("_c").alias("_s"))
-    return out.select(*keys, "peak_height", "peak_fwhm",
-                      (F.col("peak_height") / (F.col("_b") + 1e-10)).alias("peak_to_baseline"),
-                      (F.col("peak_height") / (F.col("_s") + 1e-10)).alias("dynamic_range"))
+    return _grouped(_peak_columns(points, keys, steps), keys, _peak_aggregates(), _peak_values())
+
+
+def spectrum_quality(points: DataFrame, expected: DataFrame, keys: Sequence[str], t: Thresholds = Thresholds(),
+                     steps: int = 5) -> DataFrame:
+    """The full quality record from one pass: all windows and the grouping share the spectrum's partitioning."""
+    df = _peak_columns(_resolution_columns(_baseline_columns(points, keys), keys), keys, steps)
+    aggregates = {**_baseline_aggregates(), **_resolution_aggregates(), **_peak_aggregates(), **_shift_aggregates()}
+    values = {**_baseline_values(), **_resolution_values(), **_peak_values(), "peak_ev": F.col("peak_ev")}
+    out = _grouped(df, [*keys, "region"], aggregates, values)
+    return assess(_with_shift(out, expected, t), t)
 
 
 def assess(metrics: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -249,21 +292,16 @@ def assess(metrics: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         & (F.col("peak_to_baseline") >= t.min_peak_to_baseline))
 
 
-def spectrum_quality(points: DataFrame, expected: DataFrame, keys: Sequence[str], t: Thresholds = Thresholds(),
-                     steps: int = 5) -> DataFrame:
-    """The full quality record: four aggregates that share the spectrum's partitioning."""
-    k = list(keys)
-    out = (shift_check(points, expected, keys, t).join(baseline_metrics(points, keys), k)
-           .join(resolution_metrics(points, keys), k).join(peak_metrics(points, keys, steps), k))
-    return assess(out, t)
-
-
 def quality_summary(q: DataFrame) -> DataFrame:
     """Batch totals; the median is exact and computed without gathering all spectra in one task."""
+    # several passes over a few columns of what is the end of a long chain
+    q = q.select("snr_xps", "points_per_ev", "peak_fwhm", "is_hr_scan", "suspected_shift", "suitable_for_fitting") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     median = exact_quantile(q, "snr_xps", 0.5)
+    width = exact_quantile(q.filter(F.col("peak_fwhm") > 0), "peak_fwhm", 0.5)
     return q.agg(
         F.count("*").alias("n_spectra"), F.avg("snr_xps").alias("mean_snr"),
         F.avg("points_per_ev").alias("mean_resolution"), F.count_if("is_hr_scan").alias("n_hr"),
         F.count_if("suspected_shift").alias("n_shifted"), F.count_if("suitable_for_fitting").alias("n_suitable"),
-    ).withColumn("median_snr", F.lit(median).cast("double")).withColumn(
+    ).withColumn("median_snr", F.lit(median).cast("double")).withColumn("median_fwhm", F.lit(width).cast("double")).withColumn(
         "suitable_rate", F.when(F.col("n_spectra") > 0, F.col("n_suitable") / F.col("n_spectra")).otherwise(0.0))

@@ -21,7 +21,7 @@ def atomic_percent(areas: DataFrame, rsf: DataFrame, scope: Sequence[str] = ("sa
 
     `areas` has one row per scope and region, so the window sees at most one row per region of the factor table.
     """
-    norm = areas.join(F.broadcast(rsf.select("region", F.col(factor).alias("_f"))), "region") \
+    norm = areas.join(rsf.select("region", F.col(factor).alias("_f")), "region") \
         .withColumn("_norm", F.col("area") / F.col("_f"))
     total = F.sum("_norm").over(Window.partitionBy(*scope))
     pct = F.when(total > 0, F.col("_norm") / total * 100.0).otherwise(0.0)
@@ -30,7 +30,7 @@ def atomic_percent(areas: DataFrame, rsf: DataFrame, scope: Sequence[str] = ("sa
 
 def missing_factors(areas: DataFrame, rsf: DataFrame) -> DataFrame:
     """Regions that have areas but no factor."""
-    return areas.join(F.broadcast(rsf.select("region")), "region", "left_anti").groupBy("region").agg(
+    return areas.join(rsf.select("region"), "region", "left_anti").groupBy("region").agg(
         F.count("*").alias("n_rows"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenfold import fixed_values as fv
 from lumenfold.functions.scalars import l1_normalise, spectrum_entropy
 from lumenfold.operators import decompose as dc
+from lumenfold.operators import fit as ft
 from lumenfold.operators import maps as mp
 from lumenfold.operators import peaks as pk
 
@@ -69,3 +71,32 @@ def run_map(spectra: DataFrame, axis: Sequence[float], region: str, low_counts:
         factor = dc.fit_mcr(inside if inside.limit(1).count() else labelled, k)
         out = labelled.withColumn("amounts", dc.concentrations(F.col("intensity"), factor.spectra))
     return MapRun(out.drop("scores", "valid"), spread, valid, factor, factor is not None)
+
+
+@dataclass
+class PixelFitRun:
+    """pixels: amplitudes, shift, mse, PCA scores and NMF amounts per pixel; average: the fitted mean spectrum."""
+
+    pixels: DataFrame
+    average: np.ndarray
+    axes: dc.PrincipalAxes
+    factorisation: dc.Factorisation
+
+
+def run_pixel_fits(spectra: DataFrame, axis: Sequence[float], peaks: Sequence[tuple[float, float]], n_pca: int = 3,
+                   n_nmf: int = 3, nmf_iterations: int = 500) -> PixelFitRun:
+    """Average fit, per-pixel baseline, pixel fits on the fixed lines; PCA and NMF on the raw spectra."""
+    if not peaks:
+        raise ValueError("no initial peaks for this region")
+    e = np.asarray(axis, float)
+    d = spectra.persist(StorageLevel.MEMORY_AND_DISK)
+    theta = ft.fit_gaussians(e, np.array(mp.channel_moments(d).first()["mean"]), peaks)
+    pca = dc.fit_pca(d, n_pca)
+    raw = F.transform("intensity", lambda v: F.greatest(v, F.lit(0.0)))
+    nmf = dc.fit_nmf(d.withColumn("intensity", raw), n_nmf, iterations=nmf_iterations)
+    out = d.withColumn("scores", dc.pca_scores(F.col("intensity"), pca)).withColumn(
+        "amounts", dc.concentrations(raw, nmf.spectra, exact=True)).withColumn("_base", dc.als_baseline(F.col("intensity")))
+    out = out.withColumn("net", F.zip_with("intensity", "_base", lambda v, b: v - b)).drop("_base")
+    n = len(peaks)
+    fitted = dc.fit_pixels(out, axis, [float(theta[3 * k + 1]) for k in range(n)], [float(theta[3 * k + 2]) for k in range(n)], column="net")
+    return PixelFitRun(fitted.drop("net"), theta, pca, nmf)

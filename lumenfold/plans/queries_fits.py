@@ -180,6 +180,14 @@ def fit_pixel_map(spark, sf):
         .select("vec_id", "amplitudes", "shift", "mse")
 
 
+@query("fit_pixel_pipeline")
+def fit_pixel_pipeline(spark, sf):
+    from lumenfold.plans.pipelines import run_pixel_fits
+    peaks = ft.initial_peaks([t for t in templates() if t.region == "C1s"], "c1s")
+    r = run_pixel_fits(map_spectra(spark, sf), AXIS, peaks, nmf_iterations=30)
+    return r.pixels.select("vec_id", "amplitudes", "shift", "mse", "scores", "amounts")
+
+
 @query("fit_map_components")
 def fit_map_components(spark, sf):
     """Decompose a map, fit the component spectra with a template, label them and give their shares."""

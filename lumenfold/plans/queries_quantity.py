@@ -305,12 +305,14 @@ def correlate_trend(spark, sf):
 
 @query("correlate_p_value")
 def correlate_p_value(spark, sf):
-    m = merged(spark, sf)
-    out = None
-    for f in FEAT:
-        t = co.trend(m, f, "fade").select(F.lit(f).alias("feature"), "n", "r")
-        out = t if out is None else out.unionByName(t)
-    return out.withColumn("p", co.two_sided_p("r", "n"))
+    return co.trend_table(merged(spark, sf), FEAT, "fade").withColumn("p", co.two_sided_p("r", "n"))
+
+
+@query("correlate_trend_table", f"WITH {MERGED}" + " UNION ALL ".join(
+    f" SELECT '{f}' AS feature, count(*) AS n, round(corr({f}, fade), 6) + 0e0 AS r, round(regr_slope(fade, {f}), 6) + 0e0 AS slope, round(regr_intercept(fade, {f}), 5) + 0e0 AS intercept FROM mg" for f in FEAT))
+def correlate_trend_table(spark, sf):
+    t = co.trend_table(merged(spark, sf), FEAT, "fade")
+    return t.select("feature", "n", rnd("r", 6).alias("r"), rnd("slope", 6).alias("slope"), rnd("intercept", 5).alias("intercept"))
 
 
 @query("correlate_forest_metrics")

@@ -468,7 +468,7 @@ def quality_peak(spark, sf):
 
 
 ASSESS_SQL = f"""{PTS}{shirley_sql(5)}, {DEFS_SQL}, {SHIFT_SQL}, {BASE_SQL}, {RES_SQL}, {PEAKQ_SQL},
-qa AS (SELECT sq.*, bq.snr_xps, bq.relative_noise, rq.points_per_ev, pq.peak_to_baseline FROM sq JOIN bq USING (instrument, sweep) JOIN rq USING (instrument, sweep) JOIN pq USING (instrument, sweep)),
+qa AS (SELECT sq.*, bq.snr_xps, bq.relative_noise, rq.points_per_ev, pq.peak_to_baseline, pq.peak_fwhm FROM sq JOIN bq USING (instrument, sweep) JOIN rq USING (instrument, sweep) JOIN pq USING (instrument, sweep)),
 qb AS (SELECT *, points_per_ev >= 5 AS hr, (CASE WHEN snr_xps < 3 THEN 1 ELSE 0 END) + (CASE WHEN points_per_ev < 3 THEN 1 ELSE 0 END) + (CASE WHEN suspected_shift THEN 1 ELSE 0 END)
   + (CASE WHEN peak_to_baseline < 2e-1 THEN 1 ELSE 0 END) + (CASE WHEN relative_noise > 2e-1 THEN 1 ELSE 0 END) AS nw FROM qa),
 qf AS (SELECT *, CASE WHEN snr_xps >= 20 AND hr AND nw = 0 THEN 'excellent' WHEN snr_xps >= 10 AND hr THEN 'good' WHEN snr_xps >= 3 THEN 'acceptable' WHEN snr_xps >= 2 THEN 'poor' ELSE 'suspicious' END AS quality_flag,
@@ -484,13 +484,13 @@ def quality_assessment(spark, sf):
 
 
 @query("quality_summary", f"""WITH {ASSESS_SQL}
-SELECT count(*) AS n_spectra, round(avg(snr_xps), 4) AS mean_snr, round(median(snr_xps), 4) AS median_snr, round(avg(points_per_ev), 4) AS mean_resolution, count(*) FILTER (hr) AS n_hr, count(*) FILTER (suspected_shift) AS n_shifted,
+SELECT count(*) AS n_spectra, round(avg(snr_xps), 4) AS mean_snr, round(median(snr_xps), 4) AS median_snr, round(median(peak_fwhm) FILTER (peak_fwhm > 0), 4) AS median_fwhm, round(avg(points_per_ev), 4) AS mean_resolution, count(*) FILTER (hr) AS n_hr, count(*) FILTER (suspected_shift) AS n_shifted,
 count(*) FILTER (suitable) AS n_suitable, round(count(*) FILTER (suitable) / count(*), 6) AS suitable_rate FROM qf""")
 def quality_summary(spark, sf):
     q = ql.spectrum_quality(labelled(recorded_points(spark, sf)), schemas.region_defs(spark), KEYS)
     s = ql.quality_summary(q)
     return s.select("n_spectra", "n_hr", "n_shifted", "n_suitable", rnd("mean_snr", 4).alias("mean_snr"),
-                    rnd("median_snr", 4).alias("median_snr"), rnd("mean_resolution", 4).alias("mean_resolution"),
+                    rnd("median_snr", 4).alias("median_snr"), rnd("median_fwhm", 4).alias("median_fwhm"), rnd("mean_resolution", 4).alias("mean_resolution"),
                     rnd("suitable_rate", 6).alias("suitable_rate"))
 
 

@@ -16,6 +16,15 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[column_key(c) for c in df.columns])
 
 
+def find_column(df: DataFrame, *prefixes: str) -> str:
+    """First column whose name starts with one of the prefixes, without case; prefixes are tried in order."""
+    for p in prefixes:
+        for c in df.columns:
+            if c.lower().startswith(p.lower()):
+                return c
+    raise ValueError(f"no column starts with {', '.join(prefixes)}")
+
+
 # Input column (cleaned, lower case) -> library column of a performance table.
 PERFORMANCE_COLUMNS = {"sample": "sample", "cycle": "cycle", "capacityretention": "capacity_retention", "ce": "ce",
                        "relectrolyte": "r_electrolyte", "rinterface": "r_interface", "rsei": "r_sei", "rct": "r_ct"}
