@@ -61,14 +61,20 @@ def run_map(spectra: DataFrame, axis: Sequence[float], region: str, low_counts:
     labelled = labelled.join(F.broadcast(valid.select("cluster", "valid")), "cluster", "left")  # n_clusters rows
     labelled = labelled.withColumn("mask", F.col("mask") & F.coalesce("valid", F.lit(False)) & keep)
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = spread.crossJoin(F.broadcast(mp.entropy_statistics(spectra)))  # one row each
-    wish = stats.select(mp.worth_decomposing(F.col("mean_sigma"), F.col("max_sigma"), F.col("std")).alias("run")).first()["run"]
+    wish = force
+    if not force:
+        stats = spread.crossJoin(F.broadcast(mp.entropy_statistics(spectra)))  # one row each
+        wish = stats.select(mp.worth_decomposing(F.col("mean_sigma"), F.col("max_sigma"), F.col("std")).alias("run")).first()["run"]
     factor = None
     out = labelled
-    if force or wish:
-        k = dc.component_count(dc.fit_pca(d, 10).ratio, 0.95, most=4)
-        inside = labelled.filter("mask")
-        factor = dc.fit_mcr(inside if inside.limit(1).count() else labelled, k)
+    if wish:
+        scree = dc.fit_pca(d, 10)
+        k = dc.component_count(scree.ratio, 0.95, most=4)
+        start = np.abs(scree.axes[:, :k].T)
+        try:
+            factor = dc.fit_mcr(labelled.filter("mask"), k, start=start)
+        except ValueError:  # no pixel inside the mask, or too few for k components
+            factor = dc.fit_mcr(labelled, k, start=start)
         out = labelled.withColumn("amounts", dc.concentrations(F.col("intensity"), factor.spectra))
     return MapRun(out.drop("scores", "valid"), spread, valid, factor, factor is not None)
 
