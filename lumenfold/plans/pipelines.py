@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
@@ -27,6 +27,12 @@ class MapRun:
     clusters: DataFrame
     factorisation: dc.Factorisation | None
     decomposed: bool
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Free the cached tables once the results are written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def run_map(spectra: DataFrame, axis: Sequence[float], region: str, low_counts: float = 2.0, reference: float | None = None,
@@ -76,7 +82,7 @@ def run_map(spectra: DataFrame, axis: Sequence[float], region: str, low_counts:
         except ValueError:  # no pixel inside the mask, or too few for k components
             factor = dc.fit_mcr(labelled, k, start=start)
         out = labelled.withColumn("amounts", dc.concentrations(F.col("intensity"), factor.spectra))
-    return MapRun(out.drop("scores", "valid"), spread, valid, factor, factor is not None)
+    return MapRun(out.drop("scores", "valid"), spread, valid, factor, factor is not None, [d, labelled])
 
 
 @dataclass
@@ -87,6 +93,11 @@ class PixelFitRun:
     average: np.ndarray
     axes: dc.PrincipalAxes
     factorisation: dc.Factorisation
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
 def run_pixel_fits(spectra: DataFrame, axis: Sequence[float], peaks: Sequence[tuple[float, float]], n_pca: int = 3,
@@ -105,4 +116,4 @@ def run_pixel_fits(spectra: DataFrame, axis: Sequence[float], peaks: Sequence[tu
     out = out.withColumn("net", F.zip_with("intensity", "_base", lambda v, b: v - b)).drop("_base")
     n = len(peaks)
     fitted = dc.fit_pixels(out, axis, [float(theta[3 * k + 1]) for k in range(n)], [float(theta[3 * k + 2]) for k in range(n)], column="net")
-    return PixelFitRun(fitted.drop("net"), theta, pca, nmf)
+    return PixelFitRun(fitted.drop("net"), theta, pca, nmf, [d])
