@@ -98,10 +98,9 @@ class Words:
         edge[1:-1] = inside[1:] != inside[:-1]
         edge[self.offsets] = True
         places = np.flatnonzero(edge)
-        runs = places[:-1][inside[places[:-1]]] if len(low) else places[:0]
-        self.starts = runs
-        self.ends = places[np.searchsorted(places, runs, "right")] if len(runs) else runs
-        self.docs = np.searchsorted(runs, self.offsets)
+        words = np.flatnonzero(inside[places[:-1]])
+        self.starts, self.ends = places[words], places[words + 1]
+        self.docs = np.searchsorted(self.starts, self.offsets)
         self.hashes = self._hash(low)
 
     def _hash(self, low: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import huffman, packing
+from lumenfold.llm import fmindex, huffman, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,19 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_corpus(spark, folder, with_ids=False)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fmindex.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return fmindex.report(found).drop("spans", "items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_token_files": op3_token_files,
+    "op4_simhash": op4_simhash,
+    "op7_decontamination": op7_decontamination,
 }
 CHECKS: dict[str, str] = {}
