@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import fmindex, huffman, packing, simhash
+from lumenfold.llm import fmindex, huffman, packing, passages, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.report(found).drop("spans", "items")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op7_decontamination": op7_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 CHECKS: dict[str, str] = {}
