@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import fmindex, huffman, packing, passages, simhash
+from lumenfold.llm import cotrain, fmindex, huffman, packing, passages, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fmindex.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return fmindex.report(found).drop("spans", "items")
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
