@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import pieces
-from lumenfold.llm.tokens import default_path, encoder
+from lumenfold.llm.tokens import TOKEN_BYTES, default_path, encoder
 from lumenfold.session import scratch_path
 
 #: Ids in a block before it is closed at the end of a document; ids between two bit checkpoints; longest code in bits.
@@ -117,7 +117,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame
         def row(*values: object) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TOKEN_BYTES):
             ids, places = words.encode(batch.column("text"))
             counts += np.bincount(ids, minlength=len(counts))
             counts[end_id] += batch.num_rows
@@ -140,20 +140,25 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame
 
 
 def _counts(spark: SparkSession, path: str) -> np.ndarray:
-    """Global counts by id. The driver gets one number for each id of the vocabulary."""
+    """Global counts by id. The driver gets sixteen sums, each with a number for every id of the vocabulary."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for value in batch.column("counts").to_pylist():
                 ids, n = np.frombuffer(value, dtype="<i8").reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
-
-    rows = spark.read.parquet(path).where("counts is not null").select("counts").mapInArrow(spread, "id long, n long")
-    table = rows.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    ids = np.asarray(table.column("id"), dtype=np.int64)
-    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, dtype=np.int64)
-    counts[ids] = np.asarray(table.column("n"), dtype=np.int64)
-    return counts
+                own = np.bincount(ids, n, max(len(counts), int(ids[-1]) + 1)).astype(np.int64)
+                own[:len(counts)] += counts
+                counts = own
+        if len(counts):
+            yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+    rows = spark.read.parquet(path).where("counts is not null").select("counts")
+    sums = [np.frombuffer(r["counts"], dtype=np.int64) for r in rows.repartition(16).mapInArrow(total, "counts binary").collect()]
+    out = np.zeros(max(map(len, sums), default=1), dtype=np.int64)
+    for x in sums:
+        out[:len(x)] += x
+    return out
 
 
 def encode_corpus(docs: DataFrame, out: str | None = None, tokenizer: str | None = None, end_id: int = 1,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import pieces
-from lumenfold.llm.tokens import default_path, encoder
+from lumenfold.llm.tokens import TOKEN_BYTES, default_path, encoder
 
 #: Pieces held open at once; also bounds the memory of a task.
 POOL = 512
@@ -178,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                 arrays, names = [*arrays, pa.array(columns[-1], pa.binary())], [*names, "ids"]
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TOKEN_BYTES):
             ids, places = words.encode(batch.column("text"))
             names = batch.column("doc_id").to_pylist()
             first = batch.column("first").to_pylist()

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words remembered at once; two generations are held, so memory is bounded by about twice this.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
+#: Bytes of text that are split and encoded together.
+TOKEN_BYTES = 8 << 20
 _TAIL = ".,;:!?#$%&*|"
 _encoders: dict[str, WordTokenizer] = {}
 
@@ -41,15 +44,15 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._model._resize_cache(0)  # words are remembered here
-        self._normal = self._tokenizer.normalizer
         self.vocabulary = self._tokenizer.get_vocab_size()
         if not self._drops_space():
             raise ValueError("this tokenizer keeps white space; encode whole texts instead")
-        self._byte = {b: self._tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(97, 123)}
-        for c in map(chr, range(0xAA, 0x250)):  # letters whose bytes show how the pre-tokenizer writes bytes
-            if c.isalpha():
-                shown = "".join(x for x, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(c))
-                self._byte.update(zip(c.encode(), shown, strict=True))
+        # how the normalizer and the pre-tokenizer write each plain letter; such letters do not change one another
+        self._shown = {}
+        for c in filter(str.isalpha, map(chr, range(0x250))):
+            low = self._tokenizer.normalizer.normalize_str(c)
+            if low.isalpha():
+                self._shown[ord(c)] = "".join(x for x, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(low))
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -60,26 +63,15 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        low = word if word.isascii() else self._normal.normalize_str(word)
-        if not (low.isalpha() and max(low) < "ɐ"):
-            return self._whole(word)
-        if not low.isascii():
-            low = "".join([self._byte[b] for b in low.encode()])
-        return np.asarray([t.id for t in self._model.tokenize(low)], dtype=np.uint32).tobytes()
-
     def word(self, word: str) -> bytes:
-        """Ids of a word without white space, as little-endian 32-bit values."""
-        ids = self._new.get(word)
-        if ids is not None:
-            return ids
-        ids = self._old.get(word)
+        """Ids of a word without white space, as 32-bit values; remembered unless it is long."""
+        ids = self._new.get(word) or self._old.get(word)
         if ids is None:
             stem = word.rstrip(_TAIL)
-            if stem != word and stem and stem[-1].isalpha():
+            if len(stem) < len(word) and stem[-1:].isalpha():
                 ids = self.word(stem) + self.word(word[len(stem):])
-            elif word.isalpha() and max(word) < "ɐ":
-                ids = self._letters(word)
+            elif word.isalpha() and max(word) < "ɐ" and "İ" not in word:
+                ids = array("I", [t.id for t in self._model.tokenize(word.translate(self._shown))]).tobytes()
             else:
                 ids = self._whole(word)
         if len(word) <= 64:
@@ -95,7 +87,10 @@ class WordTokenizer:
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         ends = np.asarray(words.offsets, dtype=np.int64)
         coded = words.flatten().dictionary_encode()
-        ids = [self.word(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        distinct = coded.dictionary.to_pylist()
+        ids = list(map(self._new.get, distinct))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self.word(distinct[i]) if distinct[i] else b""
         lengths = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
         flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         codes = np.asarray(coded.indices, dtype=np.int64)
