@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import cotrain, fmindex, huffman, packing, passages, simhash
+from lumenfold.llm import boilerplate, cotrain, fmindex, huffman, itq, language, packing, passages, quotes, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = huffman.encode_corpus(_table(spark, sf_dir, "documents"))
     return huffman.read_corpus(spark, folder, with_ids=False)
@@ -26,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,16 +43,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.report(found).drop("spans", "items")
 
 
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(_table(spark, sf_dir, "conversations"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_quotations": op8_quotations,
+    "op9_main_text": op9_main_text,
     "op10_substring_dedup": op10_substring_dedup,
 }
 CHECKS: dict[str, str] = {}
