@@ -109,9 +109,9 @@ def split_by_hash(df: DataFrame, key: str, train: float = 0.8, seed: int = 42) -
     return df.filter(u < cut), df.filter(u >= cut)
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], target: str, trees: int = 500, depth: int = 8,
+def fit_forest(train: DataFrame, features: Sequence[str], target: str, trees: int = 500, depth: int = 30,
                seed: int = 42) -> RandomForestRegressionModel:
-    """Features are the component columns only, never the target or its parts."""
+    """Features are the component columns only, never the target or its parts. Depth 30 is the most Spark ML allows."""
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(train).select("features", target)
     return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth,
                                  seed=seed).fit(data)

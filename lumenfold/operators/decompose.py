@@ -139,19 +139,22 @@ def nnls_rows(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Rows c >= 0 that minimise |x - c B|, for all rows at once.
 
     Up to 8 components every support is solved and the best feasible one kept (exact); beyond that,
-    coordinate descent on the normal equations until the change is negligible.
+    coordinate descent on the normal equations until the change is negligible, which is an error if it never is.
     """
     k = len(basis)
     gram, rhs = basis @ basis.T, x @ basis.T
     if k > 8:
         c = np.maximum(rhs / np.maximum(np.diag(gram), 1e-300), 0.0)
-        for _ in range(2000):
-            old = c.copy()
+        live = np.arange(len(c))
+        for _ in range(200_000):
+            own, old = c[live], c[live]
             for j in range(k):
-                c[:, j] = np.maximum(c[:, j] + (rhs[:, j] - c @ gram[:, j]) / max(gram[j, j], 1e-300), 0.0)
-            if np.abs(c - old).max(initial=0.0) <= 1e-12 * max(1.0, np.abs(c).max(initial=0.0)):
-                break
-        return c
+                own[:, j] = np.maximum(own[:, j] + (rhs[live, j] - own @ gram[:, j]) / max(gram[j, j], 1e-300), 0.0)
+            c[live] = own
+            live = live[np.abs(own - old).max(axis=1, initial=0.0) > 1e-12 * np.maximum(1.0, np.abs(own).max(axis=1, initial=0.0))]
+            if not len(live):
+                return c
+        raise RuntimeError(f"non-negative least squares did not converge for {len(live)} rows")
     best = np.zeros((len(x), k))
     score = np.zeros(len(x))  # |x - cB|^2 - |x|^2 for c = 0
     for bits in range(1, 2 ** k):

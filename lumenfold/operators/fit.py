@@ -193,8 +193,11 @@ Model = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def bounded_lm(model: Model, theta: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, y: np.ndarray,
-               weight: np.ndarray, steps: int = 200, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Damped least squares of many rows at once; every row has its own damping, bounds and stop."""
+               weight: np.ndarray, steps: int = 200, tol: float = 1e-10, ended: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Damped least squares of many rows at once; every row has its own damping, bounds and stop.
+
+    `ended`, if given, is set where a row stopped by itself and not after `steps` steps.
+    """
     theta = np.clip(theta, lo, hi)
     f, jac = model(theta, x)
     res = (y - f) * weight
@@ -226,6 +229,9 @@ def bounded_lm(model: Model, theta: np.ndarray, lo: np.ndarray, hi: np.ndarray,
         lam[live] = np.clip(np.where(better, lam[live] * 0.3, lam[live] * 5.0), 1e-12, 1e12)
         stop = (better & (gain < tol)) | (~better & (lam[live] >= 1e9))
         live = live[~stop]
+    if ended is not None:
+        ended[:] = True
+        ended[live] = False
     return theta, ss
 
 
@@ -345,7 +351,8 @@ def fit_templates(packed: DataFrame, templates: Sequence[RegionTemplate], keys:
     """Fit every spectrum with its region's template: one row per line with parameters and R2.
 
     packed: keys, region, energy, intensity (ascending). Spectra without a template or with too few points inside the
-    template's range give one row with status `no_template` / `too_few_points` and NULL parameters.
+    template's range give one row with status `no_template` / `too_few_points` and NULL parameters. Fits that used up
+    their steps have status `not_converged` and the parameters reached.
     """
     compiled = {t.region: compile_template(t) for t in templates}
     spans = {t.region: (t.lo, t.hi) for t in templates}
@@ -392,11 +399,12 @@ def fit_templates(packed: DataFrame, templates: Sequence[RegionTemplate], keys:
                 x, y, w = _padded(part["_x"].to_list(), part["_y"].to_list())
                 top = np.maximum(y.max(1), 1e-6)
                 start, lo, hi = _row_bounds(c, top, part["_pe"].to_list(), part["_ph"].to_list())
-                theta, ss = bounded_lm(template_model(c), start, lo, hi, x, y, w)
+                ended, ended2 = np.zeros(len(part), dtype=bool), np.zeros(len(part), dtype=bool)
+                theta, ss = bounded_lm(template_model(c), start, lo, hi, x, y, w, ended=ended)
                 plain = np.clip(np.repeat(c.start[None, :], len(part), 0), lo, hi)
-                other, s2 = bounded_lm(template_model(c), plain, lo, hi, x, y, w)
+                other, s2 = bounded_lm(template_model(c), plain, lo, hi, x, y, w, ended=ended2)
                 swap = s2 < ss
-                theta[swap], ss[swap] = other[swap], s2[swap]
+                theta[swap], ss[swap], ended[swap] = other[swap], s2[swap], ended2[swap]
                 n = w.sum(1)
                 mean = (y * w).sum(1) / n
                 tot = (((y - mean[:, None]) ** 2) * w).sum(1)
@@ -409,7 +417,7 @@ def fit_templates(packed: DataFrame, templates: Sequence[RegionTemplate], keys:
                     out["center_ev"] = theta[:, c.centre[k]]
                     out["fwhm_ev"] = np.maximum(theta[:, iw] * (1.0 + theta[:, idelta] if idelta >= 0 else 1.0), 0.1)
                     out["eta_mix"] = np.clip(theta[:, c.mix[k]], 0.0, 1.0)
-                    out["r_squared"], out["n_points"], out["status"] = r2, n.astype(int), "ok"
+                    out["r_squared"], out["n_points"], out["status"] = r2, n.astype(int), np.where(ended, "ok", "not_converged")
                     yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
@@ -580,7 +588,7 @@ def fit_free(energy: Column, intensity: Column, n_peaks: int = 2, min_points: in
 def compare_fits(template_fit: DataFrame, free: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Template and free fit next to each other, lines paired by their order along the energy axis."""
     w = Window.partitionBy(*keys).orderBy("center_ev", "ord")
-    a = template_fit.filter(F.col("status") == "ok").withColumn("peak", F.row_number().over(w)).select(
+    a = template_fit.filter(F.col("status").isin("ok", "not_converged")).withColumn("peak", F.row_number().over(w)).select(
         *keys, "peak", F.col("center_ev").alias("template_center"), F.col("fwhm_ev").alias("template_fwhm"), F.col("r_squared").alias("template_r2"))
     b = free.select(*keys, F.posexplode(F.arrays_zip(F.col("free.centers").alias("c"), F.col("free.fwhms").alias("w"))).alias("p", "z"),
                     F.col("free.r_squared").alias("free_r2")).select(

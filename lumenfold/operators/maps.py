@@ -189,8 +189,34 @@ def residual_totals(metrics: DataFrame, spectrum: str = "intensity") -> DataFram
         (1.0 - F.sum("ss_res") / (sq - total * total / n)).alias("global_r2"), F.sqrt(F.sum("ss_res") / n).alias("rms"))
 
 
-def silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id", sample: int = 5000,
-               seed: int = 0) -> DataFrame:
+def silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id") -> DataFrame:
+    """Silhouette of every pixel by mean squared Euclidean distances: one pass for the clusters' sums, one for the pixels.
+
+    The mean squared distance to a cluster follows from its size, its mean and its mean squared norm, so the work grows
+    with the pixels and not with their pairs. A pixel alone in its cluster has 0. One row for each cluster is broadcast.
+    """
+    clusters = channel_moments(pixels.withColumnRenamed(spectrum, "intensity") if spectrum != "intensity" else pixels, [label])
+    norms = pixels.groupBy(label).agg(F.count("*").alias("_n"), F.avg(F.aggregate(spectrum, F.lit(0.0), lambda s, v: s + v * v)).alias("_q"))
+    table = clusters.select(F.col(label).alias("_l"), F.col("mean").alias("_m")).join(norms.withColumnRenamed(label, "_l"), "_l")
+    table = table.agg(F.collect_list(F.struct("_l", "_n", "_m", "_q")).alias("_c"))
+    own = F.col(label)
+    square = F.aggregate(spectrum, F.lit(0.0), lambda s, v: s + v * v)
+
+    def distance(c: Column) -> Column:
+        dot = F.aggregate(F.zip_with(spectrum, c["_m"], lambda v, m: v * m), F.lit(0.0), lambda s, v: s + v)
+        return F.greatest(square + c["_q"] - 2.0 * dot, F.lit(0.0))
+
+    d = pixels.crossJoin(F.broadcast(table))  # one row
+    mine = F.get(F.filter("_c", lambda c: c["_l"] == own), F.lit(0))
+    d = d.withColumn("_size", mine["_n"]).withColumn("_a", distance(mine) * mine["_n"] / (mine["_n"] - 1))
+    d = d.withColumn("_b", F.array_min(F.transform(F.filter("_c", lambda c: c["_l"] != own), distance)))
+    top = F.greatest("_a", "_b")
+    value = F.when((F.col("_size") > 1) & (top > 0), (F.col("_b") - F.col("_a")) / top).otherwise(0.0)
+    return d.select(key, label, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
+def sampled_silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id", sample: int = 5000,
+                       seed: int = 0) -> DataFrame:
     """Per-pixel Euclidean silhouette on a seeded sample of at most `sample` pixels (the sampling is the operator).
 
     The sample is a matrix of bounded size that every task compares with its own rows: no pair rows exist.

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.session import scratch_path
+
 HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
 
 
 def wallclock_micros(ts: str) -> Column:
@@ -19,54 +20,37 @@ def wallclock_micros(ts: str) -> Column:
     return ((day * 24 + F.hour(c)) * 60 + F.minute(c)) * F.lit(60_000_000) + micro
 
 
-def _slice_width(hot: DataFrame, key: str, position: str, limit: int) -> int:
-    """Widest slice (halving) for which no (key, slice) of the hot rows has more than `limit` rows."""
-    lo, hi = hot.agg(F.min(position), F.max(position)).first()
-    width = max(1, int(hi) - int(lo) + 1)
-    while width > 1:
-        width = max(1, width // 16)
-        slices = hot.groupBy(key, F.floor(F.col(position) / F.lit(width)).alias("_s")).count()
-        if slices.agg(F.max("count")).first()[0] <= limit:
-            break
-    return width
-
-
 def with_ordinal(df: DataFrame, key: str, position: Column, ties: Sequence[str], out: str = "k",
                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """0-based rank of every row within `key`, ordered by `position` (an integer) and then `ties`.
+    """0-based rank of every row within `key`, ordered by `position` (an integer) and then `ties`; nulls are a key.
 
-    Keys with few rows are ranked in one window. A key with more than `hot_rows` rows is cut into slices of
-    `position`; each slice is ranked by itself and moved by the number of rows in the slices before it, so
-    no task ever sorts a whole hot key.
+    Keys with few rows are ranked in one window. The rows of keys with more than `hot_rows` rows are dealt into ranges
+    of (key, position, ties) of about that many rows and written to the shared folder; each range is ranked by itself
+    and moved by the number of the key's rows in the ranges before it, so no task ever sorts a whole hot key, whatever
+    it repeats.
     """
     df = df.withColumn("_pos", position)
     sizes = df.groupBy(key).count()
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
-    limit = max(hot_rows, (total or 0) // HOT_KEYS)  # fewer than HOT_KEYS keys can exceed it
-    if (largest or 0) <= limit:
-        w = Window.partitionBy(key).orderBy("_pos", *ties)
+    w = Window.partitionBy(key).orderBy("_pos", *ties)
+    if (largest or 0) <= hot_rows:
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint")).drop("_pos")
 
-    hot_keys = [r[0] for r in sizes.filter(F.col("count") > limit).select(key).collect()]
-    flags = df.sparkSession.createDataFrame([(k,) for k in hot_keys], df.select(key).schema)
-    hot = df.join(F.broadcast(flags), key, "left_semi")
-    width = _slice_width(hot, key, "_pos", limit)
-    sliced = (
-        df.join(F.broadcast(flags.withColumn("_hot", F.lit(True))), key, "left")
-        .withColumn("_s", F.when(F.col("_hot"), F.floor(F.col("_pos") / F.lit(width))).otherwise(F.lit(0))
-                    .cast("bigint"))
-    )
-    w = Window.partitionBy(key, "_s").orderBy("_pos", *ties)
-    ranked = sliced.withColumn("_r", F.row_number().over(w) - 1)
-    counts = (hot.groupBy(key, F.floor(F.col("_pos") / F.lit(width)).cast("bigint").alias("_s"))
-              .agg(F.count("*").alias("_n")))
-    before = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (
-        ranked.join(offsets, [key, "_s"], "left")
-        .withColumn(out, (F.col("_r") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-        .drop("_pos", "_hot", "_s", "_r", "_before")
-    )
+    flags = sizes.where(F.col("count") > hot_rows).select(F.col(key).alias("_hot_key"))
+    same = F.col(key).eqNullSafe(F.col("_hot_key"))
+    cold = df.join(flags, same, "left_anti").withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    ranges = -(-total // hot_rows)
+    hot = df.join(flags, same, "left_semi").repartitionByRange(int(ranges), key, "_pos", *ties)
+    path = scratch_path(df.sparkSession, "ranks")
+    hot.withColumn("_s", F.spark_partition_id()).write.parquet(path)
+    hot = df.sparkSession.read.parquet(path)
+    ranked = hot.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy("_pos", *ties)) - 1)
+    counts = hot.groupBy(F.col(key).alias("_key"), F.col("_s").alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = ranked.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_part")))
+    ranked = ranked.withColumn(out, (F.col("_r") + F.col("_before")).cast("bigint")).select(*cold.columns)
+    return cold.union(ranked).drop("_pos")
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, bins: int = 4096, small: int = 1_000_000) -> float | None:
@@ -115,8 +99,13 @@ def exact_quantile(df: DataFrame, value: str, q: float, bins: int = 4096, small:
     return below + (above - below) * (rank - int(rank))
 
 
-def unique_names(df: DataFrame, name: str, order: Sequence[str], out: str = "unique_name", scope: Sequence[str] = ()) -> DataFrame:
-    """Second and later uses of a name get `_2`, `_3`, ... within `scope` (one export, so one set of columns)."""
-    w = Window.partitionBy(*scope, name).orderBy(*order)
-    rn = F.row_number().over(w)
-    return df.withColumn(out, F.when(rn == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), rn.cast("string"))))
+def unique_names(df: DataFrame, name: str, order: Sequence[str], out: str = "unique_name", scope: Sequence[str] = (),
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Second and later uses of a name get `_2`, `_3`, ... within `scope` (one export, so one set of columns).
+
+    A name that is used very often is numbered in ranges of `order`, not in one task.
+    """
+    keyed = df.withColumn("_name", F.struct(*[F.col(c) for c in (*scope, name)]))
+    numbered = with_ordinal(keyed, "_name", F.lit(0), order, "_use", hot_rows)
+    again = F.concat(F.col(name), F.lit("_"), (F.col("_use") + 1).cast("string"))
+    return numbered.withColumn(out, F.when(F.col("_use") == 0, F.col(name)).otherwise(again)).drop("_name", "_use")

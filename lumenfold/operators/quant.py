@@ -34,8 +34,18 @@ def missing_factors(areas: DataFrame, rsf: DataFrame) -> DataFrame:
         F.count("*").alias("n_rows"))
 
 
-def wide_by_region(pct: DataFrame, scope: Sequence[str], regions: Sequence[str], value: str = "atomic_percent",
+def all_names(df: DataFrame, name: str | Column, wanted: Sequence[str] | None = None) -> list[str]:
+    """The wanted names in their order, then every other one that occurs, sorted: a pivot on them loses no row."""
+    column = F.col(name) if isinstance(name, str) else name
+    found = df.select(column.cast("string").alias("_n")).distinct().where("_n is not null").toArrow().column("_n").to_pylist()
+    wanted = list(wanted or [])
+    return wanted + sorted(set(found) - set(wanted))
+
+
+def wide_by_region(pct: DataFrame, scope: Sequence[str], regions: Sequence[str] | None = None, value: str = "atomic_percent",
                    fill: float | None = None) -> DataFrame:
+    """One column for each region; regions that are not listed follow those that are."""
+    regions = all_names(pct, "region", regions)
     wide = pct.groupBy(*scope).pivot("region", list(regions)).agg(F.first(value))
     return wide if fill is None else wide.na.fill(fill, list(regions))
 
@@ -79,12 +89,12 @@ def value_column(df: DataFrame, preferred: str | None = None) -> str:
     raise ValueError("no value column for the component table")
 
 
-def component_features(comps: DataFrame, names: Sequence[tuple[str, str]], value: str, how: str = "sum",
+def component_features(comps: DataFrame, names: Sequence[tuple[str, str]] | None, value: str, how: str = "sum",
                        normalise: bool = False) -> DataFrame:
-    """Wide table (sample, R_C_perc...) over layers with missing components as 0."""
+    """Wide table (sample, R_C_perc...) over layers with missing components as 0; unlisted components follow the listed."""
     agg = {"sum": F.sum, "mean": F.avg, "max": F.max}.get(how, F.sum)
-    cols = [f"{r}_{c}_perc" for r, c in names]
     key = F.concat_ws("_", "region", "component", F.lit("perc"))
+    cols = all_names(comps, key, [f"{r}_{c}_perc" for r, c in names or []])
     wide = comps.withColumn("_k", key).groupBy("sample").pivot("_k", cols).agg(agg(value)).na.fill(0.0, cols)
     if normalise:
         total = sum((F.col(c) for c in cols), F.lit(0.0))
@@ -93,23 +103,27 @@ def component_features(comps: DataFrame, names: Sequence[tuple[str, str]], value
     return wide
 
 
-def chemistry_table(comp_pct: DataFrame, prefix: str, components: Sequence[str], label: Column) -> DataFrame:
+def chemistry_table(comp_pct: DataFrame, prefix: str, components: Sequence[str] | None, label: Column) -> DataFrame:
     """Mean component percent per sample label over regions that start with a prefix, with the row total."""
-    wide = (comp_pct.filter(F.col("region").startswith(prefix)).withColumn("label", label)
-            .groupBy("label").pivot("component", list(components)).agg(F.avg("component_atomic_percent"))
+    own = comp_pct.filter(F.col("region").startswith(prefix)).withColumn("label", label)
+    components = all_names(own, "component", components)
+    wide = (own.groupBy("label").pivot("component", list(components)).agg(F.avg("component_atomic_percent"))
             .na.fill(0.0, list(components)))
     return wide.withColumn("total", sum((F.col(c) for c in components), F.lit(0.0)))
 
 
-def last_value_table(rows: DataFrame, scope: Sequence[str], column: str, names: Sequence[str], value: str,
+def last_value_table(rows: DataFrame, scope: Sequence[str], column: str, names: Sequence[str] | None, value: str,
                      order: Sequence[str]) -> DataFrame:
     """Matrix in which a later row overwrites an earlier one; absent cells are 0."""
+    names = all_names(rows, column, names)
     latest = rows.groupBy(*scope, column).agg(F.max_by(value, F.struct(*order)).alias("_v"))
     return latest.groupBy(*scope).pivot(column, list(names)).agg(F.first("_v")).na.fill(0.0, list(names))
 
 
-def first_value_table(rows: DataFrame, scope: Sequence[str], column: str, names: Sequence[str], value: str,
+def first_value_table(rows: DataFrame, scope: Sequence[str], column: str, names: Sequence[str] | None, value: str,
                       order: Sequence[str]) -> DataFrame:
+    """Matrix in which the first row counts; absent cells are 0."""
+    names = all_names(rows, column, names)
     first = rows.groupBy(*scope, column).agg(F.min_by(value, F.struct(*order)).alias("_v"))
     return first.groupBy(*scope).pivot(column, list(names)).agg(F.first("_v")).na.fill(0.0, list(names))
 

@@ -20,7 +20,11 @@ from lumenfold.operators import peaks as pk
 
 @dataclass
 class MapRun:
-    """pixels: one row per pixel with entropy, mask, cluster and component amounts."""
+    """pixels: one row per pixel with entropy, mask, cluster and component amounts.
+
+    status: `masked` (components fitted inside the mask), `all_pixels` (too few pixels inside it for the components, so
+    all were taken) or `not_wished` (no decomposition).
+    """
 
     pixels: DataFrame
     variability: DataFrame
@@ -28,6 +32,7 @@ class MapRun:
     factorisation: dc.Factorisation | None
     decomposed: bool
     cached: list[DataFrame] = field(default_factory=list)
+    status: str = "masked"
 
     def release(self) -> None:
         """Free the cached tables once the results are written."""
@@ -37,10 +42,11 @@ class MapRun:
 
 def run_map(spectra: DataFrame, axis: Sequence[float], region: str, low_counts: float = 2.0, reference: float | None = None,
             n_pca: int = 3, n_clusters: int = 4, focus: Sequence[int] | None = None, key: str = "vec_id",
-            force: bool = True) -> MapRun:
+            force: bool = True, max_components: int = 10) -> MapRun:
     """Variability, entropy, low-count mask, alignment, crop, channel mask, cluster validation, cluster mask, components.
 
-    `force` runs the decomposition even when the automatic rule would not.
+    `force` runs the decomposition even when the automatic rule would not; it has as many components as 95 % of the
+    variance need, at most `max_components`.
     """
     known = fv.REGION_DEFINITIONS.get(region)
     spread = mp.variability(spectra)
@@ -71,18 +77,20 @@ def run_map(spectra: DataFrame, axis: Sequence[float], region: str, low_counts:
     if not force:
         stats = spread.crossJoin(F.broadcast(mp.entropy_statistics(spectra)))  # one row each
         wish = stats.select(mp.worth_decomposing(F.col("mean_sigma"), F.col("max_sigma"), F.col("std")).alias("run")).first()["run"]
-    factor = None
+    factor, status = None, "not_wished"
     out = labelled
     if wish:
-        scree = dc.fit_pca(d, 10)
-        k = dc.component_count(scree.ratio, 0.95, most=4)
+        status = "masked"
+        scree = dc.fit_pca(d, max_components)
+        k = dc.component_count(scree.ratio, 0.95, most=max_components)
         start = np.abs(scree.axes[:, :k].T)
         try:
             factor = dc.fit_mcr(labelled.filter("mask"), k, start=start)
         except ValueError:  # no pixel inside the mask, or too few for k components
             factor = dc.fit_mcr(labelled, k, start=start)
+            status = "all_pixels"
         out = labelled.withColumn("amounts", dc.concentrations(F.col("intensity"), factor.spectra))
-    return MapRun(out.drop("scores", "valid"), spread, valid, factor, factor is not None, [d, labelled])
+    return MapRun(out.drop("scores", "valid"), spread, valid, factor, factor is not None, [d, labelled], status)
 
 
 @dataclass

@@ -184,7 +184,7 @@ def fit_pixel_map(spark, sf):
 def fit_pixel_pipeline(spark, sf):
     from lumenfold.plans.pipelines import run_pixel_fits
     peaks = ft.initial_peaks([t for t in templates() if t.region == "C1s"], "c1s")
-    r = run_pixel_fits(map_spectra(spark, sf), AXIS, peaks, nmf_iterations=30)
+    r = run_pixel_fits(map_spectra(spark, sf), AXIS, peaks)
     return r.pixels.select("vec_id", "amplitudes", "shift", "mse", "scores", "amounts")
 
 
@@ -192,13 +192,13 @@ def fit_pixel_pipeline(spark, sf):
 def fit_map_components(spark, sf):
     """Decompose a map, fit the component spectra with a template, label them and give their shares."""
     m = map_spectra(spark, sf)
-    f = dc.fit_mcr(m, 3, iterations=20)
+    f = dc.fit_mcr(m, 3)
     rows = [(k, "C1s", AXIS, [float(v) for v in s]) for k, s in enumerate(f.spectra)]
     d = spark.createDataFrame(rows, "component_id int, region string, energy array<double>, intensity array<double>")
     t = [x for x in templates() if x.region == "C1s"]
     fits = ft.fit_templates(d, t, ["component_id"])
     pts = pt.unpack(d).withColumnRenamed("intensity", "corrected")
-    areas = ft.evaluate_fit(pts, fits.filter("status = 'ok'"), ["component_id"])
+    areas = ft.evaluate_fit(pts, fits.filter("status in ('ok', 'not_converged')"), ["component_id"])
     lab = ft.label_components(fits, areas, ["component_id"])
     total = lab.agg(F.sum("total_area").alias("_t"))
     return lab.crossJoin(F.broadcast(total)).select(

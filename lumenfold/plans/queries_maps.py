@@ -214,7 +214,7 @@ def map_kmeans(spark, sf):
 @query("map_nmf")
 def map_nmf(spark, sf):
     m = map_spectra(spark, sf)
-    f = dc.fit_nmf(m, 3, iterations=100, tol=1e-5)
+    f = dc.fit_nmf(m, 3)
     return m.select("vec_id", F.posexplode(dc.concentrations(F.col("intensity"), f.spectra, exact=True)).alias("component", "value"))
 
 
@@ -314,7 +314,7 @@ def map_cluster_sizes(spark, sf):
     return mp.cluster_sizes(map_spectra(spark, sf), "label").select("label", "size", rnd("percent", 6).alias("percent"))
 
 
-@query("map_silhouette", f"""WITH {MAP}, d AS (SELECT p.vec_id, p.label AS own, q.label AS other, list_distance(p.a, q.a) AS d, p.vec_id = q.vec_id AS me FROM px p, px q),
+@query("map_silhouette", f"""WITH {MAP}, d AS (SELECT p.vec_id, p.label AS own, q.label AS other, pow(list_distance(p.a, q.a), 2) AS d, p.vec_id = q.vec_id AS me FROM px p, px q),
 g AS (SELECT vec_id, own, other, sum(CASE WHEN me THEN 0 ELSE d END) AS s, count(*) AS n FROM d GROUP BY 1, 2, 3),
 ab AS (SELECT vec_id, own, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM g GROUP BY 1, 2)
 SELECT own AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0e0 AS silhouette FROM ab GROUP BY 1""")
@@ -323,6 +323,15 @@ def map_silhouette(spark, sf):
     return s.groupBy("label").agg(F.count("*").alias("n"), rnd(F.avg("silhouette"), 6).alias("silhouette"))
 
 
+@query("map_silhouette_sampled", f"""WITH {MAP}, d AS (SELECT p.vec_id, p.label AS own, q.label AS other, list_distance(p.a, q.a) AS d, p.vec_id = q.vec_id AS me FROM px p, px q),
+g AS (SELECT vec_id, own, other, sum(CASE WHEN me THEN 0 ELSE d END) AS s, count(*) AS n FROM d GROUP BY 1, 2, 3),
+ab AS (SELECT vec_id, own, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM g GROUP BY 1, 2)
+SELECT own AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0e0 AS silhouette FROM ab GROUP BY 1""")
+def map_silhouette_sampled(spark, sf):
+    s = mp.sampled_silhouette(map_spectra(spark, sf), "label")
+    return s.groupBy("label").agg(F.count("*").alias("n"), rnd(F.avg("silhouette"), 6).alias("silhouette"))
+
+
 @query("map_cluster_validation", f"""WITH {MAP}, cm AS (SELECT CAST(label AS BIGINT) AS instrument, 0 AS sweep, CAST(c AS INTEGER) AS i, avg(v) AS y FROM mp GROUP BY 1, 3), {peaks_sql('cm', 'y')},
 mx AS (SELECT instrument, max(y) AS top, arg_max(i, (y, -i)) AS imax FROM cm GROUP BY 1), k AS (SELECT p.instrument, p.i, row_number() OVER (PARTITION BY p.instrument ORDER BY h DESC, p.i) AS rn FROM pk p JOIN mx USING (instrument) WHERE prom >= top * 5e-2)
 SELECT CAST(mx.instrument AS INTEGER) AS label, top >= 1e-6 AS valid, round(280e0 + 1875e-4 * coalesce(k.i, imax), 4) AS peak_ev, NOT (280e0 + 1875e-4 * coalesce(k.i, imax) BETWEEN 282 AND 292) AS out_of_range FROM mx LEFT JOIN k ON k.instrument = mx.instrument AND rn = 1""")

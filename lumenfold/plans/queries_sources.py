@@ -79,7 +79,7 @@ def source_depth_table(spark, sf):
     return exploded(tx.parse_depth_table(d).drop("lines"))
 
 
-@query("source_blocks", f"""WITH {PTS} SELECT instrument, CAST(sweep AS BIGINT) AS sweep, region, CAST(7 AS INTEGER) AS block, 235e-1 AS pass_energy, count(*) AS n, round(max(14866e-1 - (energy + 400)), 4) + 0e0 AS top_ev, round(sum(raw), 3) + 0e0 AS total FROM pts GROUP BY 1, 2, 3 HAVING count(*) > 10""")
+@query("source_blocks", f"""WITH {PTS} SELECT instrument, CAST(sweep AS BIGINT) AS sweep, region, CAST(7 AS INTEGER) AS block, 235e-1 AS pass_energy, count(*) AS n, round(max(14866e-1 - (energy + 400)), 4) + 0e0 AS top_ev, round(sum(raw), 3) + 0e0 AS total FROM pts GROUP BY 1, 2, 3""")
 def source_blocks(spark, sf):
     title = F.concat(F.regexp_replace("region", r"(\d)", " $1"), F.lit("/7"))
     body = F.array_join(F.zip_with("energy", "raw", lambda e, y: F.concat((e + 400).cast("string"), F.lit(" "), y.cast("string"))), "\n")

@@ -1,4 +1,4 @@
-"""Session helpers: checkpoint folder, size checks before broadcasting."""
+"""Session helpers: shared folder, size checks before broadcasting."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only when it has at most this many rows, which is checked by reading one row more.
 BROADCAST_ROWS = 20_000
+# ... and at most so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,33 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return shared
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); runs one job."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
-               salts: int = 32, rows: int = BROADCAST_ROWS) -> DataFrame:
+               salts: int = 32, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Attach one-row-per-key statistics to a large table without moving a hot key to one task.
 
-    The statistics are computed once, up to one row beyond the bound. Within the bound they become a local table and
+    The statistics are computed once, up to one row beyond the bound. Within the bounds of rows and bytes they become a local table and
     are broadcast, so the large side is not shuffled. Beyond it they are copied over a fixed number of salts and the
     large side is salted per row, which splits every key.
     """
     head = stats.limit(rows + 1).toArrow()
-    if head.num_rows <= rows:
+    if head.num_rows <= rows and head.nbytes <= most_bytes:
         return df.join(F.broadcast(df.sparkSession.createDataFrame(head, stats.schema)), keys, how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -84,7 +84,10 @@ def _up_to(first: Column, last: Column) -> Column:
 # ---- formats ----------------------------------------------------------------
 
 def detect_format(extension: Column, text: Column) -> Column:
-    """Extension first, then the first 1000 characters of text formats."""
+    """Extension first, then the first 1000 characters of text formats.
+
+    The counts of separators and region tokens that decide are those of that stretch, so the stretch is part of the rule.
+    """
     head = F.substring(text, 1, 1000)
     separators = F.greatest(F.regexp_count(head, F.lit("\t")), F.regexp_count(head, F.lit(",")))
     many = (separators > 20) & (F.regexp_count(head, F.lit(r"\b[A-Z][a-z]?\d[spdf]\b")) > 1)
@@ -223,31 +226,40 @@ def parse_depth_table(files: DataFrame, lines: str = "lines", out: str = "points
     return materialise(d, **{out: pts}).drop("_rows", "_head", "_width", "_cells", "_cols", "_data", "_labels")
 
 
+# Fixed value: the title of a labelled block, with region and number.
 BLOCK_HEAD = r"^\s*([A-Za-z][a-z]?\s*\d[spdfSPDF]|(?i:survey)|VB|Auger)\s*/\s*(\d+)"
 
 
 def parse_blocks(files: DataFrame, lines: str = "lines") -> DataFrame:
     """Labelled blocks (`C 1s/7`): one row per block with region, number, pass energy and its points.
 
-    A block holds metadata lines, a line with the number of points, then that many energy/intensity lines.
+    A block holds metadata lines, a line with the number of points, then that many energy/intensity lines. The number
+    is the first whole number on a line of its own that is followed by as many data lines, of whatever count. A block
+    without one has status `count_mismatch` and no points; others have `ok`.
     """
     heads = materialise(files, _h=_heads(F.col(lines), F.transform(lines, lambda s: s.rlike(BLOCK_HEAD))))
     b = heads.withColumn("_b", F.explode("_h"))
     b = materialise(b, _title=F.get(lines, F.col("_b.at")), _body=F.slice(lines, F.col("_b.at") + 2, F.greatest(
         F.col("_b.end") - F.col("_b.at") - 1, F.lit(0))))
-    at = first_where(F.col("_body"), lambda s: F.trim(s).rlike(r"^\d+$") & F.trim(s).try_cast("int").between(11, 9999))
-    b = materialise(b, _at=at)
+    b = materialise(b, _whole=F.transform("_body", lambda s: F.trim(s).rlike(r"^\d+$")), _n=F.transform("_body", numbers))
+    places = F.filter(F.transform("_whole", lambda v, k: F.when(v, k)), lambda k: k.isNotNull())
+    after = lambda k: F.size(F.filter(F.slice("_n", k + 2, F.size("_n")), lambda v: F.size(v) >= 2))
+    fits = F.filter(places, lambda k: F.trim(F.get("_body", k)).try_cast("int") == after(k))
+    b = materialise(b, _at=F.coalesce(F.get(fits, F.lit(0)), F.lit(-1)))
     count = F.trim(F.get("_body", F.col("_at"))).try_cast("int")
-    data = F.filter(F.transform(F.slice("_body", F.col("_at") + 2, F.size("_body")), numbers), lambda v: F.size(v) >= 2)
+    data = F.filter(F.slice("_n", F.col("_at") + 2, F.size("_n")), lambda v: F.size(v) >= 2)
     pe = F.regexp_extract(F.array_join(F.slice("_body", F.lit(1), F.greatest(F.col("_at"), F.lit(0))), "\n"),
                           r"(?i)pass[_ ]?energy[\s=:]+([0-9]+(?:\.[0-9]*)?)", 1).try_cast("double")
     b = materialise(b, _pairs=F.when(F.col("_at") >= 0, F.slice(F.transform(data, _pair), F.lit(1), count)))
     name = F.regexp_replace(F.regexp_extract("_title", BLOCK_HEAD, 1), r"\s+", "")
     keep = [c for c in files.columns if c not in (lines, "text")]
-    return b.filter(F.size("_pairs") >= 3).select(
+    none = F.array().cast("array<struct<e: double, y: double>>")
+    b = b.withColumn("status", F.when(F.col("_at") >= 0, "ok").otherwise("count_mismatch"))
+    b = b.withColumn("_pairs", F.coalesce("_pairs", none))
+    return b.select(
         *keep, F.coalesce(region_token(name), name).alias("region"),
         F.regexp_extract("_title", BLOCK_HEAD, 2).try_cast("int").alias("block"), pe.alias("pass_energy"),
-        F.transform("_pairs", lambda p: p["e"]).alias("energy"), F.transform("_pairs", lambda p: p["y"]).alias("intensity"))
+        F.transform("_pairs", lambda p: p["e"]).alias("energy"), F.transform("_pairs", lambda p: p["y"]).alias("intensity"), "status")
 
 
 def to_binding(energy: Column, kinetic: Column, photon_ev: float = fv.PHOTON_ENERGY_EV) -> Column:
@@ -258,10 +270,11 @@ def to_binding(energy: Column, kinetic: Column, photon_ev: float = fv.PHOTON_ENE
 # ---- maps -------------------------------------------------------------------
 
 def header_dims(lines: Column) -> Column:
-    """STRUCT(nx, ny) named in the first 50 lines; NULL unless both are there."""
+    """STRUCT(nx, ny), each as named first in the text; NULL unless both are there."""
     def value(names: str) -> Column:
+        # Fixed value: how a header names a dimension.
         pattern = rf"(?i)(?:^|\b)(?:{names})\s*[:=]\s*(\d+)"
-        hits = F.filter(F.transform(F.slice(lines, 1, 50), lambda s: F.regexp_extract(s, pattern, 1)), lambda v: v != "")
+        hits = F.filter(F.transform(lines, lambda s: F.regexp_extract(s, pattern, 1)), lambda v: v != "")
         return F.get(hits, F.lit(0)).try_cast("int")
 
     nx, ny = value(r"nx|X\s*(?:size|points|pixels)|Width"), value(r"ny|Y\s*(?:size|points|pixels)|Height")
@@ -286,8 +299,8 @@ def parse_maps(files: DataFrame, lines: str = "lines", regions: dict | None = No
     clean = F.filter(F.transform(F.col(lines), lambda s: F.trim(s)), lambda s: s != "")
     d = materialise(files, _l=clean)
     known = F.array(*[F.lit(r.lower()) for r in regions])
-    exact = first_where(F.slice("_l", 1, 20), lambda s: F.array_contains(known, F.lower(F.regexp_replace(s, "[^A-Za-z0-9]", ""))))
-    loose = first_where(F.slice("_l", 1, 20), lambda s: ~is_numeric(s) & ~s.rlike(r"\b\d{1,2}[-/](?:[A-Za-z]{3}|\d{1,2})\b"))
+    exact = first_where(F.col("_l"), lambda s: F.array_contains(known, F.lower(F.regexp_replace(s, "[^A-Za-z0-9]", ""))))
+    loose = first_where(F.col("_l"), lambda s: ~is_numeric(s) & ~s.rlike(r"\b\d{1,2}[-/](?:[A-Za-z]{3}|\d{1,2})\b"))
     d = materialise(d, _r=F.when(exact >= 0, exact).otherwise(loose)).filter("_r >= 0")
     d = materialise(d, _n=F.transform("_l", numbers))
     # the scalars may be spread over several lines: walk on until six were seen
@@ -426,20 +439,23 @@ def triage(files: DataFrame, extension: str = "extension", lines: str = "lines",
     d = materialise(files, _l=full)
     d = materialise(d, _n=F.transform("_l", numbers), _num=F.transform("_l", lambda s: F.contains(s, F.lit(",")) & is_numeric(s)))
     k = F.size("_l")
-    region = F.exists(F.slice("_l", 1, 6), lambda s: s.rlike("(?i)" + "|".join(REGION_WORDS)))
-    words = F.lower(F.array_join(F.slice("_l", 1, 10), " ")).rlike("|".join(DEPTH_WORDS))
-    lone = F.filter(F.transform(F.slice("_l", 1, 12), lambda s: F.trim(s).try_cast("double")), lambda v: v.isNotNull())
+    table = first_where(F.zip_with("_num", "_n", lambda a, v: a & (F.size(v) >= 2)), lambda b: b)
+    d = materialise(d, _head=F.when(table >= 0, F.slice("_l", 1, table)).otherwise(F.col("_l")))  # all before the first data line
+    head = F.col("_head")
+    region = F.exists(head, lambda s: s.rlike("(?i)" + "|".join(REGION_WORDS)))
+    words = F.lower(F.array_join(head, " ")).rlike("|".join(DEPTH_WORDS))
+    lone = F.filter(F.transform(head, lambda s: F.trim(s).try_cast("double")), lambda v: v.isNotNull())
     nx, ny = F.get(lone, F.lit(2)), F.get(lone, F.lit(5))
     spatial = (F.size(lone) >= 6) & nx.between(1, 5000) & ny.between(1, 5000) & (nx == F.floor(nx)) & (ny == F.floor(ny))
     start = first_where(F.zip_with("_num", "_n", lambda a, v: a & (F.size(v) >= 2)), lambda b: b)
     d = materialise(d, _region=region, _words=words, _spatial=F.coalesce(spatial, F.lit(False)), _pixels=nx * ny, _start=start)
-    data = F.slice("_n", F.greatest(F.col("_start"), F.lit(0)) + 1, F.lit(300))
+    data = F.slice("_n", F.greatest(F.col("_start"), F.lit(0)) + 1, F.size("_n"))
     d = materialise(d, _data=data, _cols=F.when(F.col("_start") >= 0, F.size(F.get("_n", F.col("_start")))).otherwise(0))
-    first = F.transform(F.slice("_data", 1, 60), lambda v: F.get(v, F.lit(0)))
+    first = F.transform("_data", lambda v: F.get(v, F.lit(0)))
     steps = F.transform(F.slice(first, F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))), lambda v, q: v - F.get(first, q))
     up, down = F.size(F.filter(steps, lambda s: s > 0)), F.size(F.filter(steps, lambda s: s < 0))
     ordered = (F.size(first) >= 5) & (F.greatest(up, down) >= 0.7 * F.size(steps))
-    even = F.forall(F.slice("_data", 1, 120), lambda v: F.size(v) == F.col("_cols"))
+    even = F.forall("_data", lambda v: F.size(v) == F.col("_cols"))
     usable = (k >= 8) & (F.col("_start") >= 0) & (F.size("_data") >= 5) & (F.col("_cols") >= 2)
 
     def score(flag: Column, value: float) -> Column:
@@ -454,8 +470,8 @@ def triage(files: DataFrame, extension: str = "extension", lines: str = "lines",
     rest = k - F.col("_axis") - 1
     fits = F.col("_spatial") & (F.col("_axis") >= 0) & (F.abs(rest - F.col("_pixels")) <= F.greatest(F.lit(1.0), 0.1 * F.col("_pixels")))
     grid = F.when(k >= 8, score(F.col("_region"), 0.25) + score(F.col("_spatial"), 0.4) + score(F.col("_axis") >= 0, 0.3) + score(fits, 0.1)).otherwise(0.0)
-    pairs = F.size(F.filter(F.zip_with(F.slice("_l", 1, 80), F.slice("_n", 1, 80), lambda s, v: s.rlike("[,\t]") & (F.size(v) >= 2)), lambda b: b))
-    spaced = F.size(F.filter(F.slice("_n", 1, 60), lambda v: F.size(v) >= 2))
+    pairs = F.size(F.filter(F.zip_with("_l", "_n", lambda s, v: s.rlike("[,\t]") & (F.size(v) >= 2)), lambda b: b))
+    spaced = F.size(F.filter("_n", lambda v: F.size(v) >= 2))
     d = materialise(d, _map=F.round(grid, 6), _pairs=pairs, _spaced=spaced)
     e, cycles = F.lower(F.col(extension)), F.col("_cols") - 1
     csv_type = (F.when((F.col("_depth") > 0.6) & (cycles >= 2), "depth_profile").when(F.col("_map") > 0.7, "map_hyperspectral")
