@@ -15,6 +15,8 @@ from lumenfold.llm.common import Words, mix, pieces, written
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 50, 4, 2, 0.8
 #: Windows of a task that are grouped before they are shuffled; shingles looked at together; words skipped at an edit.
 GROUPED, SEGMENT, SKIP = 1 << 20, 1 << 22, 12
+#: Document ids, 8 bytes each, that may be broadcast.
+BROADCAST_IDS = 500_000
 _LOW = np.uint64((1 << 24) - 1)
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -172,8 +174,8 @@ def _enough(doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, least: int, enoug
         if not len(near):
             break
         joined = near[np.minimum(high[near], high[near + shift]) - np.maximum(low[near], low[near + shift]) + 1 >= least]
-        np.bitwise_or.at(seen, joined, kinds[joined + shift])
-        np.bitwise_or.at(seen, joined + shift, kinds[joined])
+        seen[joined] |= kinds[joined + shift]
+        seen[joined + shift] |= kinds[joined]
     return np.bitwise_count(seen) >= enough
 
 
@@ -188,7 +190,10 @@ def _candidates(links: DataFrame, least: int, enough: int) -> DataFrame:
 
         def pairs(rows: np.ndarray) -> pa.RecordBatch:
             rows = rows[_enough(rows[:, 0], rows[:, 2], rows[:, 1], least, enough)] if len(rows) else rows
-            rows = np.unique(np.stack([rows[:, 0], rows[:, 3], rows[:, 1] >> 32, rows[:, 4]], axis=1), axis=0)
+            doc, rep, here, there = rows[:, 0], rows[:, 3], rows[:, 1] >> 32, rows[:, 4]
+            order = np.lexsort((there, here, rep, doc))
+            rows = np.stack([doc[order], rep[order], here[order], there[order]], axis=1)
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])[:len(rows)]]
             start = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[:len(rows)])
             ends = np.append(start, len(rows)).astype(np.int32)
             columns = [pa.array(rows[start, 0]), pa.array(rows[start, 1])] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[:, k].copy())) for k in (2, 3)]
@@ -209,7 +214,7 @@ def _candidates(links: DataFrame, least: int, enough: int) -> DataFrame:
 
 
 def _regions(pairs: DataFrame, shingle: int, least: int) -> DataFrame:
-    """Replaces the text of the earlier document by the shingles around the shared places."""
+    """Replaces the text of the earlier document by the shingles around the shared places, 32 bits of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -218,7 +223,8 @@ def _regions(pairs: DataFrame, shingle: int, least: int) -> DataFrame:
             for i, there in enumerate(batch.column("there").to_pylist()):
                 low = max(0, min(there) - least - SKIP)
                 starts.append(low)
-                parts.append(hashed[offsets[i] + low:min(offsets[i + 1], offsets[i] + max(there) + least + SKIP)].tobytes())
+                part = hashed[offsets[i] + low:min(offsets[i + 1], offsets[i] + max(there) + least + SKIP)]
+                parts.append((part >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc", "rep", "here", "there")), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())],
                 ["doc", "rep", "here", "there", "low", "region"])
@@ -226,17 +232,36 @@ def _regions(pairs: DataFrame, shingle: int, least: int) -> DataFrame:
     return pairs.mapInArrow(run, "doc long, rep long, here array<long>, there array<long>, low long, region binary")
 
 
+_EDITS = np.add.outer(np.arange(SKIP + 1), np.arange(SKIP + 1))
+_NEAREST = np.argsort(_EDITS, axis=None, kind="stable")
+
+
 def _run(a: np.ndarray, b: np.ndarray) -> int:
     """How many leading values are equal."""
-    n = min(len(a), len(b))
-    size = 64
-    for begin in range(0, n, size):
-        differ = np.flatnonzero(a[begin:min(n, begin + size)] != b[begin:min(n, begin + size)])
-        if len(differ):
-            return begin + int(differ[0])
+    n, begin, size = min(len(a), len(b)), 0, 128
+    while begin < n:
+        end = min(n, begin + size)
+        differ = a[begin:end] != b[begin:end]
+        at = int(differ.argmax())
+        if differ[at]:
+            return begin + at
+        begin, size = end, 4 * size
     return n
 
 
+def _next(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """The nearest steps, up to SKIP in each sequence, to a value that both have."""
+    x, y = a[:SKIP + 1], b[:SKIP + 1]
+    same = x[:, None] == y[None, :]
+    if not same.any():
+        return None
+    if same.shape == _EDITS.shape:
+        return divmod(int(_NEAREST[same.ravel()[_NEAREST].argmax()]), SKIP + 1)
+    steps = np.argwhere(same)
+    best = steps[steps.sum(axis=1).argmin()]
+    return int(best[0]), int(best[1])
+
+
 def _extend(a: np.ndarray, b: np.ndarray, similarity: float, had: tuple[int, int, int]) -> tuple[int, int, int]:
     """Steps along two sequences from their starts: values used of each and matches, while the whole stays similar.
 
@@ -246,22 +271,15 @@ def _extend(a: np.ndarray, b: np.ndarray, similarity: float, had: tuple[int, int
     while True:
         run = _run(a[i:], b[j:])
         i, j, matched = i + run, j + run, matched + run
-        best = None
-        for skip in range(-SKIP, SKIP + 1):  # the next place where both go on together, whatever one of them inserted
-            x, y = a[i + max(skip, 0):][:SKIP], b[j + max(-skip, 0):][:SKIP]
-            n = min(len(x), len(y))
-            at = np.flatnonzero(x[:n] == y[:n]) if n else ()
-            if len(at):
-                cost = int(at[0]) * 2 + abs(skip)
-                if best is None or cost < best[0]:
-                    best = (cost, i + max(skip, 0) + int(at[0]), j + max(-skip, 0) + int(at[0]))
-        if best is None:
+        edit = _next(a[i:], b[j:])
+        if edit is None:
             return i, j, matched
-        run = _run(a[best[1]:], b[best[2]:])
+        x, y = i + edit[0], j + edit[1]
+        run = _run(a[x:], b[y:])
         m = had[2] + matched + run
-        if m < similarity * (had[0] + best[1] + run + had[1] + best[2] + run - m):
+        if m < similarity * (had[0] + x + run + had[1] + y + run - m):
             return i, j, matched
-        i, j = best[1], best[2]
+        i, j = x, y
 
 
 def align(a: np.ndarray, b: np.ndarray, here: list[int], there: list[int], least: int, similarity: float) -> list[tuple]:
@@ -302,7 +320,7 @@ def near_duplicate_passages(docs: DataFrame, shingle: int = SHINGLE, passage: in
     texts = _texts(docs)
     links = _star(_windows(texts, shingle, least, hashes))
     first = written(_verified(_candidates(links, least, enough), texts, shingle, least, similarity), "passages")
-    again = _star(_paired(first.where("failed is not null"), least))
+    again = written(_star(_paired(first, shingle, least)), "again")
     second = _verified(_candidates(again, 1, 1), texts, shingle, least, similarity)
     columns = ["doc_id", "start", "end", "kept_doc_id", "kept_start", "kept_end", "similarity"]
     return first.where("failed is null").select(*columns).union(second.where("failed is null").select(*columns)).distinct()
@@ -324,6 +342,11 @@ _VERIFIED = ("doc_id long, start long, end long, kept_doc_id long, kept_start lo
 
 def _verified(candidates: DataFrame, texts: DataFrame, shingle: int, least: int, similarity: float) -> DataFrame:
     """Verified passages, and rows with the places and shingles of a document where its links failed."""
+    candidates = written(candidates, "pairs")
+    involved = candidates.select(F.col("doc").alias("doc_id")).union(candidates.select("rep")).distinct()
+    # ids that are known to be few are broadcast, so that only the texts they name are shuffled
+    few = involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = texts.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi")
     there = texts.select(F.col("doc_id").alias("rep"), "text")
     here = texts.select(F.col("doc_id").alias("doc"), "text")
     pairs = _regions(candidates.join(there, "rep").select("doc", "rep", "here", "there", "text"), shingle, least)
@@ -335,39 +358,48 @@ def _verified(candidates: DataFrame, texts: DataFrame, shingle: int, least: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             hashed, offsets = shingles(Words(batch.column("text")), shingle)
-            out = []
+            short, out = (hashed >> np.uint64(32)).astype("<u4"), []
             columns = [batch.column(c).to_pylist() for c in ("doc", "rep", "here", "there", "low", "region")]
             for i, (doc, rep, here_, there_, low, region) in enumerate(zip(*columns, strict=True)):
-                a, b = hashed[offsets[i]:offsets[i + 1]], np.frombuffer(region, dtype=np.uint64)
+                a, b = short[offsets[i]:offsets[i + 1]], np.frombuffer(region, dtype="<u4")
                 found = align(a, b, here_, [y - low for y in there_], least, similarity)
                 out += [(doc, p[0], p[1] + shingle - 1, rep, p[2] + low, p[3] + low + shingle - 1, p[4], None, None) for p in found]
                 failed = sorted({x for x in here_ if x < len(a) and not any(p[0] <= x < p[1] for p in found)})
                 if failed:
-                    out.append((doc, None, None, None, None, None, None, failed, a[failed].view(np.int64).tolist()))
+                    out.append((doc, None, None, None, None, None, None, failed, hashed[offsets[i] + np.asarray(failed)].view(np.int64).tolist()))
             columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return pairs.mapInArrow(run, _VERIFIED)
 
 
-def _paired(failed: DataFrame, least: int) -> DataFrame:
-    """Rows for a second grouping: each failed place with each later one within reach, keyed by both shingles."""
-    rows = failed.groupBy(F.col("doc_id").alias("doc")).agg(F.flatten(F.collect_list("failed")).alias("f"), F.flatten(F.collect_list("sigs")).alias("s"))
+def _paired(verified: DataFrame, shingle: int, least: int) -> DataFrame:
+    """Rows for a second grouping: places that no verified passage covers, each with each later one within reach.
+
+    The key holds both shingles and their distance; shingles that share a word are no pair, as one phrase has both.
+    """
+    parts = int(verified.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: no merged tasks
+    rows = verified.repartition(parts, "doc_id").groupBy(F.col("doc_id").alias("doc")).agg(
+        F.flatten(F.collect_list("failed")).alias("f"), F.flatten(F.collect_list("sigs")).alias("s"),
+        F.collect_list("start").alias("a"), F.collect_list("end").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, places, sigs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, places, sigs, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, at = np.unique(np.asarray(places, dtype=np.int64), return_index=True)
-                s = np.asarray(sigs, dtype=np.int64)[at].view(np.uint64)
+                free = np.ones(len(x), dtype=bool)
+                for a, b in zip(starts, ends, strict=True):
+                    free &= (x < a) | (x + shingle > b)
+                x, s = x[free], np.asarray(sigs, dtype=np.int64)[at[free]].view(np.uint64)
                 for shift in range(1, len(x)):
-                    near = np.flatnonzero(x[shift:] - x[:-shift] < least)
-                    if not len(near):
+                    gap = x[shift:] - x[:-shift]
+                    if gap.min() >= least:
                         break
-                    gap = (x[near + shift] - x[near]).astype(np.uint64)
-                    key = mix(s[near] ^ mix(s[near + shift] + mix(gap)))
+                    near = np.flatnonzero((gap >= shingle) & (gap < least))
+                    key = mix(s[near] ^ mix(s[near + shift] + mix(gap[near].astype(np.uint64))))
                     yield _batch(key, key, np.full(len(near), doc), x[near] << 32, None, None)
 
-    return rows.mapInArrow(run, _ROW)
+    return rows.where("size(f) > 0").mapInArrow(run, _ROW)
 
 
 def remove_passages(docs: DataFrame, **options: object) -> DataFrame:
