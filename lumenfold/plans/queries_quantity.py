@@ -303,9 +303,14 @@ def correlate_trend(spark, sf):
     return t.select("n", rnd("r", 6).alias("r"), rnd("slope", 6).alias("slope"), rnd("intercept", 5).alias("intercept"), rnd("t", 5).alias("t"))
 
 
-@query("correlate_p_value")
+@query("correlate_p_value", f"WITH {MERGED}, tr AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, corr({f}, fade) AS r FROM mg" for f in FEAT) + """),
+h AS (SELECT feature, n, asin(sqrt(1 - r * r)) AS top FROM tr),
+z AS (SELECT feature, n, top, k, CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM h, range(4001) t(k)),
+q AS (SELECT feature, n, sum(w * pow(sin(top * k / 4000), n - 3)) * top AS part, sum(w * pow(sin(pi() / 2 * k / 4000), n - 3)) * pi() / 2 AS whole FROM z GROUP BY feature, n, top)
+SELECT feature, n, round(part / whole, 6) + 0e0 AS p FROM q""")
 def correlate_p_value(spark, sf):
-    return co.trend_table(merged(spark, sf), FEAT, "fade").withColumn("p", co.two_sided_p("r", "n"))
+    t = co.trend_table(merged(spark, sf), FEAT, "fade").withColumn("p", co.two_sided_p("r", "n"))
+    return t.select("feature", "n", rnd("p", 6).alias("p"))
 
 
 @query("correlate_trend_table", f"WITH {MERGED}" + " UNION ALL ".join(

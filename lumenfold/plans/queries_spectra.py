@@ -96,7 +96,18 @@ def background_shirley_local(spark, sf):
     return d.select(*KEYS, "i", rnd("background", 5).alias("background"))
 
 
-@query("background_shirley_converged")
+@query("background_shirley_converged", f"""WITH RECURSIVE {PTS},
+g AS (SELECT instrument, sweep, list(energy ORDER BY i) AS x, list(intensity ORDER BY i) AS y, count(*) AS n, greatest(1, least(7, count(*) // 5)) AS m FROM pts GROUP BY 1, 2),
+e AS (SELECT *, list_avg(y[1:m]) AS yl, list_avg(y[n - m + 1:n]) AS yr FROM g),
+it AS (SELECT instrument, sweep, 0 AS k, false AS done, list_transform(range(n), lambda j: CASE WHEN n > 1 THEN yl + (yr - yl) * j / (n - 1) ELSE yl END) AS b FROM e
+UNION ALL
+SELECT instrument, sweep, k + 1, sqrt(list_sum(list_transform(range(1, n + 1), lambda j: pow(nb[j] - b[j], 2)))) / (sqrt(list_sum(list_transform(b, lambda v: v * v))) + 1e-15) < 1e-6, nb
+FROM (SELECT *, list_transform(s, lambda v: yr + (yl - yr) * v / (s[1] + 1e-15)) AS nb
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda j: coalesce(list_sum(seg[j:]), 0e0)) AS s
+    FROM (SELECT it.*, e.n, e.yl, e.yr, list_transform(range(1, e.n), lambda j: (e.x[j + 1] - e.x[j]) * ((e.y[j] - it.b[j]) + (e.y[j + 1] - it.b[j + 1])) / 2) AS seg
+      FROM it JOIN e ON it.instrument = e.instrument AND it.sweep = e.sweep WHERE NOT it.done AND it.k < 100))))
+SELECT l.instrument, CAST(l.sweep AS BIGINT) AS sweep, CAST(p.i AS INTEGER) AS i, round(least(l.b[p.i + 1], p.intensity), 4) + 0e0 AS background
+FROM (SELECT instrument, sweep, arg_max(b, k) AS b FROM it GROUP BY 1, 2) l JOIN pts p ON l.instrument = p.instrument AND l.sweep = p.sweep""")
 def background_shirley_converged(spark, sf):
     d = packed(spark, sf).withColumn("background", bg.shirley_packed(F.col("energy"), F.col("intensity")))
     return d.select(*KEYS, F.posexplode("background").alias("i", "b")).select(*KEYS, "i", rnd("b", 4).alias("background"))
