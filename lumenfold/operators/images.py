@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.operators.ordering import exact_quantile
+from lumenfold.operators.ordering import exact_quantile, grouped_quantile
 from lumenfold.session import join_stats
 
 
@@ -86,12 +86,12 @@ def otsu_threshold(pixels: DataFrame, maps: Sequence[str], bins: int = 256) -> D
 
 
 def threshold_mask(pixels: DataFrame, maps: Sequence[str], method: str = "otsu", percentile: float = 95.0) -> DataFrame:
-    """Boolean mask column, value >= threshold. The percentile form is for a single map and is exact."""
+    """Boolean mask column, value >= threshold of its map, which is Otsu's or an exact percentile."""
     if method == "otsu":
         limits = otsu_threshold(pixels, maps)
         return join_stats(pixels, limits, list(maps)).withColumn("mask", F.col("value") >= F.col("threshold"))
-    limit = exact_quantile(pixels, "value", percentile / 100.0)
-    return pixels.withColumn("threshold", F.lit(limit)).withColumn("mask", F.col("value") >= F.col("threshold"))
+    limits = grouped_quantile(pixels, maps, "value", percentile / 100.0, "threshold")
+    return join_stats(pixels, limits, list(maps)).withColumn("mask", F.col("value") >= F.col("threshold"))
 
 
 def _neighbourhood(mask: DataFrame, maps: Sequence[str], size: int, erode: bool) -> DataFrame:
@@ -115,14 +115,18 @@ def morphology(mask: DataFrame, maps: Sequence[str], op: str = "open", size: int
     return df.select(*maps, "y", "x", "mask")
 
 
-def roi_statistics(pixels: DataFrame, value: str = "value", mask: str = "mask") -> DataFrame:
-    """Count, mean, median, deviation, sum and range inside the mask of one map; the median is exact."""
+def roi_statistics(pixels: DataFrame, value: str = "value", mask: str = "mask", maps: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, median, deviation, sum and range inside the mask, for each map; the median is exact.
+
+    A map without a pixel inside has no row; without `maps` there is one row.
+    """
     inside = pixels.filter(F.col(mask))
-    median = exact_quantile(inside, value, 0.5)
-    return inside.agg(
+    rows = inside.groupBy(*maps).agg(
         F.count("*").alias("area"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"),
-    ).withColumn("median", F.lit(median).cast("double"))
+        F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"))
+    if not maps:
+        return rows.withColumn("median", F.lit(exact_quantile(inside, value, 0.5)).cast("double"))
+    return rows.join(grouped_quantile(inside, maps, value, 0.5, "median"), list(maps), "left")
 
 
 def map_correlation(pixels: DataFrame, a: str, b: str) -> DataFrame:

@@ -66,10 +66,11 @@ def zero_masked(mask: Column, column: Column) -> Column:
     return F.when(mask, column).otherwise(F.transform(column, lambda v: F.lit(0.0)))
 
 
-def score_mask(scored: DataFrame, score: str, threshold: float = 0.5, out: str = "mask") -> DataFrame:
-    """Min-max scaled score above a threshold; a constant score keeps everything."""
-    edge = scored.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    d = scored.crossJoin(F.broadcast(edge))  # one row
+def score_mask(scored: DataFrame, score: str, threshold: float = 0.5, out: str = "mask",
+               maps: Sequence[str] = ()) -> DataFrame:
+    """Score above a threshold after min-max scaling within its map; a constant score keeps everything."""
+    edge = scored.groupBy(*maps).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    d = join_stats(scored, edge, list(maps)) if maps else scored.crossJoin(F.broadcast(edge))  # one row without a key
     scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)
     return d.withColumn(out, scaled > threshold).drop("_lo", "_hi")
 

@@ -99,6 +99,25 @@ def exact_quantile(df: DataFrame, value: str, q: float, bins: int = 4096, small:
     return below + (above - below) * (rank - int(rank))
 
 
+def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str = "quantile",
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact interpolated quantile of a column for each key (numpy's default rule): one row per key that has a value.
+
+    The values are ranked within the key, in ranges when a key has many rows, and the two that bound the quantile are
+    picked; no task holds the values of a hot key.
+    """
+    v = F.col(value).cast("double")
+    d = df.where(v.isNotNull() & ~F.isnan(v)).select(F.struct(*[F.col(k) for k in keys] or [F.lit(0)]).alias("_key"), v.alias("_v"))
+    ranked = with_ordinal(d, "_key", F.lit(0), ["_v"], "_rank", hot_rows)
+    rank = (F.col("_n") - 1) * q
+    sizes = d.groupBy("_key").agg(F.count("*").alias("_n")).select(F.col("_key").alias("_own"), rank.alias("_at"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    bound = ranked.join(sizes, F.col("_key").eqNullSafe(F.col("_own"))).where((F.col("_rank") == low) | (F.col("_rank") == high))
+    a, b = F.max(F.when(F.col("_rank") == low, F.col("_v"))), F.max(F.when(F.col("_rank") == high, F.col("_v")))
+    found = bound.groupBy("_key", "_at").agg(a.alias("_a"), b.alias("_b"))
+    return found.select(*[F.col(f"_key.{k}").alias(k) for k in keys], (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - low)).alias(out))
+
+
 def unique_names(df: DataFrame, name: str, order: Sequence[str], out: str = "unique_name", scope: Sequence[str] = (),
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Second and later uses of a name get `_2`, `_3`, ... within `scope` (one export, so one set of columns).

@@ -68,12 +68,26 @@ def interval_join(points: DataFrame, intervals: DataFrame, value: str, lo: str,
     return keyed.join(cells, "_cell").filter(F.col(value).between(F.col(lo), F.col(hi))).drop("_cell")
 
 
+#: States that may be written into a plan as literals.
+FEW_STATES = 500
+
+
 def nearest_state(peaks: DataFrame, states: DataFrame, row_keys: Sequence[str], value: str = "energy",
                   centre: str = "state_ev", label: str = "state", tolerance: float = 1.0) -> DataFrame:
     """Label each peak with the closest state with |difference| < tolerance; `Unknown` when none is in reach.
 
-    A NULL position means that no peak was found and gives `(no peak)`. Ties go to the smaller state energy.
+    A NULL position means that no peak was found and gives `(no peak)`. Ties go to the smaller state energy. Up to
+    FEW_STATES states become an array in the plan, so the peaks are neither joined nor shuffled.
     """
+    few = states.select(F.col(centre).cast("double"), F.col(label).cast("string")).where(F.col(centre).isNotNull()).limit(FEW_STATES + 1).collect()
+    if len(few) <= FEW_STATES:
+        kind = "array<struct<c: double, l: string>>"
+        known = F.array(*[F.struct(F.lit(float(c)).alias("c"), F.lit(s).alias("l")) for c, s in few]).cast(kind)
+        gaps = F.transform(known, lambda s: F.struct(F.abs(F.col(value) - s["c"]).alias("gap"), s["c"].alias("c"), s["l"].alias("l")))
+        best = F.array_min(F.filter(gaps, lambda g: g["gap"] < tolerance))
+        found = peaks.withColumn("_p", best)
+        name = F.when(F.col(value).isNull(), "(no peak)").otherwise(F.coalesce(F.col("_p.l"), F.lit("Unknown")))
+        return found.withColumn(label, name).withColumn("gap", F.col("_p.gap")).drop("_p")
     width = float(tolerance)
     near = states.select(F.col(centre), F.col(label)).withColumn("_cell", F.explode(F.sequence(
         (F.floor(F.col(centre) / width) - 1).cast("bigint"), (F.floor(F.col(centre) / width) + 1).cast("bigint"))))

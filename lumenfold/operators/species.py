@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ordering import exact_quantile, grouped_quantile
 from lumenfold.session import join_stats
 
 
@@ -66,10 +67,13 @@ def cluster_indicator(pixels: DataFrame, label: str, pixel: Sequence[str], offse
     return d.select(*pixel, (F.col(label) + offset).cast("int").alias("component"), "value")
 
 
-def problem_pixels(metrics: DataFrame, mse: str = "mse", factor: float = 3.0) -> DataFrame:
-    """How many pixels fit worse than `factor` times the exact median, and the mean mse."""
-    from lumenfold.operators.ordering import exact_quantile
-    median = exact_quantile(metrics, mse, 0.5)
-    limit = F.lit(None if median is None else median * factor).cast("double")
-    return metrics.agg(F.count("*").alias("n_pixels"), F.count_if(F.col(mse) > limit).alias("n_problem"),
-                       F.avg(mse).alias("mean_mse"))
+def problem_pixels(metrics: DataFrame, mse: str = "mse", factor: float = 3.0, maps: Sequence[str] = ()) -> DataFrame:
+    """How many pixels fit worse than `factor` times the exact median of their map, and the mean mse, for each map."""
+    if maps:
+        limits = grouped_quantile(metrics, maps, mse, 0.5, "_median")
+        rows = join_stats(metrics, limits, list(maps), "left").withColumn("_limit", F.col("_median") * factor)
+    else:
+        median = exact_quantile(metrics, mse, 0.5)
+        rows = metrics.withColumn("_limit", F.lit(None if median is None else median * factor).cast("double"))
+    return rows.groupBy(*maps).agg(F.count("*").alias("n_pixels"), F.count_if(F.col(mse) > F.col("_limit")).alias("n_problem"),
+                                   F.avg(mse).alias("mean_mse"))

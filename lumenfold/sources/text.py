@@ -383,16 +383,20 @@ def parse_concentrations(files: DataFrame, lines: str = "lines") -> DataFrame:
 # ---- choice of parser, triage -----------------------------------------------
 
 def parse_files(files: DataFrame, lines: str = "lines") -> DataFrame:
-    """The first parser in this order that yields points wins; `parser` is NULL for files nobody can read."""
-    d = parse_depth_table(prepared(files, lines), lines, "_p1")
-    d = parse_region_table(d, lines, "_p2")
-    deep = F.exists("_p1", lambda p: p["layer"] > 1)
-    d = parse_two_column(parse_sections(parse_paired_rows(d, lines, "_p3"), lines, "_p4"), lines, "_p5")
-    order = [("depth_table", "_p1", deep), ("region_table", "_p2", F.size("_p2") > 0), ("paired_rows", "_p3", F.size("_p3") > 0),
-             ("sections", "_p4", F.size("_p4") > 0), ("two_column", "_p5", F.size("_p5") > 0)]
+    """The first parser in this order that yields points wins; `parser` is NULL for files nobody can read.
+
+    Once a parser has won, the later ones see a file without lines, so each file is parsed as far as its winner only.
+    """
+    d = prepared(files, lines).withColumn("_all", F.col(lines))
+    order = [("depth_table", "_p1", parse_depth_table, F.exists("_p1", lambda p: p["layer"] > 1)),
+             ("region_table", "_p2", parse_region_table, F.size("_p2") > 0), ("paired_rows", "_p3", parse_paired_rows, F.size("_p3") > 0),
+             ("sections", "_p4", parse_sections, F.size("_p4") > 0), ("two_column", "_p5", parse_two_column, F.size("_p5") > 0)]
     name, pts = F, F
-    for n, c, ok in order:
+    for n, c, parser, ok in order:
+        d = parser(d, lines, c)
         name, pts = name.when(ok, n), pts.when(ok, F.col(c))
+        d = materialise(d, **{k: F.when(ok, F.slice(k, 1, 0)).otherwise(F.col(k)) for k in (lines, "_num", "_tok")})
+    d = d.withColumn(lines, F.col("_all")).drop("_all")
     d = materialise(d, parser=name.otherwise(None), points=pts.otherwise(F.array().cast(POINTS)))
     return d.drop("_p1", "_p2", "_p3", "_p4", "_p5", "_num", "_tok")
 

@@ -72,3 +72,22 @@ def test_least_squares_of_many_components():
     basis = rng.random((10, 30))
     c = np.maximum(rng.normal(size=(50, 10)), 0)
     assert np.allclose(dc.nnls_rows(c @ basis, basis), c, atol=1e-6)
+
+
+def test_quantiles_and_masks_keep_to_their_map(spark):
+    from lumenfold.operators import images as im
+    from lumenfold.operators import species as sp
+    from lumenfold.operators.ordering import grouped_quantile
+    rows = [(m, k // 5, k % 5, 1000.0 * m + k) for m in range(3) for k in range(10)]
+    d = spark.createDataFrame(rows, "map_id int, y int, x int, value double").repartition(3)
+    for hot in (10 ** 6, 4):
+        q = {r["map_id"]: r["quantile"] for r in grouped_quantile(d, ["map_id"], "value", 0.75, hot_rows=hot).collect()}
+        assert q == {m: 1000.0 * m + 6.75 for m in range(3)}
+    on = {r["map_id"]: r["n"] for r in im.threshold_mask(d, ["map_id"], "percentile", 90.0).where("mask").groupBy("map_id").agg(F.count("*").alias("n")).collect()}
+    assert on == {0: 1, 1: 1, 2: 1}
+    roi = {r["map_id"]: r for r in im.roi_statistics(d.withColumn("mask", F.col("x") < 4), maps=["map_id"]).collect()}
+    assert [roi[m]["median"] - 1000.0 * m for m in range(3)] == [4.0] * 3 and roi[1]["area"] == 8
+    bad = {r["map_id"]: r["n_problem"] for r in sp.problem_pixels(d.withColumn("mse", F.col("value") - 1000.0 * F.col("map_id")), factor=1.5, maps=["map_id"]).collect()}
+    assert bad == {0: 3, 1: 3, 2: 3}
+    kept = mp.score_mask(d, "value", 0.5, maps=["map_id"]).where("mask").groupBy("map_id").count().collect()
+    assert sorted(tuple(r) for r in kept) == [(m, 5) for m in range(3)]
