@@ -42,14 +42,14 @@ def with_ordinal(df: DataFrame, key: str, position: Column, ties: Sequence[str],
     ranges = -(-total // hot_rows)
     hot = df.join(flags, same, "left_semi").repartitionByRange(int(ranges), key, "_pos", *ties)
     path = scratch_path(df.sparkSession, "ranks")
-    hot.withColumn("_s", F.spark_partition_id()).write.parquet(path)
+    hot.withColumn("_rank_s", F.spark_partition_id()).write.parquet(path)
     hot = df.sparkSession.read.parquet(path)
-    ranked = hot.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy("_pos", *ties)) - 1)
-    counts = hot.groupBy(F.col(key).alias("_key"), F.col("_s").alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = ranked.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_part")))
-    ranked = ranked.withColumn(out, (F.col("_r") + F.col("_before")).cast("bigint")).select(*cold.columns)
+    ranked = hot.withColumn("_rank_r", F.row_number().over(Window.partitionBy(key, "_rank_s").orderBy("_pos", *ties)) - 1)
+    counts = hot.groupBy(F.col(key).alias("_rank_key"), F.col("_rank_s").alias("_rank_part")).agg(F.count("*").alias("_rank_n"))
+    before = Window.partitionBy("_rank_key").orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_rank_key", "_rank_part", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)).alias("_rank_before"))
+    ranked = ranked.join(counts, F.col(key).eqNullSafe(F.col("_rank_key")) & (F.col("_rank_s") == F.col("_rank_part")))
+    ranked = ranked.withColumn(out, (F.col("_rank_r") + F.col("_rank_before")).cast("bigint")).select(*cold.columns)
     return cold.union(ranked).drop("_pos")
 
 
