@@ -171,6 +171,30 @@ def nnls_rows(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return best
 
 
+def nnls_each(x: np.ndarray, bases: np.ndarray) -> np.ndarray:
+    """The same for rows that each have a basis of their own (rows x components x channels)."""
+    k = bases.shape[1]
+    if k > 8:
+        return np.stack([nnls_rows(v[None, :], b)[0] for v, b in zip(x, bases)]) if len(x) else np.zeros((0, k))
+    gram, rhs = np.einsum("rin,rjn->rij", bases, bases), np.einsum("rn,rin->ri", x, bases)
+    best, score = np.zeros((len(x), k)), np.zeros(len(x))
+    for bits in range(1, 2 ** k):
+        on = [j for j in range(k) if bits >> j & 1]
+        sub = gram[:, on][:, :, on]
+        top = np.einsum("rii->ri", sub).max(axis=1, initial=0.0)
+        solvable = np.abs(np.linalg.det(sub / np.maximum(top, 1e-300)[:, None, None])) > 1e-14
+        if not solvable.any():
+            continue
+        c = np.zeros((len(x), len(on)))
+        c[solvable] = np.linalg.solve(sub[solvable], rhs[solvable][:, on][:, :, None])[:, :, 0]
+        value = -(c * rhs[:, on]).sum(1)
+        take = np.flatnonzero(solvable & (c >= 0).all(1) & (value < score))
+        best[take] = 0.0
+        best[np.ix_(take, on)] = c[take]
+        score[take] = value[take]
+    return best
+
+
 def project(column: Column, basis: np.ndarray) -> Column:
     """Non-negative coefficients of each pixel on a fixed basis (components x channels)."""
     b = np.asarray(basis, float)
@@ -355,12 +379,11 @@ def fit_pixels(spectra: DataFrame, axis: Sequence[float], centres: Sequence[floa
             curve = a - 2 * b + c
             move = np.where(curve > 0, 0.5 * (a - c) / np.where(curve > 0, curve, 1.0), 0.0)
             trial = np.clip(lattice[inner] + np.clip(move, -1, 1) * step, -reach, reach)
-            for r in rows:
-                basis = gaussian_basis(e, centres, sigmas, trial[r])
-                coef = nnls_rows(x[r:r + 1], basis)
-                err = ((x[r] - coef[0] @ basis) ** 2).mean()
-                if err < mse[r]:
-                    amps[r], shift[r], mse[r] = coef[0], trial[r], err
+            bases = np.stack([gaussian_basis(e, centres, sigmas, s) for s in trial]) if len(x) else np.zeros((0, len(centres), len(e)))
+            coef = nnls_each(x, bases)
+            err = ((x - np.einsum("rk,rkn->rn", coef, bases)) ** 2).mean(1)
+            better = err < mse
+            amps[better], shift[better], mse[better] = coef[better], trial[better], err[better]
         return amps, shift, mse
 
     @F.pandas_udf("amplitudes array<double>, shift double, mse double")
