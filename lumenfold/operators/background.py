@@ -189,8 +189,21 @@ def polynomial_background(points: DataFrame, keys: Sequence[str], out: str = "ba
     return df.withColumn(out, a0 + a1 * u + a2 * u * u).drop("_u", *aggs)
 
 
-def background(points: DataFrame, keys: Sequence[str], method: str = "shirley", steps: int = 5) -> DataFrame:
-    """Dispatch by name and subtract; unknown names use Shirley."""
+def shirley(points: DataFrame, keys: Sequence[str], out: str = "background", clamp: bool = True, max_steps: int = 100,
+            tol: float = 1e-6) -> DataFrame:
+    """Converged Shirley background on points. A spectrum's points become one row of arrays and are laid out again.
+
+    Both steps keep the spectrum's partitioning, so a shuffle by the keys before or after serves them all.
+    """
+    rest = [c for c in points.columns if c not in (*keys, "i")]
+    g = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", *rest))).alias("_p"))
+    g = g.withColumn("_b", shirley_packed(F.col("_p")["energy"], F.col("_p")["intensity"], max_steps, tol, clamp))
+    z = g.select(*keys, F.explode(F.arrays_zip("_p", "_b")).alias("_z"))
+    return z.select(*keys, *[F.col(f"_z._p.{c}").alias(c) for c in ("i", *rest)], F.col("_z._b").alias(out))
+
+
+def background(points: DataFrame, keys: Sequence[str], method: str = "shirley", steps: int | None = None) -> DataFrame:
+    """Dispatch by name and subtract; unknown names use Shirley, iterated until it stands still or for `steps` steps."""
     method = method.lower()
     if method == "linear":
         df = linear_background(points, keys)
@@ -203,5 +216,5 @@ def background(points: DataFrame, keys: Sequence[str], method: str = "shirley",
         df = unpack(p.withColumn("background", tougaard_packed(F.col("energy"), F.col("intensity"))),
                     ("energy", "intensity", "background", *carry))
     else:
-        df = shirley_steps(points, keys, steps)
+        df = shirley(points, keys) if steps is None else shirley_steps(points, keys, steps)
     return df.withColumn("corrected", F.col("intensity") - F.col("background"))

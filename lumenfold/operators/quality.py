@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.background import quadratic_coefficients, shirley_steps, solve_quadratic
+from lumenfold.operators.background import quadratic_coefficients, shirley, shirley_steps, solve_quadratic
 from lumenfold.operators.ordering import exact_quantile
 from lumenfold.operators.points import along, whole
 
@@ -206,8 +206,8 @@ def _resolution_values() -> dict[str, Column]:
             "energy_step_ev": F.coalesce("_med", F.lit(0.0)), "energy_range": F.col("_span")}
 
 
-def _peak_columns(points: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
-    df = shirley_steps(points, keys, steps).withColumn("_net", F.col("intensity") - F.col("background"))
+def _peak_columns(points: DataFrame, keys: Sequence[str], steps: int | None) -> DataFrame:
+    df = (shirley(points, keys) if steps is None else shirley_steps(points, keys, steps)).withColumn("_net", F.col("intensity") - F.col("background"))
     return df.withColumn("_h", F.max("_net").over(whole(keys)))
 
 
@@ -256,13 +256,13 @@ def shift_check(points: DataFrame, expected: DataFrame, keys: Sequence[str], t:
     return _with_shift(top, expected, t).select(*keys, "region", "peak_ev", "shift_estimate_ev", "suspected_shift")
 
 
-def peak_metrics(points: DataFrame, keys: Sequence[str], steps: int = 5) -> DataFrame:
+def peak_metrics(points: DataFrame, keys: Sequence[str], steps: int | None = None) -> DataFrame:
     """Height, width, peak-to-background and dynamic range after the Shirley background."""
     return _grouped(_peak_columns(points, keys, steps), keys, _peak_aggregates(), _peak_values())
 
 
 def spectrum_quality(points: DataFrame, expected: DataFrame, keys: Sequence[str], t: Thresholds = Thresholds(),
-                     steps: int = 5) -> DataFrame:
+                     steps: int | None = None) -> DataFrame:
     """The full quality record from one pass: all windows and the grouping share the spectrum's partitioning."""
     df = _peak_columns(_resolution_columns(_baseline_columns(points, keys), keys), keys, steps)
     aggregates = {**_baseline_aggregates(), **_resolution_aggregates(), **_peak_aggregates(), **_shift_aggregates()}

@@ -14,7 +14,7 @@ from lumenfold.operators import maps as mp
 from lumenfold.operators import points as pt
 from lumenfold.plans.bindings import KEYS, PTS, REGIONS, TYPICAL, labelled, map_spectra, recorded_points
 from lumenfold.plans.queries_maps import AXIS, BASIS
-from lumenfold.plans.queries_spectra import SMOOTH_SQL, peaks_sql, shirley_sql
+from lumenfold.plans.queries_spectra import CONVERGED_SQL, SMOOTH_SQL, peaks_sql
 from lumenfold.plans.registry import query
 
 
@@ -215,7 +215,7 @@ def fit_line_shapes(spark, sf):
         rnd(sc.fermi_dirac(i, F.lit(10.0), F.lit(30.0), F.lit(2.0), F.lit(1.0)), 6).alias("edge"))
 
 
-@query("run_spectra_to_composition", f"""WITH {PTS}{shirley_sql(5)}, sg AS (SELECT instrument, sweep, any_value(sample) AS sample, any_value(region) AS region, any_value(layer) AS layer, count(*) AS n, 0 AS z FROM sh GROUP BY 1, 2),
+@query("run_spectra_to_composition", f"""WITH RECURSIVE {PTS}{CONVERGED_SQL}, sg AS (SELECT instrument, sweep, any_value(sample) AS sample, any_value(region) AS region, any_value(layer) AS layer, count(*) AS n, 0 AS z FROM sh GROUP BY 1, 2),
 s1 AS (SELECT *, (energy - lag(energy) OVER w) * (intensity - b + lag(intensity - b) OVER w) / 2 AS s FROM sh WINDOW w AS (PARTITION BY instrument, sweep ORDER BY i)), ar AS (SELECT instrument, sweep, abs(coalesce(sum(s), 0)) AS area FROM s1 GROUP BY 1, 2),
 f(region, f) AS (VALUES ('C1s', 6631e-3), ('O1s', 16007e-3), ('F1s', 22267e-3), ('N1s', 22814e-3), ('Si2p', 19281e-3)), nm AS (SELECT sample, layer, region, area / f AS q FROM sg JOIN ar USING (instrument, sweep) JOIN f USING (region))
 SELECT sample, layer, region, round(CASE WHEN sum(q) OVER w > 0 THEN q / sum(q) OVER w * 100 ELSE 0 END, 4) + 0e0 AS atomic_percent FROM nm WINDOW w AS (PARTITION BY sample, layer)""")

@@ -82,6 +82,20 @@ b{k + 1} AS (SELECT * EXCLUDE (b, d, seg, s, s0), yr + (yl - yr) / (s0 + 1e-15)
 sh AS (SELECT * EXCLUDE (b), {last} AS b FROM b{steps})"""
 
 
+#: The background iterated until it stands still; needs WITH RECURSIVE. Ends in sh like `shirley_sql`.
+CONVERGED_SQL = """,
+cg AS (SELECT instrument, sweep, list(energy ORDER BY i) AS x, list(intensity ORDER BY i) AS y, count(*) AS n, greatest(1, least(7, count(*) // 5)) AS m FROM pts GROUP BY 1, 2),
+ce AS (SELECT *, list_avg(y[1:m]) AS yl, list_avg(y[n - m + 1:n]) AS yr FROM cg),
+it AS (SELECT instrument, sweep, 0 AS k, false AS done, list_transform(range(n), lambda j: CASE WHEN n > 1 THEN yl + (yr - yl) * j / (n - 1) ELSE yl END) AS b FROM ce
+UNION ALL
+SELECT instrument, sweep, k + 1, sqrt(list_sum(list_transform(range(1, n + 1), lambda j: pow(nb[j] - b[j], 2)))) / (sqrt(list_sum(list_transform(b, lambda v: v * v))) + 1e-15) < 1e-6, nb
+FROM (SELECT *, list_transform(s, lambda v: yr + (yl - yr) * v / (s[1] + 1e-15)) AS nb
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda j: coalesce(list_sum(seg[j:]), 0e0)) AS s
+    FROM (SELECT it.*, e.n, e.yl, e.yr, list_transform(range(1, e.n), lambda j: (e.x[j + 1] - e.x[j]) * ((e.y[j] - it.b[j]) + (e.y[j + 1] - it.b[j + 1])) / 2) AS seg
+      FROM it JOIN ce AS e ON it.instrument = e.instrument AND it.sweep = e.sweep WHERE NOT it.done AND it.k < 100)))),
+sh AS (SELECT p.* , least(l.b[p.i + 1], p.intensity) AS b FROM (SELECT instrument, sweep, arg_max(b, k) AS b FROM it GROUP BY 1, 2) l JOIN pts p ON l.instrument = p.instrument AND l.sweep = p.sweep)"""
+
+
 @query("background_shirley", f"""WITH {PTS}{shirley_sql(5)}
 SELECT instrument, CAST(sweep AS BIGINT) AS sweep, i, round(b, 5) + 0e0 AS background FROM sh""")
 def background_shirley(spark, sf):
@@ -96,18 +110,8 @@ def background_shirley_local(spark, sf):
     return d.select(*KEYS, "i", rnd("background", 5).alias("background"))
 
 
-@query("background_shirley_converged", f"""WITH RECURSIVE {PTS},
-g AS (SELECT instrument, sweep, list(energy ORDER BY i) AS x, list(intensity ORDER BY i) AS y, count(*) AS n, greatest(1, least(7, count(*) // 5)) AS m FROM pts GROUP BY 1, 2),
-e AS (SELECT *, list_avg(y[1:m]) AS yl, list_avg(y[n - m + 1:n]) AS yr FROM g),
-it AS (SELECT instrument, sweep, 0 AS k, false AS done, list_transform(range(n), lambda j: CASE WHEN n > 1 THEN yl + (yr - yl) * j / (n - 1) ELSE yl END) AS b FROM e
-UNION ALL
-SELECT instrument, sweep, k + 1, sqrt(list_sum(list_transform(range(1, n + 1), lambda j: pow(nb[j] - b[j], 2)))) / (sqrt(list_sum(list_transform(b, lambda v: v * v))) + 1e-15) < 1e-6, nb
-FROM (SELECT *, list_transform(s, lambda v: yr + (yl - yr) * v / (s[1] + 1e-15)) AS nb
-  FROM (SELECT *, list_transform(range(1, n + 1), lambda j: coalesce(list_sum(seg[j:]), 0e0)) AS s
-    FROM (SELECT it.*, e.n, e.yl, e.yr, list_transform(range(1, e.n), lambda j: (e.x[j + 1] - e.x[j]) * ((e.y[j] - it.b[j]) + (e.y[j + 1] - it.b[j + 1])) / 2) AS seg
-      FROM it JOIN e ON it.instrument = e.instrument AND it.sweep = e.sweep WHERE NOT it.done AND it.k < 100))))
-SELECT l.instrument, CAST(l.sweep AS BIGINT) AS sweep, CAST(p.i AS INTEGER) AS i, round(least(l.b[p.i + 1], p.intensity), 4) + 0e0 AS background
-FROM (SELECT instrument, sweep, arg_max(b, k) AS b FROM it GROUP BY 1, 2) l JOIN pts p ON l.instrument = p.instrument AND l.sweep = p.sweep""")
+@query("background_shirley_converged", f"""WITH RECURSIVE {PTS}{CONVERGED_SQL}
+SELECT instrument, CAST(sweep AS BIGINT) AS sweep, i, round(b, 4) + 0e0 AS background FROM sh""")
 def background_shirley_converged(spark, sf):
     d = packed(spark, sf).withColumn("background", bg.shirley_packed(F.col("energy"), F.col("intensity")))
     return d.select(*KEYS, F.posexplode("background").alias("i", "b")).select(*KEYS, "i", rnd("b", 4).alias("background"))
@@ -149,7 +153,7 @@ def background_polynomial(spark, sf):
     return d.select(*KEYS, "i", rnd("background", 5).alias("background"))
 
 
-@query("background_subtract", f"""WITH {PTS}{shirley_sql(5)}, l AS (SELECT instrument, sweep, CASE WHEN count(*) > 1 THEN regr_slope(intensity, energy) ELSE 0 END AS s, avg(energy) AS mx, avg(intensity) AS my FROM pts GROUP BY 1, 2)
+@query("background_subtract", f"""WITH RECURSIVE {PTS}{CONVERGED_SQL}, l AS (SELECT instrument, sweep, CASE WHEN count(*) > 1 THEN regr_slope(intensity, energy) ELSE 0 END AS s, avg(energy) AS mx, avg(intensity) AS my FROM pts GROUP BY 1, 2)
 SELECT region, 'shirley' AS method, count(*) AS n, round(sum(intensity - b), 2) + 0e0 AS corrected FROM sh GROUP BY region
 UNION ALL SELECT region, 'linear', count(*), round(sum(intensity - (my + s * (energy - mx))), 2) + 0e0 FROM pts JOIN l USING (instrument, sweep) GROUP BY region""")
 def background_subtract(spark, sf):
@@ -470,7 +474,7 @@ pb AS (SELECT instrument, sweep, b FROM (SELECT *, row_number() OVER (PARTITION
 pq AS (SELECT pa.*, peak_height / (b + 1e-10) AS peak_to_baseline, peak_height / (sd + 1e-10) AS dynamic_range FROM pa JOIN pb USING (instrument, sweep))"""
 
 
-@query("quality_peak", f"""WITH {PTS}{shirley_sql(5)}, {PEAKQ_SQL}
+@query("quality_peak", f"""WITH RECURSIVE {PTS}{CONVERGED_SQL}, {PEAKQ_SQL}
 SELECT pq.instrument, CAST(pq.sweep AS BIGINT) AS sweep, round(peak_height, 4) + 0e0 AS peak_height, round(peak_fwhm, 4) + 0e0 AS peak_fwhm, round(peak_to_baseline, 3) + 0e0 AS peak_to_baseline, round(dynamic_range, 4) + 0e0 AS dynamic_range FROM pq""")
 def quality_peak(spark, sf):
     q = ql.peak_metrics(recorded_points(spark, sf), KEYS)
@@ -478,7 +482,7 @@ def quality_peak(spark, sf):
                     rnd("peak_to_baseline", 3).alias("peak_to_baseline"), rnd("dynamic_range", 4).alias("dynamic_range"))
 
 
-ASSESS_SQL = f"""{PTS}{shirley_sql(5)}, {DEFS_SQL}, {SHIFT_SQL}, {BASE_SQL}, {RES_SQL}, {PEAKQ_SQL},
+ASSESS_SQL = f"""{PTS}{CONVERGED_SQL}, {DEFS_SQL}, {SHIFT_SQL}, {BASE_SQL}, {RES_SQL}, {PEAKQ_SQL},
 qa AS (SELECT sq.*, bq.snr_xps, bq.relative_noise, rq.points_per_ev, pq.peak_to_baseline, pq.peak_fwhm FROM sq JOIN bq USING (instrument, sweep) JOIN rq USING (instrument, sweep) JOIN pq USING (instrument, sweep)),
 qb AS (SELECT *, points_per_ev >= 5 AS hr, (CASE WHEN snr_xps < 3 THEN 1 ELSE 0 END) + (CASE WHEN points_per_ev < 3 THEN 1 ELSE 0 END) + (CASE WHEN suspected_shift THEN 1 ELSE 0 END)
   + (CASE WHEN peak_to_baseline < 2e-1 THEN 1 ELSE 0 END) + (CASE WHEN relative_noise > 2e-1 THEN 1 ELSE 0 END) AS nw FROM qa),
@@ -486,7 +490,7 @@ qf AS (SELECT *, CASE WHEN snr_xps >= 20 AND hr AND nw = 0 THEN 'excellent' WHEN
   hr AND snr_xps >= 3 AND peak_to_baseline >= 2e-1 AS suitable FROM qb)"""
 
 
-@query("quality_assessment", f"""WITH {ASSESS_SQL}
+@query("quality_assessment", f"""WITH RECURSIVE {ASSESS_SQL}
 SELECT instrument, CAST(sweep AS BIGINT) AS sweep, quality_flag, nw AS n_warnings, hr AS is_hr_scan, suitable FROM qf""")
 def quality_assessment(spark, sf):
     q = ql.spectrum_quality(labelled(recorded_points(spark, sf)), schemas.region_defs(spark), KEYS)
@@ -494,7 +498,7 @@ def quality_assessment(spark, sf):
                     F.col("suitable_for_fitting").alias("suitable"))
 
 
-@query("quality_summary", f"""WITH {ASSESS_SQL}
+@query("quality_summary", f"""WITH RECURSIVE {ASSESS_SQL}
 SELECT count(*) AS n_spectra, round(avg(snr_xps), 4) AS mean_snr, round(median(snr_xps), 4) AS median_snr, round(median(peak_fwhm) FILTER (peak_fwhm > 0), 4) AS median_fwhm, round(avg(points_per_ev), 4) AS mean_resolution, count(*) FILTER (hr) AS n_hr, count(*) FILTER (suspected_shift) AS n_shifted,
 count(*) FILTER (suitable) AS n_suitable, round(count(*) FILTER (suitable) / count(*), 6) AS suitable_rate FROM qf""")
 def quality_summary(spark, sf):
@@ -505,7 +509,7 @@ def quality_summary(spark, sf):
                     rnd("suitable_rate", 6).alias("suitable_rate"))
 
 
-@query("quality_flag_counts", f"""WITH {ASSESS_SQL}
+@query("quality_flag_counts", f"""WITH RECURSIVE {ASSESS_SQL}
 SELECT region, quality_flag, count(*) AS n FROM qf GROUP BY 1, 2""")
 def quality_flag_counts(spark, sf):
     q = ql.spectrum_quality(labelled(recorded_points(spark, sf)), schemas.region_defs(spark), KEYS)
