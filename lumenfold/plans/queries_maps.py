@@ -132,7 +132,33 @@ def mask_score(spark, sf):
     return mp.score_mask(d, "s", 0.25).select("vec_id", "mask")
 
 
-@query("mask_pca_score")
+def pca_sql(points: str, k: int, squarings: int = 16) -> str:
+    """CTEs ending in pz(comp, v, lam) and ct(vec_id, c, d): principal axes of points(vec_id, c, v), needs WITH RECURSIVE.
+
+    The covariance matrix is squared until only its first axis is left, which is then taken off before the next one.
+    """
+    n = "range(1, 65)"
+    return f"""me_p AS (SELECT c, avg(v) AS m FROM {points} GROUP BY 1), ct AS (SELECT vec_id, p.c, v - m AS d FROM {points} p JOIN me_p ON me_p.c = p.c),
+co AS (SELECT p.c AS i, q.c AS j, sum(p.d * q.d) / (count(*) - 1) AS v FROM ct p JOIN ct q ON p.vec_id = q.vec_id GROUP BY 1, 2),
+cm AS (SELECT list(r ORDER BY i) AS cov FROM (SELECT i, list(v ORDER BY j) AS r FROM co GROUP BY 1)), tot AS (SELECT sum(v) AS t FROM co WHERE i = j),
+pw AS (SELECT 1 AS comp, 0 AS s, cov, list_transform(cov, lambda r: list_transform(r, lambda x: x / t)) AS m FROM cm, tot
+UNION ALL
+SELECT CASE WHEN s < {squarings} THEN comp ELSE comp + 1 END, CASE WHEN s < {squarings} THEN s + 1 ELSE 0 END, nc, list_transform(nm, lambda r: list_transform(r, lambda x: x / tr))
+FROM (SELECT *, list_sum(list_transform({n}, lambda i: nm[i][i])) AS tr
+  FROM (SELECT *, CASE WHEN s < {squarings} THEN cov ELSE de END AS nc, CASE WHEN s < {squarings} THEN list_transform(m, lambda r: list_transform(m, lambda q: list_inner_product(r, q))) ELSE de END AS nm
+    FROM (SELECT *, list_transform({n}, lambda i: list_transform({n}, lambda j: cov[i][j] - lam * ax[i] * ax[j])) AS de
+      FROM (SELECT *, list_inner_product(ax, list_transform(cov, lambda r: list_inner_product(r, ax))) AS lam
+        FROM (SELECT *, list_transform(m[big], lambda x: x / sqrt(m[big][big])) AS ax
+          FROM (SELECT *, list_position(list_transform({n}, lambda i: m[i][i]), list_max(list_transform({n}, lambda i: m[i][i]))) AS big FROM pw WHERE comp <= {k}))))))),
+px_a AS (SELECT comp, cov, list_transform(m[big], lambda x: x / sqrt(m[big][big])) AS ax
+  FROM (SELECT *, list_position(list_transform({n}, lambda i: m[i][i]), list_max(list_transform({n}, lambda i: m[i][i]))) AS big FROM pw WHERE s = {squarings} AND comp <= {k})),
+pz AS (SELECT comp, list_transform(ax, lambda x: x * sign(ax[list_position(list_transform(ax, lambda y: abs(y)), list_max(list_transform(ax, lambda y: abs(y))))])) AS v,
+  list_inner_product(ax, list_transform(cov, lambda r: list_inner_product(r, ax))) AS lam FROM px_a)"""
+
+
+@query("mask_pca_score", f"""WITH RECURSIVE {MAP}, nr AS (SELECT vec_id, sqrt(sum(v * v)) AS l FROM mp GROUP BY 1), un AS (SELECT mp.vec_id, mp.c, CASE WHEN l > 0 THEN mp.v / l ELSE mp.v END AS v FROM mp JOIN nr ON nr.vec_id = mp.vec_id),
+{pca_sql("un", 1)}, sc AS (SELECT vec_id, sum(d * v[c + 1]) AS s FROM ct, pz WHERE comp = 1 GROUP BY 1), ed AS (SELECT min(s) AS lo, max(s) AS hi FROM sc)
+SELECT vec_id, (s - lo) / (hi - lo) > 5e-1 AS mask FROM sc, ed""")
 def mask_pca_score(spark, sf):
     m = map_spectra(spark, sf).withColumn("intensity", sc.l2_normalise(F.col("intensity")))
     pca = dc.fit_pca(m, 3)
@@ -177,15 +203,23 @@ def map_correlation_shift(spark, sf):
 
 # ---- decomposition ----------------------------------------------------------
 
-@query("map_pca_scree")
+SCREE = f"""WITH RECURSIVE {MAP}, {pca_sql("mp", 10)}, cu AS (SELECT CAST(comp AS INTEGER) AS component, lam AS variance, lam / t AS ratio, sum(lam / t) OVER (ORDER BY comp) AS cumulative FROM pz, tot)"""
+
+
+def rounded_scree(d):
+    return d.withColumns({c: rnd(c, 6) for c in ("variance", "ratio", "cumulative")})
+
+
+@query("map_pca_scree", SCREE + " SELECT component, round(variance, 6) + 0e0 AS variance, round(ratio, 6) + 0e0 AS ratio, round(cumulative, 6) + 0e0 AS cumulative FROM cu")
 def map_pca_scree(spark, sf):
-    return dc.scree(spark, dc.fit_pca(map_spectra(spark, sf), 10))
+    return rounded_scree(dc.scree(spark, dc.fit_pca(map_spectra(spark, sf), 10)))
 
 
-@query("map_pca_scores")
+@query("map_pca_scores", f"""WITH RECURSIVE {MAP}, {pca_sql("mp", 3)} SELECT vec_id, CAST(comp - 1 AS INTEGER) AS pc, round(sum(d * v[c + 1]), 5) + 0e0 AS score FROM ct, pz GROUP BY 1, 2""")
 def map_pca_scores(spark, sf):
     m = map_spectra(spark, sf)
-    return m.select("vec_id", F.posexplode(dc.pca_scores(F.col("intensity"), dc.fit_pca(m, 3))).alias("pc", "score"))
+    d = m.select("vec_id", F.posexplode(dc.pca_scores(F.col("intensity"), dc.fit_pca(m, 3))).alias("pc", "score"))
+    return d.withColumn("score", rnd("score", 5))
 
 
 @query("map_pca_total_variance", f"""WITH {MAP} SELECT round(sum(s), 6) AS total FROM (SELECT var_samp(v) AS s FROM mp GROUP BY c)""")
@@ -193,12 +227,13 @@ def map_pca_total_variance(spark, sf):
     return dc.scree(spark, dc.fit_pca(map_spectra(spark, sf), 64)).agg(rnd(F.sum("variance"), 6).alias("total"))
 
 
-@query("map_component_count")
+@query("map_component_count", SCREE + """, ch AS (SELECT CAST(least(10, greatest(2, coalesce(min(component) FILTER (cumulative >= 95e-2), 10))) AS INTEGER) AS chosen FROM cu)
+SELECT component, round(variance, 6) + 0e0 AS variance, round(ratio, 6) + 0e0 AS ratio, round(cumulative, 6) + 0e0 AS cumulative, chosen FROM cu, ch WHERE component <= chosen""")
 def map_component_count(spark, sf):
     m = map_spectra(spark, sf)
     pca = dc.fit_pca(m, 10)
     n = dc.component_count(pca.ratio, 0.95)
-    return dc.scree(spark, pca).filter(F.col("component") <= n).withColumn("chosen", F.lit(n))
+    return rounded_scree(dc.scree(spark, pca)).filter(F.col("component") <= n).withColumn("chosen", F.lit(n))
 
 
 def clustered(spark, sf):
