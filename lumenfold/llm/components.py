@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import remove, written_at
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Minima combine before the shuffle, and the joins are plain equi-joins, so AQE splits the rows of a hub.
     """
     ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
-    now = written(ends.distinct(), "edges")
+    now, path = written_at(ends.distinct(), "edges")
     state = _state(now)
     while True:
         # large star: neighbours above a node move to the smallest of its neighbourhood
@@ -28,7 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(least, "b")
         small = moved.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").union(least.select(F.col("m"), F.col("b")))
-        now = written(small.distinct(), "edges")
+        old = path
+        now, path = written_at(small.distinct(), "edges")
+        remove(edges.sparkSession, old)
         before, state = state, _state(now)
         if state == before:
             break

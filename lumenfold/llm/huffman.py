@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import pieces
+from lumenfold.llm.common import pieces, remove
 from lumenfold.llm.tokens import TOKEN_BYTES, default_path, encoder
 from lumenfold.session import scratch_path
 
@@ -199,15 +199,10 @@ def encode_corpus(docs: DataFrame, out: str | None = None, tokenizer: str | None
     blocks = spark.read.parquet(plain).where("counts is null").drop("counts")
     blocks.mapInArrow(encode, "part int, block long, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary") \
         .write.parquet(f"{folder}/blocks")
-    _remove(spark, plain)
+    remove(spark, plain)
     return folder
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def read_corpus(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Documents of a written folder: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids.
 

@@ -156,15 +156,20 @@ def links(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _prints_and_roots(docs: DataFrame, shingle: int, distance: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Written fingerprints of all rows, and (fp, root) of the fingerprints that have a link."""
+    prints = written(fingerprints(docs, shingle), "prints")
+    found = written(connected_components(links(prints, distance, block)), "roots")
+    return prints, found.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id, text_hash, fp and root, the smallest fingerprint its fingerprint is linked to.
 
     Copies share a fingerprint and are never compared with each other. Null texts count as empty; documents without
     words have fingerprint 0 and are linked like any other. An empty table gives no rows; other columns are ignored.
     """
-    prints = written(fingerprints(docs, shingle), "prints")
-    found = written(connected_components(links(prints, distance, block)), "roots")
-    roots = found.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    prints, roots = _prints_and_roots(docs, shingle, distance, block)
     return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -173,9 +178,12 @@ def components(docs: DataFrame, shingle: int = 4, distance: int = 4, block: int
 
     Rows without doc_id belong to their component and do not name it (null if none of it has a doc_id).
     """
-    rows = near_duplicates(docs, shingle, distance, block)
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, roots = _prints_and_roots(docs, shingle, distance, block)
+    # smallest doc_id of a fingerprint, then of a component: copies are combined before anything is shuffled by group
+    own = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = own.join(names, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
