@@ -408,15 +408,13 @@ def gate_alerts(spark, sf):
     return g.select(*KEYS, F.regexp_replace(a, r"(, |: )snr [-0-9.]+", "").alias("alert"))
 
 
-@query("low_quality_samples", f"""WITH {PTS}, {GATE_SQL}, lo AS (SELECT sample, string_agg(flag, ',' ORDER BY flag, instrument, sweep) AS flags, count(*) AS n FROM g4 WHERE flag IN ('critical', 'failed') GROUP BY sample)
-SELECT sample, flags, n FROM lo""")
+@query("low_quality_samples", f"""WITH {PTS}, {GATE_SQL} SELECT sample, count(*) FILTER (flag = 'critical') AS n_critical, count(*) FILTER (flag = 'failed') AS n_failed, count(*) AS n
+FROM g4 WHERE flag IN ('critical', 'failed') GROUP BY sample""")
 def low_quality_samples(spark, sf):
+    """Counts and not a list of flags, which would grow with a sample's spectra."""
     g = labelled(gated(spark, sf)).filter(F.col("flag").isin("critical", "failed"))
-    per = g.groupBy("sample", "flag").agg(F.count("*").alias("c"))  # at most two flags per sample
-    return per.groupBy("sample").agg(
-        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("flag", "c"))),
-                                           lambda s: F.array_repeat(s["flag"], s["c"].cast("int")))), ",").alias("flags"),
-        F.sum("c").alias("n"))
+    return g.groupBy("sample").agg(F.count_if(F.col("flag") == "critical").alias("n_critical"), F.count_if(F.col("flag") == "failed").alias("n_failed"),
+                                   F.count("*").alias("n"))
 
 
 # ---- quality metrics --------------------------------------------------------

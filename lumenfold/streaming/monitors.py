@@ -16,7 +16,8 @@ from lumenfold.session import scratch_path
 def quality_monitor(stream: DataFrame, time: str, group: str, value: str, width: str = "1 hour", delay: str = "10 minutes",
                     t: Thresholds = Thresholds()) -> DataFrame:
     """Gate metrics per tumbling window and group. The aggregates are combined map-side, so a busy group does not
-    send its rows to one task, and state holds one row per open window and group."""
+    send its rows to one task, and state holds one row per open window and group. In append mode a window comes out once
+    the watermark has passed its end, so windows that are still open when a stream stops have no row."""
     g = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), group).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("lowest"),
         F.max(value).alias("highest"))
@@ -33,7 +34,10 @@ DRIFT_STATE = "reference double, since timestamp"
 
 def peak_windows(stream: DataFrame, time: str, instrument: str, peak: str, target: float, width: str = "1 hour",
                  delay: str = "10 minutes") -> DataFrame:
-    """Distance of the mean peak from the target per instrument and closed window, aggregated map-side."""
+    """Distance of the mean peak from the target per instrument and closed window, aggregated map-side.
+
+    Windows that are still open when the stream stops have no row, as append mode means.
+    """
     windows = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), F.col(instrument).alias("instrument")).agg(
         F.count("*").alias("n"), F.avg(peak).alias("mean"))
     return windows.select(F.col("w.start").alias("window_start"), "instrument", "n", (F.col("mean") - F.lit(target)).alias("shift"))
