@@ -310,19 +310,26 @@ def free_model(n: int) -> Model:
 
 
 def _padded(xs: Sequence, ys: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = max(len(v) for v in xs)
-    x, y, w = np.zeros((len(xs), n)), np.zeros((len(xs), n)), np.zeros((len(xs), n))
-    for r, (a, b) in enumerate(zip(xs, ys)):
-        m = len(a)
-        x[r, :m], y[r, :m], w[r, :m] = a, b, 1.0
-        x[r, m:] = a[-1] if m else 0.0
-    return x, y, w
+    (x, used), (y, _) = _matrix(xs), _matrix(ys)
+    last = np.where(used.any(1), x[np.arange(len(x)), np.maximum(used.sum(1) - 1, 0)] if x.shape[1] else 0.0, 0.0)
+    return np.where(used, x, last[:, None]), y, used.astype(float)
+
+
+def _matrix(lists: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as the rows of a matrix, filled up with zeros, and which places are used."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    used = np.arange(sizes.max(initial=0))[None, :] < sizes[:, None]
+    out = np.zeros(used.shape)
+    if used.any():
+        out[used] = np.concatenate([np.asarray(v, dtype=float) for v in lists])
+    return out, used
 
 
 def _row_bounds(c: Compiled, top: np.ndarray, peak_ev: Sequence, peak_h: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Amplitude bounds follow the data when it is much stronger than the template; starts follow nearby peaks."""
     rows = len(top)
     start, lo, hi = (np.repeat(v[None, :], rows, 0) for v in (c.start, c.lo, c.hi))
+    (places, known), (heights, _) = _matrix(peak_ev), _matrix(peak_h)
     for n in c.own_amp:
         line, k = c.region.lines[n], c.amp[n][0]
         scale = np.maximum(top, 1.0) / max(line.amplitude.hi, 1.0)
@@ -332,12 +339,11 @@ def _row_bounds(c: Compiled, top: np.ndarray, peak_ev: Sequence, peak_h: Sequenc
         guess = np.where(strong, guess * scale, guess)
         near = line.binding_energy.init
         near = (line.binding_energy.lo + line.binding_energy.hi) / 2 if near is None else near
-        for r in range(rows):
-            if len(peak_ev[r]):
-                gap = np.abs(np.asarray(peak_ev[r]) - near)
-                m = int(gap.argmin())
-                if gap[m] < 3.0:
-                    guess[r] = 0.8 * peak_h[r][m]
+        if places.shape[1]:
+            gap = np.where(known, np.abs(places - near), np.inf)
+            nearest = gap.argmin(1)
+            found = gap[np.arange(rows), nearest] < 3.0
+            guess = np.where(found, 0.8 * heights[np.arange(rows), nearest], guess)
         start[:, k] = np.clip(guess, lo[:, k], hi[:, k])
     return start, lo, hi
 
@@ -575,11 +581,11 @@ def fit_free(energy: Column, intensity: Column, n_peaks: int = 2, min_points: in
         theta, ss = bounded_lm(free_model(n_peaks), start, lo, hi, x, y, w)
         mean = (y * w).sum(1) / w.sum(1)
         tot = (((y - mean[:, None]) ** 2) * w).sum(1)
-        for j, r in enumerate(use):
-            order = np.argsort(theta[j, 1:4 * n_peaks:4])
-            for name, m in (("centers", 1), ("fwhms", 2), ("amplitudes", 0)):
-                out.at[r, name] = theta[j, m:4 * n_peaks:4][order]
-            out.at[r, "r_squared"] = 1.0 - ss[j] / tot[j] if tot[j] > 0 else 0.0
+        order = np.argsort(theta[:, 1:4 * n_peaks:4], axis=1)
+        for name, m in (("centers", 1), ("fwhms", 2), ("amplitudes", 0)):
+            values = np.take_along_axis(theta[:, m:4 * n_peaks:4], order, 1)
+            out.loc[use, name] = pd.Series(list(values), index=use)
+        out.loc[use, "r_squared"] = np.where(tot > 0, 1.0 - ss / np.where(tot > 0, tot, 1.0), 0.0)
         return out
 
     return _fit_column(energy, intensity, "centers array<double>, fwhms array<double>, amplitudes array<double>, r_squared double", fn)
