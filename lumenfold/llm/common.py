@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.session import scratch_path
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES, HASHED = 4 << 20, 1 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -87,7 +87,7 @@ def _pow(base: int, n: int) -> np.ndarray:
         have = np.full(max(n + 1, 1 << 16), base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n < 1 << 24:
+        if n < 1 << 21:
             _powers[base] = have
     return have[:n + 1]
 
@@ -114,8 +114,19 @@ class Words:
         self.hashes = self._hash(low)
 
     def _hash(self, low: np.ndarray) -> np.ndarray:
-        """Sum of (byte + 1) * base ** place: differences of one running sum, moved to place 0 by the inverse base."""
-        sums = np.zeros(len(low) + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _pow(_BASE, len(low))[:-1], out=sums[1:])
-        out = (sums[self.ends] - sums[self.starts]) * _pow(_INVERSE, len(low))[self.starts]
+        """Sum of (byte + 1) * base ** place: differences of a running sum, moved to place 0 by the inverse base.
+
+        Worked out for about HASHED bytes at a time, so that the 64-bit numbers do not take many times the text.
+        """
+        out = np.zeros(len(self.starts), dtype=np.uint64)
+        begin = 0
+        while begin < len(out):
+            first = self.starts[begin]
+            end = max(begin + 1, int(np.searchsorted(self.starts, first + HASHED)))
+            part = low[first:self.ends[end - 1]]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _pow(_BASE, len(part))[:-1], out=sums[1:])
+            at = self.starts[begin:end] - first
+            out[begin:end] = (sums[self.ends[begin:end] - first] - sums[at]) * _pow(_INVERSE, len(part))[at]
+            begin = end
         return mix(out + mix((self.ends - self.starts).astype(np.uint64)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import ALNUM, Words, pieces, written
 
 #: Words in a window; bytes of documents in a shard; bytes of benchmark text that are searched in one pass.
-WINDOW, SHARD_BYTES, BLOCK_BYTES = 13, 8 << 20, 16 << 20
+WINDOW, SHARD_BYTES, BLOCK_BYTES = 13, 4 << 20, 16 << 20
 #: A suffix position in so many is stored.
 SAMPLED = 8
 

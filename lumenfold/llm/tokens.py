@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words remembered at once; two generations are held, so memory is bounded by about twice this.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 #: Bytes of text that are split and encoded together.
-TOKEN_BYTES = 8 << 20
+TOKEN_BYTES = 4 << 20
 _TAIL = ".,;:!?#$%&*|"
 _encoders: dict[str, WordTokenizer] = {}
 
