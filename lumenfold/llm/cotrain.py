@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import ALNUM, SPACE, Words, mix, pieces
 
 #: Rows used for fitting, at most: labelled ones and further ones without a label. Everything is scored.
-LABELLED, UNLABELLED = 12_000, 8_000
+LABELLED, UNLABELLED = 8_000, 4_000
 #: Buckets of hashed features, rounds of exchange, share of the unlabelled rows that a view passes on in a round.
 BUCKETS, ROUNDS, PASSED_ON, CONFIDENT = 1 << 18, 4, 0.05, 0.95
 TARGETS = ("quality", "toxic")
@@ -90,8 +90,10 @@ def fit_linear(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, weight: np.nd
                least: float = 15.0, penalty: float = 2.0, steps: int = 200) -> Linear:
     """Logistic regression on the buckets that tell the classes apart (chi square of presence, `least` or more)."""
     n = len(y)
-    used = weight[row] > 0
-    row, bucket = row[used], bucket[used]
+    some = weight > 0
+    if not some.all():
+        used = some[row]
+        row, bucket = row[used], bucket[used]
     one, zero = float((weight * y).sum()), float((weight * (1 - y)).sum())
     a = np.bincount(bucket, (weight * y)[row], BUCKETS)
     b = np.bincount(bucket, (weight * (1 - y))[row], BUCKETS)
@@ -237,8 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     views = []
     for name in ("of_text", "of_page"):
         parts = [np.frombuffer(x, dtype=np.uint32) for x in table.column(name).to_pylist()]
-        views.append((np.repeat(np.arange(len(parts)), [len(x) for x in parts]),
-                      np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)))
+        views.append((np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts]),
+                      np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, dtype=np.int32)))
     out = {}
     for target in TARGETS:
         y = table.column(target).to_pandas().to_numpy(dtype=np.float64, na_value=np.nan) if len(ids) else np.zeros(0)
