@@ -132,10 +132,13 @@ def _windows(docs: DataFrame, shingle: int, least: int, hashes: int) -> DataFram
     return docs.mapInArrow(run, _ROW)
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """Links (sig, doc, pos, rep, at) of windows with the first document of their signature; links made before pass."""
+def _star(rows: DataFrame, silent: bool = False) -> DataFrame:
+    """Links (sig, doc, pos, rep, at) of windows with the first document of their signature; links made before pass.
+
+    With `silent`, rows with an odd pos can be the first of a signature but are not linked themselves.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "dest").sortWithinPartitions("sig", "doc")
+    dealt = rows.repartition(parts, "dest").sortWithinPartitions("sig", "doc", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep = None  # signature, document and place of the group that is open
@@ -153,6 +156,8 @@ def _star(rows: DataFrame) -> DataFrame:
             first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
             rep = (sig[-1], doc[first[-1]], pos[first[-1]])
             other = doc != doc[first]
+            if silent:
+                other &= pos & 1 == 0
             if other.any():
                 yield _batch(sig[other], sig[other], doc[other], pos[other], doc[first][other], pos[first][other] >> 32)
 
@@ -310,20 +315,23 @@ def near_duplicate_passages(docs: DataFrame, shingle: int = SHINGLE, passage: in
     group is only ever named as kept. Exact repetitions of that length always share all windows; others are found when
     at least `enough` of the hash functions agree on overlapping windows, and are verified on the whole texts.
 
-    Windows with one signature are linked with the first document that has it, so a group of n costs n links. Links
-    that fail there are grouped once more by pairs of signatures at their distance, in case the first document shares
-    only a common phrase. Lower-cased words parted by ASCII white space count. Rows without doc_id, null, empty and
-    short texts have no passages; rows with one doc_id are one document (of different texts, the least counts); an
-    empty table gives no rows; other columns are ignored.
+    Windows with one signature are linked with the first document that has it, so a group of n costs n links. All
+    windows of the signatures whose links leave a stretch open, those of first documents and other places of theirs
+    included, are grouped once more by longer keys (`_regrouped`), the longest of which cannot fail. Lower-cased words
+    parted by ASCII white space count. Rows without doc_id, null, empty and short texts have no passages; rows with one
+    doc_id are one document (of different texts, the least counts); an empty table gives no rows; other columns are
+    ignored.
     """
     least = passage - shingle + 1
     texts = _texts(docs)
-    links = _star(_windows(texts, shingle, least, hashes))
+    windows = written(_windows(texts, shingle, least, hashes).drop("dest"), "windows")
+    dest = F.when(F.col("rep").isNull(), F.col("sig")).otherwise(F.xxhash64("doc")).alias("dest")
+    links = _star(windows.select(dest, "*"))
     first = written(_verified(_candidates(links, least, enough), texts, shingle, least, similarity), "passages")
-    again = written(_star(_paired(first, shingle, least)), "again")
+    again = written(_star(_regrouped(first, windows, texts, shingle, least, hashes), silent=True), "again")
     second = _verified(_candidates(again, 1, 1), texts, shingle, least, similarity)
     columns = ["doc_id", "start", "end", "kept_doc_id", "kept_start", "kept_end", "similarity"]
-    return first.where("failed is null").select(*columns).union(second.where("failed is null").select(*columns)).distinct()
+    return first.where("open is null").select(*columns).union(second.where("open is null").select(*columns)).distinct()
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -337,11 +345,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 _VERIFIED = ("doc_id long, start long, end long, kept_doc_id long, kept_start long, kept_end long, similarity double, "
-             "failed array<long>, sigs array<long>")
+             "open array<long>, shingles array<long>")
 
 
 def _verified(candidates: DataFrame, texts: DataFrame, shingle: int, least: int, similarity: float) -> DataFrame:
-    """Verified passages, and rows with the places and shingles of a document where its links failed."""
+    """Verified passages, and rows with the linked places of a document, and shingles there, that have open stretches.
+
+    A stretch of `least` shingles that holds the place is open if it does not lie in a passage found for the link.
+    """
     candidates = written(candidates, "pairs")
     involved = candidates.select(F.col("doc").alias("doc_id")).union(candidates.select("rep")).distinct()
     # ids that are known to be few are broadcast, so that only the texts they name are shuffled
@@ -353,7 +364,7 @@ def _verified(candidates: DataFrame, texts: DataFrame, shingle: int, least: int,
     pairs = pairs.join(here, "doc").select("doc", "rep", "here", "there", "low", "region", "text")
     lists = pa.list_(pa.int64())
     kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "end", "kept_doc_id", "kept_start", "kept_end")]
-                      + [("similarity", pa.float64()), ("failed", lists), ("sigs", lists)])
+                      + [("similarity", pa.float64()), ("open", lists), ("shingles", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -364,42 +375,121 @@ def _verified(candidates: DataFrame, texts: DataFrame, shingle: int, least: int,
                 a, b = short[offsets[i]:offsets[i + 1]], np.frombuffer(region, dtype="<u4")
                 found = align(a, b, here_, [y - low for y in there_], least, similarity)
                 out += [(doc, p[0], p[1] + shingle - 1, rep, p[2] + low, p[3] + low + shingle - 1, p[4], None, None) for p in found]
-                failed = sorted({x for x in here_ if x < len(a) and not any(p[0] <= x < p[1] for p in found)})
-                if failed:
-                    out.append((doc, None, None, None, None, None, None, failed, hashed[offsets[i] + np.asarray(failed)].view(np.int64).tolist()))
+                x = np.unique(np.asarray(here_, dtype=np.int64))
+                x = x[x < len(a)]
+                x = x[_open(x, len(a), least, [(p[0], p[1]) for p in found])]
+                if len(x):
+                    out.append((doc, None, None, None, None, None, None, x.tolist(), hashed[offsets[i] + x].view(np.int64).tolist()))
             columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return pairs.mapInArrow(run, _VERIFIED)
 
 
-def _paired(verified: DataFrame, shingle: int, least: int) -> DataFrame:
-    """Rows for a second grouping: places that no verified passage covers, each with each later one within reach.
-
-    The key holds both shingles and their distance; shingles that share a word are no pair, as one phrase has both.
+def _open(x: np.ndarray, n: int, least: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which places of n shingles are in a stretch of `least` shingles that no span (start, end) holds whole."""
+    low, high = np.maximum(x - least + 1, 0), np.minimum(x + least, n)
+    open_ = high - low >= least
+    for a, b in spans:
+        open_ &= (low < a) | (high > b)
+    if open_.any() and len(spans) > 1:  # spans may hold all stretches between them
+        covered = np.zeros(n + 1, dtype=np.int64)
+        for a, b in spans:
+            if b - a >= least:
+                covered[a] += 1
+                covered[b - least + 1] -= 1
+        free = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:max(n - least + 1, 0)] == 0)])
+        at = np.flatnonzero(open_)
+        open_[at] = free[np.minimum(x[at], n - least) + 1] > free[low[at]]
+    return open_
+
+
+def _regrouped(verified: DataFrame, windows: DataFrame, texts: DataFrame, shingle: int, least: int, hashes: int) -> DataFrame:
+    """Rows for a second grouping: longer keys around all windows whose signature has left a stretch open somewhere.
+
+    First documents and windows that verified passages cover take part as well, as firsts only (odd pos). Keys are
+      - stretches of `least` shingles that hold a window's centre: equal ones are exact repetitions, so a link of them
+        cannot fail, and none is lost whatever documents the shorter keys met first;
+      - stretches of 9/20 of that, as passages of similarity 0.8 always have one without an edit between them;
+      - two centres within reach at their distance; shingles that share a word are no pair, as one phrase has both.
+    Covered rows of a key are combined in the task. Equal stretches are linked in the task too, which loses nothing.
     """
-    parts = int(verified.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: no merged tasks
-    rows = verified.repartition(parts, "doc_id").groupBy(F.col("doc_id").alias("doc")).agg(
-        F.flatten(F.collect_list("failed")).alias("f"), F.flatten(F.collect_list("sigs")).alias("s"),
-        F.collect_list("start").alias("a"), F.collect_list("end").alias("b"))
+    spark = verified.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: no merged tasks
+    lists = "struct<a:array<long>,b:array<long>>"
+    spans = verified.where("open is null").groupBy(F.col("doc_id").alias("doc")).agg(
+        F.struct(F.collect_list("start").alias("a"), F.collect_list(F.col("end") - (shingle - 1)).alias("b")).cast(lists).alias("spans"))
+    opened = verified.where("open is not null").groupBy(F.col("doc_id").alias("doc")).agg(
+        F.flatten(F.collect_list("open")).alias("x"), F.flatten(F.collect_list("shingles")).alias("s")).join(spans, "doc", "left")
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, dtype=np.int64)]
+            for x, s, own in zip(*(batch.column(c).to_pylist() for c in ("x", "s", "spans")), strict=True):
+                x, at = np.unique(np.asarray(x, dtype=np.int64), return_index=True)
+                held = list(zip(own["a"], own["b"], strict=True)) if own else []
+                s = np.asarray(s, dtype=np.int64)[at].view(np.uint64)[_open(x, int(x[-1]) + least, least, held)]
+                out += [((mix(s ^ _SEEDS[k]) & ~np.uint64(63)) | np.uint64(k)).view(np.int64) for k in range(hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["sig"])
+
+    sigs = written(opened.mapInArrow(signatures, "sig long").distinct(), "signatures")
+    few = sigs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    entered = windows.select("sig", "doc", F.shiftright("pos", 32).alias("x")).join(F.broadcast(sigs) if few else sigs, "sig", "left_semi")
+    entered = written(entered.groupBy("doc").agg(F.collect_set("x").alias("x")).join(spans, "doc", "left"), "entered")
+    ids = entered.select(F.col("doc").alias("doc_id"))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
+    rows = texts.repartition(parts, "doc").join(entered, "doc").select("doc", "x", "spans", "text")
+    lengths = (least, max(1, least * 9 // 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, places, sigs, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, at = np.unique(np.asarray(places, dtype=np.int64), return_index=True)
-                free = np.ones(len(x), dtype=bool)
-                for a, b in zip(starts, ends, strict=True):
-                    free &= (x < a) | (x + shingle > b)
-                x, s = x[free], np.asarray(sigs, dtype=np.int64)[at[free]].view(np.uint64)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            key, doc, pos, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order, first = _grouped(key, doc, pos)
+            key, doc, pos, whole = key[order], doc[order], pos[order], whole[order]
+            own, covered = doc == doc[first], pos & 1 == 1
+            on = own | ~(covered | whole)
+            yield _batch(key[on], key[on], doc[on], pos[on], None, None)
+            made = ~own & ~covered & whole
+            yield _batch(mix(doc[made].astype(np.uint64)), key[made], doc[made], pos[made], doc[first][made], pos[first][made] >> 32)
+
+        for batch in pieces(batches, "text"):
+            hashed, offsets = shingles(Words(batch.column("text")), shingle)
+            columns = [batch.column(c).to_pylist() for c in ("doc", "x", "spans")]
+            for i, (doc, x, own) in enumerate(zip(*columns, strict=True)):
+                x, s = np.unique(np.asarray(x, dtype=np.int64)), hashed[offsets[i]:offsets[i + 1]]
+                spans_ = list(zip(own["a"], own["b"], strict=True)) if own else []
+
+                def add(key: np.ndarray, start: np.ndarray, end: np.ndarray, whole: bool) -> None:
+                    covered = np.zeros(len(key), dtype=np.int64)
+                    for a, b in spans_:
+                        covered |= (start >= a) & (end <= b)
+                    held.append((key.view(np.int64), np.full(len(key), doc), start << 32 | covered, np.full(len(key), whole)))
+
+                for length in lengths:
+                    start = np.unique(np.add.outer(x, np.arange(1 - length, 1)))
+                    start = start[(start >= 0) & (start + length <= len(s))]
+                    key = np.full(len(start), length, dtype=np.uint64)
+                    for k in range(length):
+                        key = key * np.uint64(0xD1342543DE82EF95) + s[start + k]
+                    add(mix(key), start, start + length, length == least)
                 for shift in range(1, len(x)):
                     gap = x[shift:] - x[:-shift]
                     if gap.min() >= least:
                         break
                     near = np.flatnonzero((gap >= shingle) & (gap < least))
-                    key = mix(s[near] ^ mix(s[near + shift] + mix(gap[near].astype(np.uint64))))
-                    yield _batch(key, key, np.full(len(near), doc), x[near] << 32, None, None)
+                    key = mix(s[x[near]] ^ mix(s[x[near + shift]] + mix(gap[near].astype(np.uint64))))
+                    add(key, x[near], x[near + shift] + 1, False)
+            if sum(len(h[0]) for h in held) >= GROUPED:
+                yield from flush()
+        yield from flush()
 
-    return rows.where("size(f) > 0").mapInArrow(run, _ROW)
+    return rows.mapInArrow(run, _ROW)
 
 
 def remove_passages(docs: DataFrame, **options: object) -> DataFrame:

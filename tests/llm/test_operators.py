@@ -287,6 +287,41 @@ def test_a_common_phrase_in_the_first_document_hides_no_passage(docs):
     assert [(r["doc_id"], r["start"], r["end"], r["kept_doc_id"]) for r in found] == [(11, 70, 124, 10)]
 
 
+def stock_phrases(one, other, words, least=46):
+    """The 5 words of each window that two texts share, alone between other words, where it is a window as well."""
+
+    def windows(text, seed):
+        hashed, offsets = passages.shingles(Words(pa.array([" ".join(text)])))
+        return {int(hashed[x]): int(x) for x in passages.compact_windows(passages.mix(hashed ^ seed), offsets, least)[1]}
+
+    out = []
+    for seed in passages._SEEDS[:passages.HASHES]:
+        first, second = windows(one, seed), windows(other, seed)
+        for value in first.keys() & second.keys():
+            while True:
+                text = words(60) + one[first[value]:first[value] + 5] + words(60)
+                if value in windows(text, seed):
+                    break
+            out += text
+    return out
+
+
+def test_exact_copies_are_found_whatever_other_documents_hold_their_windows(docs):
+    rng = random.Random(8)
+    words = lambda n: [f"t{rng.randrange(10 ** 6)}" for _ in range(n)]
+    shared, twice = words(50), words(50)
+    # (a) the copies' windows are grouped in one task with another document's; (b) the first document has them twice
+    one, three = words(60) + shared + words(60), words(70) + shared + words(60)
+    eleven, twelve = words(60) + twice + words(60), words(80) + twice + words(60)
+    before = stock_phrases(eleven, twelve, words)
+    rows = {1: one, 2: stock_phrases(one, three, words), 3: three, 11: before + eleven, 12: twelve}
+    table = docs([(k, " ".join(v)) for k, v in rows.items()])
+    parts = table.where("doc_id in (2, 3, 12)").coalesce(1).union(table.where("doc_id in (1, 11)").coalesce(1))
+    found = passages.near_duplicate_passages(parts).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in found) == [
+        (3, 70, 120, 1, 60), (12, 80, 130, 11, len(before) + 60)]
+
+
 # ---- embeddings -------------------------------------------------------------
 
 def test_embedding_links_against_brute_force(spark):
