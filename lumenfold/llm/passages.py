@@ -13,8 +13,8 @@ from lumenfold.llm.common import Words, mix, pieces, written
 
 #: Words in a shingle, least words of a passage, hash functions, hash functions that must agree, least similarity.
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 50, 4, 2, 0.8
-#: Windows of a task that are grouped before they are shuffled; shingles looked at together; words skipped at an edit.
-GROUPED, SEGMENT, SKIP = 1 << 20, 1 << 22, 12
+#: Windows of a task that are grouped before they are shuffled; shingles looked at together.
+GROUPED, SEGMENT = 1 << 20, 1 << 22
 #: Document ids, 8 bytes each, that may be broadcast.
 BROADCAST_IDS = 500_000
 _LOW = np.uint64((1 << 24) - 1)
@@ -219,16 +219,21 @@ def _candidates(links: DataFrame, least: int, enough: int) -> DataFrame:
 
 
 def _regions(pairs: DataFrame, shingle: int, least: int) -> DataFrame:
-    """Replaces the text of the earlier document by the shingles around the shared places, 32 bits of each."""
+    """Replaces the text of the earlier document by the shingles around the shared places, 32 bits of each.
+
+    On both sides that is as much as the places span and four times the least passage: a longer similar stretch has
+    shared places of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             hashed, offsets = shingles(Words(batch.column("text")), shingle)
             starts, parts = [], []
             for i, there in enumerate(batch.column("there").to_pylist()):
-                low = max(0, min(there) - least - SKIP)
+                reach = max(there) - min(there) + 4 * least
+                low = max(0, min(there) - reach)
                 starts.append(low)
-                part = hashed[offsets[i] + low:min(offsets[i + 1], offsets[i] + max(there) + least + SKIP)]
+                part = hashed[offsets[i] + low:min(offsets[i + 1], offsets[i] + max(there) + reach)]
                 parts.append((part >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc", "rep", "here", "there")), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())],
@@ -237,10 +242,6 @@ def _regions(pairs: DataFrame, shingle: int, least: int) -> DataFrame:
     return pairs.mapInArrow(run, "doc long, rep long, here array<long>, there array<long>, low long, region binary")
 
 
-_EDITS = np.add.outer(np.arange(SKIP + 1), np.arange(SKIP + 1))
-_NEAREST = np.argsort(_EDITS, axis=None, kind="stable")
-
-
 def _run(a: np.ndarray, b: np.ndarray) -> int:
     """How many leading values are equal."""
     n, begin, size = min(len(a), len(b)), 0, 128
@@ -254,55 +255,99 @@ def _run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _next(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
-    """The nearest steps, up to SKIP in each sequence, to a value that both have."""
-    x, y = a[:SKIP + 1], b[:SKIP + 1]
-    same = x[:, None] == y[None, :]
-    if not same.any():
-        return None
-    if same.shape == _EDITS.shape:
-        return divmod(int(_NEAREST[same.ravel()[_NEAREST].argmax()]), SKIP + 1)
-    steps = np.argwhere(same)
-    best = steps[steps.sum(axis=1).argmin()]
-    return int(best[0]), int(best[1])
-
-
-def _extend(a: np.ndarray, b: np.ndarray, similarity: float, had: tuple[int, int, int]) -> tuple[int, int, int]:
-    """Steps along two sequences from their starts: values used of each and matches, while the whole stays similar.
+def _shared_runs(a: np.ndarray, b: np.ndarray, furthest: float) -> np.ndarray:
+    """Runs (start in a, start in b, length) of values that two sequences share, joined by value and cut to maximal runs.
 
-    `had` are the values used and matches before. Runs of equal values are joined over edits of at most SKIP values.
+    A value that b repeats is joined where it is nearest to the same place, before and after it. Runs whose places
+    differ by more than `furthest` are left out: no passage can bridge that.
     """
-    i = j = matched = 0
-    while True:
-        run = _run(a[i:], b[j:])
-        i, j, matched = i + run, j + run, matched + run
-        edit = _next(a[i:], b[j:])
-        if edit is None:
-            return i, j, matched
-        x, y = i + edit[0], j + edit[1]
-        run = _run(a[x:], b[y:])
-        m = had[2] + matched + run
-        if m < similarity * (had[0] + x + run + had[1] + y + run - m):
-            return i, j, matched
-        i, j = x, y
+    keys = np.sort(b.astype(np.uint64) << np.uint64(32) | np.arange(len(b), dtype=np.uint64))
+    wanted = a.astype(np.uint64) << np.uint64(32) | np.arange(len(a), dtype=np.uint64)
+    at = np.searchsorted(keys, wanted)
+    rows = []
+    for near in (at, at - 1):
+        inside = np.flatnonzero((near >= 0) & (near < len(keys)))
+        inside = inside[keys[near[inside]] >> np.uint64(32) == a[inside]]
+        rows.append(np.stack([inside, (keys[near[inside]] & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
+    x, y = np.concatenate(rows, axis=1)
+    close = np.abs(y - x) <= furthest
+    x, y = x[close], y[close]
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
+    start = np.flatnonzero(np.concatenate([[True], (np.diff(y - x) != 0) | (np.diff(x) != 1)])[:len(x)])
+    runs = {}
+    for p, q, n in zip(x[start].tolist(), y[start].tolist(), np.diff(np.append(start, len(x))).tolist(), strict=True):
+        back = _run(a[:p][::-1], b[:q][::-1])
+        runs[p - back, q - back] = n + back + _run(a[p + n:], b[q + n:])
+    return np.array([(p, q, n) for (p, q), n in runs.items()], dtype=np.int64).reshape(-1, 3)
+
+
+def _stops(a: np.ndarray, b: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Where a passage from the starts of two sequences may end: rows of values used of each and matches.
+
+    Jaccard ratio m / (p + q - m) >= s is (1 + s) m >= s (p + q): a match is worth 1 - s and a value without one costs
+    s. For each run of shared values, the row has the chain of runs up to it that is worth most. `most` is the number
+    of matches that a passage can have at all, before the starts too, so an edit may not cost more than they are worth.
+    """
+    run = _run(a, b)
+    if run in (len(a), len(b)):
+        return np.array([[run, run, run]])
+    runs = _shared_runs(a[run:], b[run:], (1 - similarity) * most / similarity)
+    if not len(runs):
+        return np.array([[run, run, run]])
+    runs = runs[np.argsort(runs[:, 0] + runs[:, 2], kind="stable")]
+    x, y, n = runs.T
+    ends_x, ends_y = np.append(0, x + n), np.append(0, y + n)
+    worth, matched = np.full(len(runs) + 1, -np.inf), np.zeros(len(runs) + 1, dtype=np.int64)
+    worth[0] = 0
+    for k in range(len(runs)):
+        cut = np.maximum(np.maximum(ends_x[:k + 1] - x[k], ends_y[:k + 1] - y[k]), 0)  # of a run that begins too early
+        gap = x[k] + y[k] + 2 * cut - ends_x[:k + 1] - ends_y[:k + 1]
+        value = np.where(cut < n[k], worth[:k + 1] - similarity * gap + (1 - similarity) * (n[k] - cut), -np.inf)
+        best = int(value.argmax())
+        worth[k + 1], matched[k + 1] = value[best], matched[best] + n[k] - cut[best]
+    usable = worth + (1 - similarity) * most >= 0
+    return np.stack([ends_x + run, ends_y + run, matched + run], axis=1)[usable]
 
 
 def align(a: np.ndarray, b: np.ndarray, here: list[int], there: list[int], least: int, similarity: float) -> list[tuple]:
     """Passages (start, end, start there, end there, similarity) in shingles, grown from shared places and verified.
 
-    Similarity is the Jaccard ratio of the aligned shingles. A passage has at least `least` of them.
+    Similarity is the Jaccard ratio of the aligned shingles; of the ends it allows the longest passage is taken, however
+    long the edits within. A passage has at least `least` shingles.
     """
     found: list[tuple] = []
+    tried: set[tuple[int, int]] = set()
+    # a shingle that b lacks costs `similarity` and no other brings more than the rest: bounds of what can be similar
+    sums = np.concatenate([[0], np.cumsum(np.isin(a, b) - similarity)])
     for x, y in zip(here, there, strict=True):
         if not (0 <= x < len(a) and 0 <= y < len(b)) or a[x] != b[y]:
             continue
         if any(p[0] <= x < p[1] and p[2] <= y < p[3] for p in found):
             continue
-        i, j, m = _extend(a[x:], b[y:], similarity, (0, 0, 0))
-        p, q, n = _extend(a[:x][::-1], b[:y][::-1], similarity, (i, j, m))
-        ratio = (m + n) / (i + p + j + q - m - n)
-        if i + p >= least and ratio >= similarity:
-            found.append((x - p, x + i, y - q, y + j, ratio))
+        reach = int(len(b) / similarity) + 1  # a longer stretch is less similar to all of b
+        low, high = max(0, x - reach), min(len(a), x + reach)
+        before, after = sums[low:x + 1], sums[x:high + 1]
+        high = x + int(np.flatnonzero(after >= before.min() - 1e-6)[-1])
+        low += int(np.flatnonzero(before <= after.max() + 1e-6)[0])
+        if high - low < least:
+            continue
+        back = _run(a[low:x][::-1], b[:y][::-1])
+        if (x - back, y - back) in tried:  # a place of a run that was tried already
+            continue
+        tried.add((x - back, y - back))
+        reach = int((high - low) / similarity) + 1
+        most = min(high - low, len(b))
+        ahead = _stops(a[x:high], b[y:y + reach], similarity, most)
+        behind = _stops(a[low:x][::-1], b[max(0, y - reach):y][::-1], similarity, most)
+        i, j, m = (np.add.outer(ahead[:, k], behind[:, k]) for k in range(3))
+        ratio = m / np.maximum(i + j - m, 1)
+        size = np.where((i >= least) & (ratio >= similarity), i + j, -1)
+        best = np.unravel_index(int(size.argmax()), size.shape)
+        if size[best] < 0:
+            continue
+        f, g = ahead[best[0]], behind[best[1]]
+        found.append((x - int(g[0]), x + int(f[0]), y - int(g[1]), y + int(f[1]), float(ratio[best])))
     return found
 
 
@@ -428,7 +473,8 @@ def _regrouped(verified: DataFrame, windows: DataFrame, texts: DataFrame, shingl
             for x, s, own in zip(*(batch.column(c).to_pylist() for c in ("x", "s", "spans")), strict=True):
                 x, at = np.unique(np.asarray(x, dtype=np.int64), return_index=True)
                 held = list(zip(own["a"], own["b"], strict=True)) if own else []
-                s = np.asarray(s, dtype=np.int64)[at].view(np.uint64)[_open(x, int(x[-1]) + least, least, held)]
+                n = max([int(x[-1]) + least] + [b for _, b in held])  # the text may be shorter: then too much is open
+                s = np.asarray(s, dtype=np.int64)[at].view(np.uint64)[_open(x, n, least, held)]
                 out += [((mix(s ^ _SEEDS[k]) & ~np.uint64(63)) | np.uint64(k)).view(np.int64) for k in range(hashes)]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["sig"])
 

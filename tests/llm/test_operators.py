@@ -322,6 +322,24 @@ def test_exact_copies_are_found_whatever_other_documents_hold_their_windows(docs
         (3, 70, 120, 1, 60), (12, 80, 130, 11, len(before) + 60)]
 
 
+@pytest.mark.parametrize("edit", [9, 10, 14, 25])
+@pytest.mark.parametrize("replaced", [False, True])
+def test_long_edits_are_bridged_as_far_as_similarity_allows(edit, replaced):
+    rng = np.random.default_rng(edit)
+    fresh = iter(rng.permutation(1 << 20).astype(np.uint32))
+    new = lambda n: np.array([next(fresh) for _ in range(n)], dtype=np.uint32)
+    for half in range(30, 160, 5):
+        one, two, gap = new(half), new(half), edit + 4
+        a = np.concatenate([new(70), one, new(gap), two, new(70)])
+        b = np.concatenate([new(80), one, new(gap if replaced else 4), two, new(80)])
+        # brute force: all ends that are at run ends, as anything else is shorter or less similar
+        skipped = (gap if replaced else 4) + gap
+        whole = 2 * half / (2 * half + skipped) >= 0.8
+        got = {p[:2] for p in passages.align(a, b, [70 + half // 2], [80 + half // 2], 46, 0.8)}
+        want = {(70, 70 + 2 * half + gap)} if whole else {(70, 70 + half)} if half >= 46 else set()
+        assert got == want, half
+
+
 # ---- embeddings -------------------------------------------------------------
 
 def test_embedding_links_against_brute_force(spark):
