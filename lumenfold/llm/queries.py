@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import boilerplate, cotrain, fmindex, huffman, itq, language, packing, passages, quotes, simhash
+from lumenfold.llm import (
+    boilerplate,
+    cotrain,
+    fmindex,
+    huffman,
+    itq,
+    language,
+    lengths,
+    negatives,
+    packing,
+    passages,
+    quotes,
+    resampling,
+    simhash,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +69,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -66,5 +92,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotations": op8_quotations,
     "op9_main_text": op9_main_text,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_resampling": op11_resampling,
+    "op12_token_counts": op12_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+CHECKS: dict[str, str] = {
+    # a CRC-32 by shifting bits, worked out once for each distinct word
+    "op11_resampling": """
+        WITH words AS (
+            SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+            UNION ALL
+            SELECT 'b', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+        kinds AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM words),
+        sums AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)),
+                lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)),
+                4294967295) % 10000 AS bucket FROM kinds),
+        counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN sums USING (w) GROUP BY bucket),
+        totals AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM counts),
+        gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (ss + 10000)) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM counts, totals),
+        means AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+            FROM words JOIN sums USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+        scored AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+            coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM documents d LEFT JOIN means m ON d.doc_id = m.doc_id),
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, n_features, weight, score, k::BIGINT AS rank FROM scored s
+        LEFT JOIN placed p ON s.doc_id = p.doc_id AND k <= n * 10 // 100""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS x FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+                list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM pairs WHERE same QUALIFY k <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank,
+            n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN pairs n ON p.a = n.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        QUALIFY rank <= 10""",
 }
-CHECKS: dict[str, str] = {}
