@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import written
 
-#: Rows whose lists are held at once; anchors that are searched against them in one group.
-SHARD, SLICE = 1 << 17, 1 << 15
+#: Rows whose lists are held at once, at most; rows of a shard while there are few; anchors searched against a shard in one group.
+SHARD, SMALL_SHARD, SLICE = 1 << 17, 1 << 13, 1 << 15
 #: Shares of a window's bounds in the positive's score, both in hundredths.
 LOW, HIGH = 30, 90
 _LIMIT = 1 << 63
@@ -157,7 +157,6 @@ def mine(rows: DataFrame, scale: int = 256, every: int = 100, positives: int = 5
     Scores are exact; beyond 64 bits they stop at the largest long. An empty table gives no rows; other columns are
     ignored.
     """
-    spark = rows.sparkSession
     number = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -171,7 +170,8 @@ def mine(rows: DataFrame, scale: int = 256, every: int = 100, positives: int = 5
     asked = base.where(F.col("vec_id") % every == 0).select(*[F.col(c).alias(f"a_{n}") for c, n in (
         ("vec_id", "id"), ("label", "label"), ("vector", "vector"), ("size", "size"))])
     total, n_anchors = base.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards = max(-(-total // shard), int(spark.conf.get("spark.sql.shuffle.partitions")) if total > 4096 else 1)
+    # each shard gives an anchor's best rows once, so shards are no more than the tasks that small tables can use
+    shards = max(-(-total // shard), min(64, -(-total // SMALL_SHARD)), 1)
     slices = max(-(-n_anchors // slice_), 1)
 
     def find_positives(held: pa.Table, ask: pa.Table) -> pa.Table:
