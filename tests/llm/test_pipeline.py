@@ -11,7 +11,7 @@ def test_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "decontamination", "pack"]
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
     names = [n.split("_")[0] for n in entry.queries()]
-    assert all(names.count(f"op{k}") == 1 for k in range(1, 11))
+    assert all(names.count(f"op{k}") == 1 for k in range(1, 14))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     steps = [docs]
     for _, stage in corpus_pipeline.STAGES:
