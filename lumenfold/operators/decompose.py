@@ -1,99 +1,39 @@
-"""Matrix methods on maps: PCA, k-means, NMF, alternating least squares, NNLS projection.
+"""Matrix methods on one map: PCA, k-means, NMF, alternating least squares, NNLS projection, baselines, pixel fits.
 
-The pixel matrix stays distributed. Each pass emits per-partition partial products, which Spark sums by matrix row;
-only matrices whose size depends on channels and components reach the driver.
+The fits are those of `manymaps` with a single map, whose pixels stay distributed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHANNELS = 4096
-FEW_PARTITIONS = 64
+from lumenfold.operators import manymaps as mm
+from lumenfold.operators.matrix import Factorisation, PrincipalAxes, list_of, matrix_of, ols_clip
+from lumenfold.operators.nnls import nnls_each, nnls_rows
 
 
-def matrix_of(column: pa.Array) -> np.ndarray:
-    """Arrow list column of equally long lists -> matrix without a copy per row."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
-def list_of(m: np.ndarray) -> pa.Array:
-    m = np.ascontiguousarray(m, dtype=float)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-
-
-def summed_rows(df: DataFrame, column: str, product: Callable[[np.ndarray], np.ndarray],
-                partitions: int | None = None) -> np.ndarray:
-    """Sum over all batches of product(batch matrix).
-
-    A partition emits its own sum once and Spark adds the sums up by matrix row. A caller that knows its data to have
-    few partitions says so, and the few partial sums are then added on the driver, which saves a shuffle per pass.
-    """
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x = matrix_of(batch.column(0))
-                if x.shape[1] > MAX_CHANNELS:
-                    raise ValueError(f"{x.shape[1]} channels: products would not fit the driver")
-                part = product(x)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), list_of(total)], names=["r", "v"])
-
-    source = df.select(F.col(column).cast("array<double>"))
-    parts = source.mapInArrow(partial, "r int, v array<double>")
-    if partitions is None or partitions > FEW_PARTITIONS:
-        parts = parts.groupBy("r").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-    sums = parts.collect()
-    out = np.zeros((1 + max((row["r"] for row in sums), default=-1), len(sums[0]["v"]) if sums else 0))
-    for row in sums:
-        out[row["r"]] += row["v"]
-    return out
-
-
-@dataclass
-class PrincipalAxes:
-    mean: np.ndarray
-    axes: np.ndarray  # channels x k
-    variance: np.ndarray
-    ratio: np.ndarray
-    second_moment: np.ndarray = field(repr=False, default=None)
-    n: int = 0
+@contextmanager
+def _packed(spectra: DataFrame, column: str) -> Iterator[mm.Blocks]:
+    blocks = mm.pack(spectra, (), column)
+    try:
+        if not blocks.sizes:
+            raise ValueError("no spectra")
+        yield blocks
+    finally:
+        blocks.release()
 
 
 def fit_pca(spectra: DataFrame, k: int = 3, column: str = "intensity") -> PrincipalAxes:
-    """Centred PCA from one pass of second moments; the largest loading of each axis is positive."""
-    def product(x: np.ndarray) -> np.ndarray:
-        return np.vstack([np.append(x.T @ x, x.sum(0)[:, None], 1), np.append(x.sum(0), len(x))[None, :]])
-
-    m = summed_rows(spectra, column, product)
-    if not len(m):
-        raise ValueError("no spectra")
-    p = m.shape[1] - 1
-    n = m[-1, -1]
-    mean = m[-1, :-1] / n
-    second = m[:-1, :-1]
-    cov = (second - n * np.outer(mean, mean)) / max(n - 1, 1)
-    value, vector = np.linalg.eigh(cov)
-    order = np.argsort(value)[::-1]
-    value, vector = np.maximum(value[order], 0.0), vector[:, order]
-    vector = vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(p)])
-    k = min(k, p)
-    return PrincipalAxes(mean, vector[:, :k], value[:k], value[:k] / max(value.sum(), 1e-300), second, int(n))
+    """Centred PCA; the largest loading of each axis is positive."""
+    with _packed(spectra, column) as blocks:
+        return mm.fit_pca(blocks, k)[mm.ALL]
 
 
 def scree(spark, pca: PrincipalAxes) -> DataFrame:
@@ -128,71 +68,8 @@ def pca_scores(column: Column, pca: PrincipalAxes) -> Column:
 
 
 def cluster(scored: DataFrame, scores: str = "scores", k: int = 4, seed: int = 0, out: str = "cluster") -> DataFrame:
-    data = scored.withColumn("_v", array_to_vector(F.col(scores)))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=out).fit(data)
-    return model.transform(data).drop("_v")
-
-
-# ---- non-negative least squares ---------------------------------------------
-
-def nnls_rows(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Rows c >= 0 that minimise |x - c B|, for all rows at once.
-
-    Up to 8 components every support is solved and the best feasible one kept (exact); beyond that,
-    coordinate descent on the normal equations until the change is negligible, which is an error if it never is.
-    """
-    k = len(basis)
-    gram, rhs = basis @ basis.T, x @ basis.T
-    if k > 8:
-        c = np.maximum(rhs / np.maximum(np.diag(gram), 1e-300), 0.0)
-        live = np.arange(len(c))
-        for _ in range(200_000):
-            own, old = c[live], c[live]
-            for j in range(k):
-                own[:, j] = np.maximum(own[:, j] + (rhs[live, j] - own @ gram[:, j]) / max(gram[j, j], 1e-300), 0.0)
-            c[live] = own
-            live = live[np.abs(own - old).max(axis=1, initial=0.0) > 1e-12 * np.maximum(1.0, np.abs(own).max(axis=1, initial=0.0))]
-            if not len(live):
-                return c
-        raise RuntimeError(f"non-negative least squares did not converge for {len(live)} rows")
-    best = np.zeros((len(x), k))
-    score = np.zeros(len(x))  # |x - cB|^2 - |x|^2 for c = 0
-    for bits in range(1, 2 ** k):
-        on = [j for j in range(k) if bits >> j & 1]
-        sub = gram[np.ix_(on, on)]
-        if np.linalg.matrix_rank(sub) < len(on):
-            continue
-        c = np.linalg.solve(sub, rhs[:, on].T).T
-        value = -(c * rhs[:, on]).sum(1)
-        take = (c >= 0).all(1) & (value < score)
-        best[take] = 0.0
-        best[np.ix_(take, on)] = c[take]
-        score[take] = value[take]
-    return best
-
-
-def nnls_each(x: np.ndarray, bases: np.ndarray) -> np.ndarray:
-    """The same for rows that each have a basis of their own (rows x components x channels)."""
-    k = bases.shape[1]
-    if k > 8:
-        return np.stack([nnls_rows(v[None, :], b)[0] for v, b in zip(x, bases)]) if len(x) else np.zeros((0, k))
-    gram, rhs = np.einsum("rin,rjn->rij", bases, bases), np.einsum("rn,rin->ri", x, bases)
-    best, score = np.zeros((len(x), k)), np.zeros(len(x))
-    for bits in range(1, 2 ** k):
-        on = [j for j in range(k) if bits >> j & 1]
-        sub = gram[:, on][:, :, on]
-        top = np.einsum("rii->ri", sub).max(axis=1, initial=0.0)
-        solvable = np.abs(np.linalg.det(sub / np.maximum(top, 1e-300)[:, None, None])) > 1e-14
-        if not solvable.any():
-            continue
-        c = np.zeros((len(x), len(on)))
-        c[solvable] = np.linalg.solve(sub[solvable], rhs[solvable][:, on][:, :, None])[:, :, 0]
-        value = -(c * rhs[:, on]).sum(1)
-        take = np.flatnonzero(solvable & (c >= 0).all(1) & (value < score))
-        best[take] = 0.0
-        best[np.ix_(take, on)] = c[take]
-        score[take] = value[take]
-    return best
+    with _packed(scored, scores) as blocks:
+        return mm.cluster(scored, mm.fit_kmeans(blocks, k, seed), (), scores, out)
 
 
 def project(column: Column, basis: np.ndarray) -> Column:
@@ -201,106 +78,24 @@ def project(column: Column, basis: np.ndarray) -> Column:
     return per_row(column, lambda x: nnls_rows(x, b))
 
 
-# ---- alternating factorisations ---------------------------------------------
-
-@dataclass
-class Factorisation:
-    spectra: np.ndarray  # components x channels
-    iterations: int
-    residual: float
-    r2: float
-    converged: bool
-    fallback: bool = False
-
-
-def _ols_clip(x: np.ndarray, s: np.ndarray) -> np.ndarray:
-    g = s @ s.T
-    return np.maximum(x @ s.T @ np.linalg.inv(g + 1e-12 * np.trace(g) * np.eye(len(s))), 0.0)
-
-
-def _alternate(spectra: DataFrame, start: np.ndarray, column: str, rows: Callable, iterations: int, tol: float,
-               exact_nonneg: bool) -> Factorisation | None:
-    """One job per iteration: row coefficients, their products and the residual in one pass."""
-    s = np.maximum(start, 0.0)
-    k, p = s.shape
-    # read once per iteration; lost blocks are recomputed from the source
-    held = spectra.select(F.col(column).cast("array<double>").alias(column)).persist(StorageLevel.MEMORY_AND_DISK)
-    partitions = held.rdd.getNumPartitions()
-    try:
-        return _iterate(held, s, column, rows, iterations, tol, exact_nonneg, partitions)
-    finally:
-        held.unpersist()
-
-
-def _iterate(held: DataFrame, s: np.ndarray, column: str, rows: Callable, iterations: int, tol: float, exact_nonneg: bool,
-             partitions: int) -> Factorisation | None:
-    k, p = s.shape
-    previous, total, resid, done = None, 0.0, 0.0, 0
-    for done in range(1, iterations + 1):
-        def product(x: np.ndarray, s=s) -> np.ndarray:
-            c = rows(x, s)
-            e = x - c @ s
-            tail = np.zeros(k + p)
-            tail[:4] = (e * e).sum(), (x * x).sum(), x.sum(), x.size
-            return np.vstack([np.hstack([c.T @ c, c.T @ x]), tail])
-
-        m = summed_rows(held, column, product, partitions)
-        if len(m) != k + 1 or not np.isfinite(m).all() or np.linalg.matrix_rank(m[:k, :k]) < k:
-            return None
-        resid = m[k, 0]
-        total = m[k, 1] - m[k, 2] ** 2 / m[k, 3]
-        if previous is not None and abs(previous - resid) <= tol * max(previous, 1e-300):
-            return Factorisation(s, done, resid, 1.0 - resid / max(total, 1e-300), True)
-        previous = resid
-        gram, cross = m[:k, :k], m[:k, k:]
-        if exact_nonneg:
-            root = np.linalg.cholesky(gram + 1e-12 * np.trace(gram) * np.eye(k))
-            s = nnls_rows(np.linalg.solve(root, cross).T, root).T
-        else:
-            s = np.maximum(np.linalg.solve(gram + 1e-12 * np.trace(gram) * np.eye(k), cross), 0.0)
-        if (np.abs(s).sum(1) == 0).any():
-            return None
-    return Factorisation(s, done, resid, 1.0 - resid / max(total, 1e-300), False)
-
-
 def fit_nmf(spectra: DataFrame, k: int, column: str = "intensity", iterations: int = 500, tol: float = 1e-6) -> Factorisation:
-    """Non-negative factorisation by alternating exact NNLS from the sign-split singular vectors."""
-    pca = fit_pca(spectra, 1, column)
-    value, vector = np.linalg.eigh(pca.second_moment)
-    v = vector[:, np.argsort(value)[::-1][:k]]
-
-    def sides(x: np.ndarray) -> np.ndarray:
-        u = x @ v
-        return np.vstack([(np.maximum(u, 0) ** 2).sum(0), (np.maximum(-u, 0) ** 2).sum(0)])
-
-    up, un = np.sqrt(summed_rows(spectra, column, sides))
-    start = np.empty((k, len(v)))
-    for j in range(k):
-        pos, neg = np.maximum(v[:, j], 0), np.maximum(-v[:, j], 0)
-        start[j] = pos if up[j] * np.linalg.norm(pos) >= un[j] * np.linalg.norm(neg) else neg
-    start[0] = np.abs(v[:, 0])
-    start += 1e-9 * np.abs(start).max()
-    out = _alternate(spectra, start, column, nnls_rows, iterations, tol, True)
-    if out is None:
-        raise ValueError("factorisation lost a component; use fewer components")
-    return out
+    """Non-negative factorisation; raises when a component is lost."""
+    with _packed(spectra, column) as blocks:
+        return mm.fit_nmf(blocks, k, iterations, tol)[mm.ALL]
 
 
 def fit_mcr(spectra: DataFrame, k: int, column: str = "intensity", iterations: int = 50, tol: float = 1e-6,
             start: np.ndarray | None = None) -> Factorisation:
     """Alternating least squares with clipping, started from the absolute PCA loadings; NMF when it breaks down."""
-    if start is None:
-        start = np.abs(fit_pca(spectra, k, column).axes.T)
-    out = _alternate(spectra, np.asarray(start, float), column, _ols_clip, iterations, tol, False)
-    if out is None:
-        out = fit_nmf(spectra, k, column)
-        out.fallback = True
-    return out
+    with _packed(spectra, column) as blocks:
+        if start is None:
+            start = np.abs(mm.fit_pca(blocks, k)[mm.ALL].axes.T)
+        return mm.fit_mcr(blocks, {mm.ALL: start}, iterations, tol)[mm.ALL]
 
 
 def concentrations(column: Column, spectra: np.ndarray, exact: bool = False) -> Column:
     s = np.asarray(spectra, float)
-    return per_row(column, (lambda x: nnls_rows(x, s)) if exact else (lambda x: _ols_clip(x, s)))
+    return per_row(column, (lambda x: nnls_rows(x, s)) if exact else (lambda x: ols_clip(x, s)))
 
 
 # ---- baselines and pixel fits -----------------------------------------------
@@ -359,15 +154,22 @@ def gaussian_basis(axis: np.ndarray, centres: Sequence[float], sigmas: Sequence[
 
 def fit_pixels(spectra: DataFrame, axis: Sequence[float], centres: Sequence[float], sigmas: Sequence[float],
                column: str = "intensity", reach: float = 0.5, step: float = 0.02, refine: bool = True) -> DataFrame:
-    """Amplitudes >= 0 on fixed line shapes with one common shift: add amplitudes, shift and mse.
+    """Amplitudes >= 0 on fixed line shapes with one common shift: add amplitudes, shift and mse."""
+    return fit_pixels_by_map(spectra, axis, {mm.ALL: (centres, sigmas)}, (), column, reach, step, refine)
+
+
+def fit_pixels_by_map(spectra: DataFrame, axis: Sequence[float], lines: Mapping[str, tuple[Sequence[float], Sequence[float]]],
+                      maps: Sequence[str] = (), column: str = "intensity", reach: float = 0.5, step: float = 0.02,
+                      refine: bool = True) -> DataFrame:
+    """The same with centres and widths of each map's own (by the text of its key); nulls for maps without lines.
 
     For a given shift the amplitudes are a small NNLS, so the shift is scanned on a lattice and refined by a parabola.
     """
     e = np.asarray(axis, float)
     lattice = np.round(np.arange(-round(reach / step), round(reach / step) + 1) * step, 10)
-    bank = [gaussian_basis(e, centres, sigmas, s) for s in lattice]
 
-    def solve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def solve(x: np.ndarray, centres: Sequence[float], sigmas: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bank = [gaussian_basis(e, centres, sigmas, s) for s in lattice]
         fits = [nnls_rows(x, b) for b in bank]
         errors = np.stack([((x - c @ b) ** 2).mean(1) for c, b in zip(fits, bank)])
         best = errors.argmin(0)
@@ -387,10 +189,16 @@ def fit_pixels(spectra: DataFrame, axis: Sequence[float], centres: Sequence[floa
         return amps, shift, mse
 
     @F.pandas_udf("amplitudes array<double>, shift double, mse double")
-    def run(xs: pd.Series) -> pd.DataFrame:
-        amps, shift, mse = solve(np.stack(xs.to_list()).astype(float))
-        return pd.DataFrame({"amplitudes": list(amps), "shift": shift, "mse": mse})
-
-    d = spectra.withColumn("_f", run(F.col(column)))
+    def run(keys: pd.Series, xs: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"amplitudes": [None] * len(xs), "shift": np.nan, "mse": np.nan})
+        for key, at in keys.reset_index(drop=True).groupby(keys.to_numpy()).groups.items():
+            if key in lines:
+                amps, shift, mse = solve(np.stack(xs.iloc[at].to_list()).astype(float), *lines[key])
+                out.loc[at, "shift"], out.loc[at, "mse"] = shift, mse
+                for i, a in zip(at, amps):
+                    out.at[i, "amplitudes"] = a
+        return out
+
+    d = spectra.withColumn("_f", run(mm.map_key(maps), F.col(column)))
     return d.withColumn("amplitudes", F.col("_f.amplitudes")).withColumn("shift", F.col("_f.shift")) \
         .withColumn("mse", F.col("_f.mse")).drop("_f")

@@ -153,19 +153,23 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
 
 
-def cluster_profiles(pixels: DataFrame, label: str, pixel: str, scores: str, spectrum: str = "intensity") -> DataFrame:
-    """Size, mean spectrum, centroid score and medoid pixel (lowest number on ties) per cluster."""
-    means = channel_moments(pixels, [label], spectrum).select(label, F.col("n").alias("size"), F.col("mean").alias("mean_spectrum"))
-    centres = channel_moments(pixels, [label], scores).select(label, F.col("mean").alias("centroid"))
-    d = join_stats(pixels.select(label, pixel, scores), centres, [label])
-    medoid = d.groupBy(label).agg(F.min_by(pixel, F.struct(squared_distance(F.col(scores), F.col("centroid")), F.col(pixel))).alias("medoid"))
-    return means.join(centres, label).join(medoid, label)
+def cluster_profiles(pixels: DataFrame, label: str, pixel: str, scores: str, spectrum: str = "intensity",
+                     maps: Sequence[str] = ()) -> DataFrame:
+    """Size, mean spectrum, centroid score and medoid pixel (lowest number on ties) per map and cluster."""
+    keys = [*maps, label]
+    means = channel_moments(pixels, keys, spectrum).select(*keys, F.col("n").alias("size"), F.col("mean").alias("mean_spectrum"))
+    centres = channel_moments(pixels, keys, scores).select(*keys, F.col("mean").alias("centroid"))
+    d = join_stats(pixels.select(*keys, pixel, scores), centres, keys)
+    medoid = d.groupBy(*keys).agg(F.min_by(pixel, F.struct(squared_distance(F.col(scores), F.col("centroid")), F.col(pixel))).alias("medoid"))
+    return means.join(centres, keys).join(medoid, keys)
 
 
-def cluster_sizes(pixels: DataFrame, label: str) -> DataFrame:
-    g = pixels.groupBy(label).agg(F.count("*").alias("size"))
-    total = g.agg(F.sum("size").alias("_t"))
-    return g.crossJoin(F.broadcast(total)).select(label, "size", (F.col("size") / F.col("_t") * 100.0).alias("percent"))
+def cluster_sizes(pixels: DataFrame, label: str, maps: Sequence[str] = ()) -> DataFrame:
+    """Pixels of each cluster and their share of the map."""
+    g = pixels.groupBy(*maps, label).agg(F.count("*").alias("size"))
+    total = g.groupBy(*maps).agg(F.sum("size").alias("_t"))
+    d = g.join(total, list(maps)) if maps else g.crossJoin(F.broadcast(total))  # one row without a key
+    return d.select(*maps, label, "size", (F.col("size") / F.col("_t") * 100.0).alias("percent"))
 
 
 def residual_metrics(pixels: DataFrame, spectrum: str = "intensity", model: str = "model") -> DataFrame:
@@ -190,16 +194,17 @@ def residual_totals(metrics: DataFrame, spectrum: str = "intensity") -> DataFram
         (1.0 - F.sum("ss_res") / (sq - total * total / n)).alias("global_r2"), F.sqrt(F.sum("ss_res") / n).alias("rms"))
 
 
-def silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id") -> DataFrame:
-    """Silhouette of every pixel by mean squared Euclidean distances: one pass for the clusters' sums, one for the pixels.
+def silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id", maps: Sequence[str] = ()) -> DataFrame:
+    """Silhouette of every pixel in its map by mean squared Euclidean distances: a pass for the clusters' sums, one for the pixels.
 
     The mean squared distance to a cluster follows from its size, its mean and its mean squared norm, so the work grows
-    with the pixels and not with their pairs. A pixel alone in its cluster has 0. One row for each cluster is broadcast.
+    with the pixels and not with their pairs. A pixel alone in its cluster has 0. A map's clusters are one row.
     """
-    clusters = channel_moments(pixels.withColumnRenamed(spectrum, "intensity") if spectrum != "intensity" else pixels, [label])
-    norms = pixels.groupBy(label).agg(F.count("*").alias("_n"), F.avg(F.aggregate(spectrum, F.lit(0.0), lambda s, v: s + v * v)).alias("_q"))
-    table = clusters.select(F.col(label).alias("_l"), F.col("mean").alias("_m")).join(norms.withColumnRenamed(label, "_l"), "_l")
-    table = table.agg(F.collect_list(F.struct("_l", "_n", "_m", "_q")).alias("_c"))
+    keys = [*maps, label]
+    clusters = channel_moments(pixels, keys, spectrum).select(*keys, F.col("mean").alias("_m"))
+    norms = pixels.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg(F.aggregate(spectrum, F.lit(0.0), lambda s, v: s + v * v)).alias("_q"))
+    table = clusters.join(norms, keys).withColumnRenamed(label, "_l")
+    table = table.groupBy(*maps).agg(F.collect_list(F.struct("_l", "_n", "_m", "_q")).alias("_c"))
     own = F.col(label)
     square = F.aggregate(spectrum, F.lit(0.0), lambda s, v: s + v * v)
 
@@ -207,13 +212,13 @@ def silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key:
         dot = F.aggregate(F.zip_with(spectrum, c["_m"], lambda v, m: v * m), F.lit(0.0), lambda s, v: s + v)
         return F.greatest(square + c["_q"] - 2.0 * dot, F.lit(0.0))
 
-    d = pixels.crossJoin(F.broadcast(table))  # one row
+    d = join_stats(pixels, table, list(maps)) if maps else pixels.crossJoin(F.broadcast(table))  # one row without a key
     mine = F.get(F.filter("_c", lambda c: c["_l"] == own), F.lit(0))
-    d = d.withColumn("_size", mine["_n"]).withColumn("_a", distance(mine) * mine["_n"] / (mine["_n"] - 1))
+    d = d.withColumn("_size", mine["_n"]).withColumn("_a", distance(mine) * mine["_n"] / F.nullif(mine["_n"] - 1, F.lit(0)))
     d = d.withColumn("_b", F.array_min(F.transform(F.filter("_c", lambda c: c["_l"] != own), distance)))
     top = F.greatest("_a", "_b")
-    value = F.when((F.col("_size") > 1) & (top > 0), (F.col("_b") - F.col("_a")) / top).otherwise(0.0)
-    return d.select(key, label, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+    value = F.when((F.col("_size") > 1) & (top > 0), (F.col("_b") - F.col("_a")) / F.nullif(top, F.lit(0.0))).otherwise(0.0)
+    return d.select(key, *keys, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 
 def sampled_silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id", sample: int = 5000,
@@ -262,9 +267,10 @@ def depth_as_map(spectra: DataFrame, layer: str = "layer") -> DataFrame:
     return spectra.withColumn("y", F.lit(0)).withColumn("x", (F.col(layer) - 1).cast("int"))
 
 
-def map_summary(pixels: DataFrame, axis: Sequence[float], column: str = "intensity") -> DataFrame:
+def map_summary(pixels: DataFrame, axis: Sequence[float], column: str = "intensity", maps: Sequence[str] = ()) -> DataFrame:
+    """Kind, size, energy range and areas of each map."""
     total = array_sum(F.col(column))
-    return pixels.agg(
+    return pixels.groupBy(*maps).agg(
         F.count("*").alias("n_pixels"), F.max(F.size(column)).alias("n_energy"), F.count_if(total > 0).alias("n_nonzero"),
         F.avg(F.when(total > 0, total)).alias("mean_area"), F.stddev_pop(F.when(total > 0, total)).alias("std_area"),
     ).withColumn("energy_min", F.lit(float(min(axis)))).withColumn("energy_max", F.lit(float(max(axis)))) \
