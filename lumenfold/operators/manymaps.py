@@ -582,9 +582,9 @@ def scores(column: Column, models: Mapping[str, PrincipalAxes], maps: Sequence[s
     return per_map(map_key(maps), column, plain, lambda x, a: ((x if change is None else change(x)) - a[0]) @ a[1])
 
 
-def waves(spectra: DataFrame, maps: Sequence[str], values: int, most: int = WAVE_BYTES) -> int:
+def waves(spectra: DataFrame, maps: Sequence[str], values: int, most: int | None = None) -> int:
     """Waves into which maps whose models have `values` numbers each are dealt by a hash of their key."""
     if not maps:
         return 1
     n = spectra.select(*maps).distinct().count()
-    return max(1, -(-8 * values * n // most))
+    return max(1, -(-8 * values * n // (most or WAVE_BYTES)))

@@ -34,7 +34,7 @@ def _pivot(solve: Solver, product: Solver, rhs: np.ndarray) -> tuple[np.ndarray,
     level = np.abs(rhs).max(axis=1, initial=0.0)
     gradient = -rhs
     live = np.arange(n)
-    for _ in range(100 + 10 * k):
+    for _ in range(30 + k):  # a few rounds do, unless components are so alike that rounding decides
         own = passive[live]
         top = np.abs(c[live]).max(axis=1, initial=0.0)
         wrong = np.where(own, c[live] < -TOLERANCE * top[:, None], gradient[live] < -TOLERANCE * level[live][:, None])
@@ -61,7 +61,7 @@ def _one_by_one(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     k = len(rhs)
     c, passive = np.zeros(k), np.zeros(k, dtype=bool)
     barred = np.zeros(k, dtype=bool)
-    for _ in range(30 * k):
+    for _ in range(3 * k):
         down = rhs - gram @ c
         down[passive | barred] = -np.inf
         j = int(down.argmax())
@@ -71,7 +71,7 @@ def _one_by_one(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
         first = True
         while passive.any():
             z = np.zeros(k)
-            z[passive] = np.linalg.lstsq(gram[np.ix_(passive, passive)], rhs[passive], rcond=None)[0]
+            z[passive] = np.linalg.solve(gram[np.ix_(passive, passive)], rhs[passive])
             if first and z[j] <= 0:  # rounding let it in; it waits until another component has moved
                 passive[j], barred[j] = False, True
                 break
@@ -80,9 +80,9 @@ def _one_by_one(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
             if not out.any():
                 c, barred[:] = z, False
                 break
-            step = (c[out] / np.maximum(c[out] - z[out], 1e-300)).min()
-            c = np.maximum(c + step * (z - c), 0.0)
-            passive &= c > 0
+            ratio = np.where(out, c / np.maximum(c - z, 1e-300), np.inf)
+            c = np.maximum(c + ratio.min() * (z - c), 0.0)
+            passive &= (c > 0) & (ratio > ratio.min())  # at least one leaves, whatever rounding says
             c[~passive] = 0.0
     return c
 
