@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import pieces, remove
-from lumenfold.llm.tokens import TOKEN_BYTES, default_path, encoder
+from lumenfold.llm.tokens import default_path, encoder
 from lumenfold.session import scratch_path
 
 #: Ids in a block before it is closed at the end of a document; ids between two bit checkpoints; longest code in bits.
 BLOCK, INTERVAL, LONGEST = 1 << 16, 128, 20
+#: Bytes of text tokenized together and words remembered; more than elsewhere, as a task holds nothing but a block besides.
+TOKEN_BYTES, REMEMBERED = 8 << 20, 350_000
 _HEAD = struct.Struct("<4sBIQQ")
 _MAGIC = b"LFH1"
 
@@ -108,7 +110,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame
     names = ["part", "block", "first", "n_ids", "doc_ids", "lengths", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words = encoder(path, REMEMBERED)
         kind = np.dtype("<u2" if max(words.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
         part, number, first = TaskContext.get().partitionId(), 0, 0
         counts = np.zeros(max(words.vocabulary, end_id + 1), dtype=np.int64)

@@ -22,10 +22,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> WordTokenizer:
+def encoder(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
     """One encoder for each file and worker process, so that its words are remembered across tasks."""
     if path not in _encoders:
         _encoders[path] = WordTokenizer(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]
 
 
@@ -45,6 +46,7 @@ class WordTokenizer:
         self._model = self._tokenizer.model
         self._model._resize_cache(0)  # words are remembered here
         self.vocabulary = self._tokenizer.get_vocab_size()
+        self.remembered = REMEMBERED
         if not self._drops_space():
             raise ValueError("this tokenizer keeps white space; encode whole texts instead")
         # how the normalizer and the pre-tokenizer write each plain letter; such letters do not change one another
@@ -75,7 +77,7 @@ class WordTokenizer:
             else:
                 ids = self._whole(word)
         if len(word) <= 64:
-            if len(self._new) >= REMEMBERED:
+            if len(self._new) >= self.remembered:
                 self._old, self._new = self._new, {}
             self._new[word] = ids
         return ids
