@@ -43,6 +43,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """`name`, longer by underscores where a column already has it, so that joins never meet two columns of one name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sizes(column: pa.Array) -> np.ndarray:
     """Bytes of each string or binary value; null counts as empty."""
     return np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)

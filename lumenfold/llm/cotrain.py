@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ALNUM, SPACE, Words, mix, pieces
+from lumenfold.llm.common import ALNUM, SPACE, Words, free_name, mix, pieces
 
 #: Rows used for fitting, at most: labelled ones and further ones without a label. Everything is scored.
 LABELLED, UNLABELLED = 8_000, 4_000
@@ -301,7 +301,7 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, **options: int) -> DataFra
     models = train(docs, labels, **options)
     chosen = _chosen(models)
     names = docs.columns
-    inside = F.struct(*_inputs(docs)).alias("_seen")
+    inside = F.struct(*_inputs(docs)).alias(free_name("_seen", names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ALNUM, Words, pieces, written
+from lumenfold.llm.common import ALNUM, Words, free_name, pieces, written
 
 #: Words in a window; bytes of documents in a shard; bytes of benchmark text that are searched in one pass.
 WINDOW, SHARD_BYTES, BLOCK_BYTES = 13, 4 << 20, 16 << 20
@@ -267,8 +267,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     if not _fits(benchmark, block_bytes):
         n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
         bad = scan(docs, benchmark, window, block_bytes).where((n_hit > 0) & (n_hit * 20 >= F.col("n_words")))
-        bad = bad.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_text"))
+        id_, text_ = free_name("_gone_id", docs.columns), free_name("_gone_text", docs.columns)
+        bad = bad.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text_)).distinct()
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text_))
         return docs.join(bad, same, "left_anti")
     phrases = next(_blocks(benchmark, window, block_bytes))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import Words, mix, pieces, written
+from lumenfold.llm.common import Words, free_name, mix, pieces, written
 
 #: Words in a shingle, least words of a passage, hash functions, hash functions that must agree, least similarity.
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 50, 4, 2, 0.8
@@ -545,17 +545,18 @@ def remove_passages(docs: DataFrame, **options: object) -> DataFrame:
     changed. No row is dropped; a document that is all repetition ends up with an empty text.
     """
     found = near_duplicate_passages(docs, **options)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.array("start", "end")).alias("_cut_spans"))
-    same = F.col("doc_id").cast("long") == F.col("_cut_id")
+    id_, text_, list_ = (free_name(f"_cut_{n}", docs.columns) for n in ("id", "text", "spans"))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.array("start", "end")).alias(list_))
+    same = F.col("doc_id").cast("long") == F.col(id_)
     if _repeated(docs):  # the text that was compared
-        spans = spans.join(_texts(docs).select("doc_id", F.xxhash64("text").alias("_cut_text")), "doc_id")
-        same = same & (F.xxhash64(F.col("text").cast("string")) == F.col("_cut_text"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_cut_id"), same, "left")
+        spans = spans.join(_texts(docs).select("doc_id", F.xxhash64("text").alias(text_)), "doc_id")
+        same = same & (F.xxhash64(F.col("text").cast("string")) == F.col(text_))
+    joined = docs.join(spans.withColumnRenamed("doc_id", id_), same, "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            spans_ = batch.column("_cut_spans").to_pylist()
+            spans_ = batch.column(list_).to_pylist()
             batch = batch.select(names)
             if any(spans_):
                 words = Words(batch.column("text"))
@@ -564,7 +565,8 @@ def remove_passages(docs: DataFrame, **options: object) -> DataFrame:
                     if own:
                         texts_[i] = _cut(words, i, own)
                         if counts:
-                            counts[i] = len(texts_[i])
+                            n = len(texts_[i])
+                            counts[i] = str(n) if pa.types.is_string(batch.schema.field("n_chars").type) else n
                 batch = batch.set_column(names.index("text"), batch.schema.field("text"), pa.array(texts_, batch.schema.field("text").type))
                 if counts:
                     batch = batch.set_column(names.index("n_chars"), batch.schema.field("n_chars"), pa.array(counts, batch.schema.field("n_chars").type))

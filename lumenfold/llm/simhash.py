@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import pieces, written
+from lumenfold.llm.common import free_name, pieces, written
 from lumenfold.llm.components import connected_components
 
 #: Fingerprints of one posting list that are compared in one group; longer lists are compared block against block.
@@ -196,9 +196,10 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     rows = written(rows.select("doc_id", "text_hash", "root", key.alias("key")), "groups")
     first = rows.groupBy("root").agg(F.min("key").alias("first"))
-    gone = rows.join(first, "root").where("key <> first").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
+    id_, text_ = free_name("_gone_id", docs.columns), free_name("_gone_text", docs.columns)
+    gone = rows.join(first, "root").where("key <> first").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text_)).distinct()
     text_hash = F.xxhash64(F.col("text").cast("string"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (text_hash == F.col("_gone_text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_hash == F.col(text_))
     kept = docs.join(gone, same, "left_anti")
     again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
