@@ -126,22 +126,28 @@ def align_to(spectra: DataFrame, axis: Sequence[float], reference: float, window
     return spectra.withColumn("shift", F.lit(at) - top).withColumn(column, rotate(F.col(column), F.col("shift")))
 
 
+def correlation_lags(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Sums of x[i] r[i - lag] of all rows for the lags from -(p - 1) to p - 1, by FFT."""
+    p = len(r)
+    size = 1 << (2 * p - 1).bit_length()
+    full = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(r, size)), size)
+    return np.concatenate([full[:, size - (p - 1):], full[:, :p]], axis=1)
+
+
 def correlation_shift(column: Column, reference: Sequence[float], step_ev: float, max_bins: int = 10) -> Column:
     """Shift in eV by the best cross-correlation lag against a reference spectrum, clipped to max_bins."""
     r = np.asarray(reference, float)
     r = (r - r.mean()) / (r.std() + 1e-12)
-    p = len(r)
-    lags = np.arange(-(p - 1), p)
-    bank = np.zeros((p, lags.size))
-    for j, lag in enumerate(lags):
-        lo, hi = max(0, lag), min(p, p + lag)
-        bank[lo:hi, j] = r[lo - lag:hi - lag]
+    lags = np.arange(-(len(r) - 1), len(r))
 
     @F.pandas_udf("double")
     def run(xs: pd.Series) -> pd.Series:
-        x = np.stack(xs.to_list()).astype(float)
-        x = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-12)
-        best = lags[np.argmax(x @ bank, axis=1)]
+        best = np.zeros(len(xs), dtype=np.int64)
+        size = max(1, (1 << 20) // len(r))
+        for at in range(0, len(xs), size):
+            x = np.stack(xs.iloc[at:at + size].to_list()).astype(float)
+            x = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-12)
+            best[at:at + size] = lags[np.argmax(correlation_lags(x, r), axis=1)]
         return pd.Series(np.clip(best, -max_bins, max_bins) * step_ev)
 
     return run(column)

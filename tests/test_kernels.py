@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenfold.operators import background as bg
 from lumenfold.operators import correlate as co
 from lumenfold.operators import decompose as dc
+from lumenfold.operators import maps as mp
 from lumenfold.operators import fit as ft
 from lumenfold.operators import smooth as sm
 from lumenfold.operators.peaks import find_peaks
@@ -204,3 +205,24 @@ def test_average_fit():
     y = 3 * np.exp(-0.5 * ((e - 284.2) / 0.9) ** 2) + 2 * np.exp(-0.5 * ((e - 288.1) / 1.1) ** 2)
     t = ft.fit_gaussians(e, y, [(284.0, 1.0), (288.3, 1.0)])
     assert np.allclose([t[1] + t[6], t[4] + t[6]], [284.2, 288.1], atol=1e-3) and np.allclose([t[2], t[5]], [0.9, 1.1], atol=1e-3)
+
+
+def test_even_axes_by_convolution_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 64, 301):
+        x = np.stack([280 + 0.1 * np.arange(n), 10 + 0.25 * np.arange(n), np.sort(rng.random(n)) * 20])
+        y = rng.random((3, n)) * 100
+        for last in (True, False):
+            got = bg.tougaard_batch(x, y, 2866.0, 1643.0, last)
+            t = x[:, :, None] - x[:, None, :]
+            g = y[:, None, :] * 2866.0 * t / (1643.0 + t * t) ** 2
+            seg = np.diff(x, axis=1)[:, None, :] / 2 * (g[:, :, :-1] + g[:, :, 1:])
+            assert np.allclose(got, (seg * np.tri(n, n - 1, -1 if last else -2)).sum(2), rtol=1e-10, atol=1e-9)
+
+
+def test_correlation_lags_equal_sums():
+    rng = np.random.default_rng(4)
+    for p in (2, 5, 64):
+        x, r = rng.normal(size=(6, p)), rng.normal(size=p)
+        want = [[sum(v[i] * r[i - lag] for i in range(p) if 0 <= i - lag < p) for lag in range(-(p - 1), p)] for v in x]
+        assert np.allclose(mp.correlation_lags(x, r), want, atol=1e-10)
