@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.session import join_stats
+from lumenfold.session import join_stats, settled
 
 
 def first_area(rows: DataFrame, keys: Sequence[str], area: str = "total_area", order: Sequence[str] = ("ordinal",)) -> DataFrame:
@@ -94,8 +94,9 @@ def component_features(comps: DataFrame, names: Sequence[tuple[str, str]] | None
     """Wide table (sample, R_C_perc...) over layers with missing components as 0; unlisted components follow the listed."""
     agg = {"sum": F.sum, "mean": F.avg, "max": F.max}.get(how, F.sum)
     key = F.concat_ws("_", "region", "component", F.lit("perc"))
-    cols = all_names(comps, key, [f"{r}_{c}_perc" for r, c in names or []])
-    wide = comps.withColumn("_k", key).groupBy("sample").pivot("_k", cols).agg(agg(value)).na.fill(0.0, cols)
+    long = settled(comps.groupBy("sample", key.alias("_k")).agg(agg(value).alias("_v")), "features")
+    cols = all_names(long, "_k", [f"{r}_{c}_perc" for r, c in names or []])
+    wide = long.groupBy("sample").pivot("_k", cols).agg(F.first("_v")).na.fill(0.0, cols)
     if normalise:
         total = sum((F.col(c) for c in cols), F.lit(0.0))
         wide = wide.withColumn("_t", F.when(total == 0, 1.0).otherwise(total))
@@ -106,25 +107,25 @@ def component_features(comps: DataFrame, names: Sequence[tuple[str, str]] | None
 def chemistry_table(comp_pct: DataFrame, prefix: str, components: Sequence[str] | None, label: Column) -> DataFrame:
     """Mean component percent per sample label over regions that start with a prefix, with the row total."""
     own = comp_pct.filter(F.col("region").startswith(prefix)).withColumn("label", label)
-    components = all_names(own, "component", components)
-    wide = (own.groupBy("label").pivot("component", list(components)).agg(F.avg("component_atomic_percent"))
-            .na.fill(0.0, list(components)))
+    long = settled(own.groupBy("label", "component").agg(F.avg("component_atomic_percent").alias("_v")), "chemistry")
+    components = all_names(long, "component", components)
+    wide = long.groupBy("label").pivot("component", list(components)).agg(F.first("_v")).na.fill(0.0, list(components))
     return wide.withColumn("total", sum((F.col(c) for c in components), F.lit(0.0)))
 
 
 def last_value_table(rows: DataFrame, scope: Sequence[str], column: str, names: Sequence[str] | None, value: str,
                      order: Sequence[str]) -> DataFrame:
     """Matrix in which a later row overwrites an earlier one; absent cells are 0."""
-    names = all_names(rows, column, names)
-    latest = rows.groupBy(*scope, column).agg(F.max_by(value, F.struct(*order)).alias("_v"))
+    latest = settled(rows.groupBy(*scope, column).agg(F.max_by(value, F.struct(*order)).alias("_v")), "cells")
+    names = all_names(latest, column, names)
     return latest.groupBy(*scope).pivot(column, list(names)).agg(F.first("_v")).na.fill(0.0, list(names))
 
 
 def first_value_table(rows: DataFrame, scope: Sequence[str], column: str, names: Sequence[str] | None, value: str,
                       order: Sequence[str]) -> DataFrame:
     """Matrix in which the first row counts; absent cells are 0."""
-    names = all_names(rows, column, names)
-    first = rows.groupBy(*scope, column).agg(F.min_by(value, F.struct(*order)).alias("_v"))
+    first = settled(rows.groupBy(*scope, column).agg(F.min_by(value, F.struct(*order)).alias("_v")), "cells")
+    names = all_names(first, column, names)
     return first.groupBy(*scope).pivot(column, list(names)).agg(F.first("_v")).na.fill(0.0, list(names))
 
 

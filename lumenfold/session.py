@@ -30,6 +30,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for tables that several jobs need: no job repeats its lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
                salts: int = 32, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Attach one-row-per-key statistics to a large table without moving a hot key to one task.
