@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import Words, free_name, mix, pieces, written
+from lumenfold.llm.common import Words, free_name, mix, pieces, remove, written, written_at
 
 #: Words in a shingle, least words of a passage, hash functions, hash functions that must agree, least similarity.
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 50, 4, 2, 0.8
@@ -174,6 +174,8 @@ def _enough(doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, least: int, enoug
     low, high = centre - (pos >> 16 & 65535), centre + (pos & 65535)
     kinds = np.uint64(1) << (sig & 63).astype(np.uint64)
     seen = kinds.copy()
+    if enough <= 1:
+        return np.ones(len(doc), dtype=bool)
     for shift in range(1, len(doc)):
         near = np.flatnonzero((doc[shift:] == doc[:-shift]) & (centre[shift:] - centre[:-shift] < least))
         if not len(near):
@@ -310,6 +312,14 @@ def _stops(a: np.ndarray, b: np.ndarray, similarity: float, most: int) -> np.nda
     return np.stack([ends_x + run, ends_y + run, matched + run], axis=1)[usable]
 
 
+def _bounds(sums: np.ndarray, x: int, reach: int) -> tuple[int, int]:
+    """The stretch around x, at most `reach` to each side, whose ends some stretch that holds x reaches with a sum of 0."""
+    low, high = max(0, x - reach), min(len(sums) - 1, x + reach)
+    before, after = sums[low:x + 1], sums[x:high + 1]
+    high = x + int(np.flatnonzero(after >= before.min() - 1e-6)[-1])
+    return low + int(np.flatnonzero(before <= after.max() + 1e-6)[0]), high
+
+
 def align(a: np.ndarray, b: np.ndarray, here: list[int], there: list[int], least: int, similarity: float) -> list[tuple]:
     """Passages (start, end, start there, end there, similarity) in shingles, grown from shared places and verified.
 
@@ -317,29 +327,26 @@ def align(a: np.ndarray, b: np.ndarray, here: list[int], there: list[int], least
     long the edits within. A passage has at least `least` shingles.
     """
     found: list[tuple] = []
-    tried: set[tuple[int, int]] = set()
-    # a shingle that b lacks costs `similarity` and no other brings more than the rest: bounds of what can be similar
-    sums = np.concatenate([[0], np.cumsum(np.isin(a, b) - similarity)])
-    for x, y in zip(here, there, strict=True):
-        if not (0 <= x < len(a) and 0 <= y < len(b)) or a[x] != b[y]:
+    tried: dict[int, int] = {}  # ends of the last runs by the difference of their places
+    # a shingle that b lacks costs `similarity` and no other brings more than the rest: bounds of what can be similar;
+    # a repeated shingle of one side may be alone on the other, so both sides are bounded
+    sums, other = (np.concatenate([[0], np.cumsum(np.isin(p, q) - similarity)]) for p, q in ((a, b), (b, a)))
+    for x, y in sorted(zip(here, there, strict=True)):
+        if not (0 <= x < len(a) and 0 <= y < len(b)) or a[x] != b[y] or x < tried.get(y - x, 0):
             continue
         if any(p[0] <= x < p[1] and p[2] <= y < p[3] for p in found):
             continue
-        reach = int(len(b) / similarity) + 1  # a longer stretch is less similar to all of b
-        low, high = max(0, x - reach), min(len(a), x + reach)
-        before, after = sums[low:x + 1], sums[x:high + 1]
-        high = x + int(np.flatnonzero(after >= before.min() - 1e-6)[-1])
-        low += int(np.flatnonzero(before <= after.max() + 1e-6)[0])
-        if high - low < least:
+        tried[y - x] = x + _run(a[x:], b[y:])
+        first, last = _bounds(other, y, int(len(a) / similarity) + 1)
+        if last - first < similarity * least:
             continue
-        back = _run(a[low:x][::-1], b[:y][::-1])
-        if (x - back, y - back) in tried:  # a place of a run that was tried already
+        low, high = _bounds(sums, x, int((last - first) / similarity) + 1)  # a longer stretch is less similar to all of b's
+        if high - low < least:
             continue
-        tried.add((x - back, y - back))
         reach = int((high - low) / similarity) + 1
-        most = min(high - low, len(b))
-        ahead = _stops(a[x:high], b[y:y + reach], similarity, most)
-        behind = _stops(a[low:x][::-1], b[max(0, y - reach):y][::-1], similarity, most)
+        most = min(high - low, last - first)
+        ahead = _stops(a[x:high], b[y:min(y + reach, last)], similarity, most)
+        behind = _stops(a[low:x][::-1], b[max(first, y - reach):y][::-1], similarity, most)
         i, j, m = (np.add.outer(ahead[:, k], behind[:, k]) for k in range(3))
         ratio = m / np.maximum(i + j - m, 1)
         size = np.where((i >= least) & (ratio >= similarity), i + j, -1)
@@ -360,23 +367,36 @@ def near_duplicate_passages(docs: DataFrame, shingle: int = SHINGLE, passage: in
     group is only ever named as kept. Exact repetitions of that length always share all windows; others are found when
     at least `enough` of the hash functions agree on overlapping windows, and are verified on the whole texts.
 
-    Windows with one signature are linked with the first document that has it, so a group of n costs n links. All
-    windows of the signatures whose links leave a stretch open, those of first documents and other places of theirs
-    included, are grouped once more by longer keys (`_regrouped`), the longest of which cannot fail. Lower-cased words
+    Windows with one signature are linked with the first document that has it, so a group of n costs n links. Places of
+    links that are not settled, and those of the first documents there, are grouped again by longer keys, and once more
+    by whole passages where those fail as well (`_regrouped`), whose links cannot fail. Lower-cased words
     parted by ASCII white space count. Rows without doc_id, null, empty and short texts have no passages; rows with one
     doc_id are one document (of different texts, the least counts); an empty table gives no rows; other columns are
     ignored.
     """
     least = passage - shingle + 1
     texts = _texts(docs)
-    windows = written(_windows(texts, shingle, least, hashes).drop("dest"), "windows")
-    dest = F.when(F.col("rep").isNull(), F.col("sig")).otherwise(F.xxhash64("doc")).alias("dest")
-    links = _star(windows.select(dest, "*"))
-    first = written(_verified(_candidates(links, least, enough), texts, shingle, least, similarity), "passages")
-    again = written(_star(_regrouped(first, windows, texts, shingle, least, hashes), silent=True), "again")
-    second = _verified(_candidates(again, 1, 1), texts, shingle, least, similarity)
     columns = ["doc_id", "start", "end", "kept_doc_id", "kept_start", "kept_end", "similarity"]
-    return first.where("open is null").select(*columns).union(second.where("open is null").select(*columns)).distinct()
+
+    def verified(links: DataFrame, kinds: int) -> tuple[DataFrame, DataFrame]:
+        out = written(_verified(_candidates(links, least, kinds), texts, shingle, least, similarity), "passages")
+        return out, out.where("open is null").select(*columns)
+
+    first, found = verified(_star(_windows(texts, shingle, least, hashes)), enough)
+    again, path = written_at(_star(_regrouped(first, found, texts, shingle, least), silent=True), "again")
+    second, more = verified(again, 1)
+    found = found.union(_beyond(more, found))
+    far = again.where("pos & 2 = 2").groupBy("doc").agg(F.collect_set(F.shiftright("pos", 32)).alias("f"))
+    third, more = verified(_star(_regrouped(second, found, texts, shingle, least, far), silent=True), 1)
+    remove(docs.sparkSession, path)
+    return found.union(_beyond(more, found)).distinct()
+
+
+def _beyond(more: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages that do not lie within one that was found before."""
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda p: (p["start"] <= F.col("start")) & (F.col("end") <= p["end"]))
+    return more.join(spans, "doc_id", "left").where(F.col("spans").isNull() | ~inside).select(*more.columns)
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -394,9 +414,10 @@ _VERIFIED = ("doc_id long, start long, end long, kept_doc_id long, kept_start lo
 
 
 def _verified(candidates: DataFrame, texts: DataFrame, shingle: int, least: int, similarity: float) -> DataFrame:
-    """Verified passages, and rows with the linked places of a document, and shingles there, that have open stretches.
+    """Verified passages, and rows with the linked places of a document, and shingles there, that are not settled.
 
-    A stretch of `least` shingles that holds the place is open if it does not lie in a passage found for the link.
+    A place is settled if all stretches of `least` shingles that hold it lie in a passage found for the link and the
+    earlier document has them unchanged: whoever has such a stretch too shares it with the earlier document.
     """
     candidates = written(candidates, "pairs")
     involved = candidates.select(F.col("doc").alias("doc_id")).union(candidates.select("rep")).distinct()
@@ -420,11 +441,9 @@ def _verified(candidates: DataFrame, texts: DataFrame, shingle: int, least: int,
                 a, b = short[offsets[i]:offsets[i + 1]], np.frombuffer(region, dtype="<u4")
                 found = align(a, b, here_, [y - low for y in there_], least, similarity)
                 out += [(doc, p[0], p[1] + shingle - 1, rep, p[2] + low, p[3] + low + shingle - 1, p[4], None, None) for p in found]
-                x = np.unique(np.asarray(here_, dtype=np.int64))
-                x = x[x < len(a)]
-                x = x[_open(x, len(a), least, [(p[0], p[1]) for p in found])]
+                x = _unsettled(a, b, here_, [y - low for y in there_], least, [(p[0], p[1]) for p in found])
                 if len(x):
-                    out.append((doc, None, None, None, None, None, None, x.tolist(), hashed[offsets[i] + x].view(np.int64).tolist()))
+                    out.append((doc, None, None, rep, None, None, None, x.tolist(), hashed[offsets[i] + x].view(np.int64).tolist()))
             columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
@@ -449,44 +468,76 @@ def _open(x: np.ndarray, n: int, least: int, spans: list[tuple[int, int]]) -> np
     return open_
 
 
-def _regrouped(verified: DataFrame, windows: DataFrame, texts: DataFrame, shingle: int, least: int, hashes: int) -> DataFrame:
-    """Rows for a second grouping: longer keys around all windows whose signature has left a stretch open somewhere.
+def _unsettled(a: np.ndarray, b: np.ndarray, here: list[int], there: list[int], least: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Linked places of a with a stretch of `least` shingles that no span holds or that b has not at the linked place."""
+    runs: dict[int, tuple[int, int]] = {}
+    exact = set()
+    for x, y in sorted(zip(here, there, strict=True)):
+        if not (0 <= x < len(a) and 0 <= y < len(b)):
+            continue
+        first, last = runs.get(y - x, (0, 0))
+        if x >= last:
+            first, last = runs[y - x] = x - _run(a[:x][::-1], b[:y][::-1]), x + _run(a[x:], b[y:])
+        if first <= max(0, x - least + 1) and last >= min(len(a), x + least):
+            exact.add(x)
+    x = np.unique(np.asarray(here, dtype=np.int64))
+    x = x[x < len(a)]
+    return x[_open(x, len(a), least, spans) | ~np.isin(x, list(exact))]
+
+
+def _entrants(verified: DataFrame, far: DataFrame | None) -> DataFrame:
+    """Documents of the next grouping: places x of their own, and shingles s that are unsettled where they are first.
+
+    With `far` (doc, f), only the places named there count.
+    """
+    rows = verified.where("open is not null").select(F.col("doc_id").alias("doc"), F.col("kept_doc_id").alias("rep"), F.col("open").alias("x"), F.col("shingles").alias("s"))
+    rows = rows.withColumn("f", F.lit(None).cast("array<long>")) if far is None else rows.join(far, "doc").select("doc", "rep", "x", "s", "f")
+    lists = pa.list_(pa.int64())
+    schema = pa.schema([("doc", pa.int64()), ("x", lists), ("s", lists)])
 
-    First documents and windows that verified passages cover take part as well, as firsts only (odd pos). Keys are
-      - stretches of `least` shingles that hold a window's centre: equal ones are exact repetitions, so a link of them
-        cannot fail, and none is lost whatever documents the shorter keys met first;
-      - stretches of 9/20 of that, as passages of similarity 0.8 always have one without an edit between them;
-      - two centres within reach at their distance; shingles that share a word are no pair, as one phrase has both.
-    Covered rows of a key are combined in the task. Equal stretches are linked in the task too, which loses nothing.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, rep, x, s, f in zip(*(batch.column(c).to_pylist() for c in ("doc", "rep", "x", "s", "f")), strict=True):
+                if f is not None:
+                    f = set(f)
+                    s = [b for a, b in zip(x, s, strict=True) if a in f]
+                    x = [a for a in x if a in f]
+                if x:
+                    out += [(doc, x, []), (rep, [], list(set(s)))]
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    rows = rows.mapInArrow(run, "doc long, x array<long>, s array<long>")
+    # a document may be first for all others: what they name is combined before it is dealt
+    named = rows.select("doc", F.explode("s").alias("one")).distinct().groupBy("doc").agg(F.collect_list("one").alias("s"))
+    own = rows.where("size(x) > 0").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("x"))
+    return own.join(named, "doc", "full")
+
+
+def _regrouped(verified: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, least: int, far: DataFrame | None = None) -> DataFrame:
+    """Rows for another grouping: longer keys around the places of links that are not settled, and of their firsts.
+
+    Without `far`, a place has stretches to its left and to its right, of half of `least`, as one of them lies in any
+    stretch of `least` that holds the place, and of half of 9/20 of that, as passages of similarity 0.8 always have one
+    of 9/20 without an edit; and its distances to the two next places. With `far`, the places of links by the longer
+    stretches that are still not settled, the keys are all stretches of `least` that hold a place: a link of those cannot
+    fail, so no exact repetition is lost whatever documents the shorter keys met first.
+
+    Places of which all stretches are covered by passages of `found` are only firsts (odd pos), but for the longer
+    stretches (pos & 2). Rows of one key are linked, or combined, in the task before they are dealt.
     """
     spark = verified.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: no merged tasks
     lists = "struct<a:array<long>,b:array<long>>"
-    spans = verified.where("open is null").groupBy(F.col("doc_id").alias("doc")).agg(
+    spans = found.groupBy(F.col("doc_id").alias("doc")).agg(
         F.struct(F.collect_list("start").alias("a"), F.collect_list(F.col("end") - (shingle - 1)).alias("b")).cast(lists).alias("spans"))
-    opened = verified.where("open is not null").groupBy(F.col("doc_id").alias("doc")).agg(
-        F.flatten(F.collect_list("open")).alias("x"), F.flatten(F.collect_list("shingles")).alias("s")).join(spans, "doc", "left")
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.zeros(0, dtype=np.int64)]
-            for x, s, own in zip(*(batch.column(c).to_pylist() for c in ("x", "s", "spans")), strict=True):
-                x, at = np.unique(np.asarray(x, dtype=np.int64), return_index=True)
-                held = list(zip(own["a"], own["b"], strict=True)) if own else []
-                n = max([int(x[-1]) + least] + [b for _, b in held])  # the text may be shorter: then too much is open
-                s = np.asarray(s, dtype=np.int64)[at].view(np.uint64)[_open(x, n, least, held)]
-                out += [((mix(s ^ _SEEDS[k]) & ~np.uint64(63)) | np.uint64(k)).view(np.int64) for k in range(hashes)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["sig"])
-
-    sigs = written(opened.mapInArrow(signatures, "sig long").distinct(), "signatures")
-    few = sigs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    entered = windows.select("sig", "doc", F.shiftright("pos", 32).alias("x")).join(F.broadcast(sigs) if few else sigs, "sig", "left_semi")
-    entered = written(entered.groupBy("doc").agg(F.collect_set("x").alias("x")).join(spans, "doc", "left"), "entered")
+    entered = written(_entrants(verified, far).join(spans, "doc", "left"), "entered")
     ids = entered.select(F.col("doc").alias("doc_id"))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
-    rows = texts.repartition(parts, "doc").join(entered, "doc").select("doc", "x", "spans", "text")
-    lengths = (least, max(1, least * 9 // 20))
+    rows = texts.repartition(parts, "doc").join(entered, "doc").select("doc", "x", "s", "spans", "text")
+    half, short, whole = -(-least // 2), max(1, least * 9 // 40), far is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -494,43 +545,57 @@ def _regrouped(verified: DataFrame, windows: DataFrame, texts: DataFrame, shingl
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            key, doc, pos, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order, first = _grouped(key, doc, pos)
-            key, doc, pos, whole = key[order], doc[order], pos[order], whole[order]
-            own, covered = doc == doc[first], pos & 1 == 1
-            on = own | ~(covered | whole)
-            yield _batch(key[on], key[on], doc[on], pos[on], None, None)
-            made = ~own & ~covered & whole
+            key, doc, pos = key[order], doc[order], pos[order]
+            own = doc == doc[first]
+            yield _batch(key[own], key[own], doc[own], pos[own], None, None)
+            made = ~own & (pos & 1 == 0)
             yield _batch(mix(doc[made].astype(np.uint64)), key[made], doc[made], pos[made], doc[first][made], pos[first][made] >> 32)
 
         for batch in pieces(batches, "text"):
             hashed, offsets = shingles(Words(batch.column("text")), shingle)
-            columns = [batch.column(c).to_pylist() for c in ("doc", "x", "spans")]
-            for i, (doc, x, own) in enumerate(zip(*columns, strict=True)):
-                x, s = np.unique(np.asarray(x, dtype=np.int64)), hashed[offsets[i]:offsets[i + 1]]
+            columns = [batch.column(c).to_pylist() for c in ("doc", "x", "s", "spans")]
+            for i, (doc, x, named, own) in enumerate(zip(*columns, strict=True)):
+                s = hashed[offsets[i]:offsets[i + 1]]
+                x = np.asarray(x or [], dtype=np.int64)
+                if named:
+                    x = np.append(x, np.flatnonzero(np.isin(s, np.asarray(named, dtype=np.int64).view(np.uint64))))
+                x = np.unique(x[x < len(s)])
                 spans_ = list(zip(own["a"], own["b"], strict=True)) if own else []
+                if not len(x):
+                    continue
 
-                def add(key: np.ndarray, start: np.ndarray, end: np.ndarray, whole: bool) -> None:
-                    covered = np.zeros(len(key), dtype=np.int64)
-                    for a, b in spans_:
-                        covered |= (start >= a) & (end <= b)
-                    held.append((key.view(np.int64), np.full(len(key), doc), start << 32 | covered, np.full(len(key), whole)))
-
-                for length in lengths:
-                    start = np.unique(np.add.outer(x, np.arange(1 - length, 1)))
-                    start = start[(start >= 0) & (start + length <= len(s))]
+                def stretches(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+                    inside = (start >= 0) & (start + length <= len(s))
+                    start = start[inside]
                     key = np.full(len(start), length, dtype=np.uint64)
                     for k in range(length):
                         key = key * np.uint64(0xD1342543DE82EF95) + s[start + k]
-                    add(mix(key), start, start + length, length == least)
-                for shift in range(1, len(x)):
+                    return mix(key), inside
+
+                def add(key: np.ndarray, place: np.ndarray, flag: np.ndarray) -> None:
+                    held.append((key.view(np.int64), np.full(len(key), doc), place << 32 | flag))
+
+                if whole:
+                    start = np.unique(np.add.outer(x, np.arange(1 - least, 1)))
+                    key, inside = stretches(start, least)
+                    start = start[inside]
+                    covered = np.zeros(len(start), dtype=np.int64)
+                    for a, b in spans_:
+                        covered |= (start >= a) & (start + least <= b)
+                    add(key, start, covered)
+                    continue
+                covered = (~_open(x, len(s), least, spans_)).astype(np.int64)
+                for length in (half, short):
+                    for start in (x - length + 1, x):
+                        key, inside = stretches(start, length)
+                        add(key, x[inside], covered[inside] if length == short else np.full(len(key), 2))
+                for shift in (1, 2):
                     gap = x[shift:] - x[:-shift]
-                    if gap.min() >= least:
-                        break
                     near = np.flatnonzero((gap >= shingle) & (gap < least))
-                    key = mix(s[x[near]] ^ mix(s[x[near + shift]] + mix(gap[near].astype(np.uint64))))
-                    add(key, x[near], x[near + shift] + 1, False)
+                    add(mix(s[x[near]] ^ mix(s[x[near + shift]] + mix(gap[near].astype(np.uint64)))), x[near], covered[near])
             if sum(len(h[0]) for h in held) >= GROUPED:
                 yield from flush()
         yield from flush()
