@@ -447,31 +447,82 @@ def test_long_reply_chains(spark):
 
 # ---- main text --------------------------------------------------------------
 
-@pytest.mark.parametrize("page,want", [
+STRUCTURES = [
     ("<body><div id='menu'>x y</div><p>Hello&nbsp;<b>big</b>\n world &amp; co<p>two<br>lines</body>", "Hello big world & co\n\ntwo lines"),
     ("<article><header><h1>T</h1></header><p>a<div class='comments'><p>nope</div><p>b</article><footer>z</footer>", "T\n\na\n\nb"),
     ("<nav>n</nav><article><p>a &lt;b&gt; &#233;&hellip;</p><script>var t='</p>';</script><!-- c --><form>f</form></article><aside>s</aside>", "a <b> é…"),
     ("a < b and <i>c", "a < b and c"), ("", ""), (None, ""), ("<script>x</script", ""), ("<main>m<style>p{}</style></main>t", "m"),
     ("<p>1<nav>n<p>2</nav>3", "1\n\n3"), ("<div class=\"cookie-notice\">c</div><div class='adventure'>kept</div>", "kept"),
-])
-def test_structure_of_pages(spark, page, want):
-    d = spark.createDataFrame([(1, "http://h/1", page, "x")], "page_id long, url string, html string, text string")
-    r = boilerplate.extract(d).first()
-    assert (r["page_id"], r["text"], r["n_chars"]) == (1, want, len(want))
+    ("<div class='page-with-sidebar'><article><p>A</p></article></div>", "A"), ("<form id=f><article>A<form>x</form></article></form>", "A"),
+    ("<div class='sidebar'><article>only this one</article></div><p>b", "only this one"),
+    ("<div class='related'><article>teaser</article></div><article>A</article>", "A"),
+    ("<p>the text<div class='comments'><article>I, a reader, say much more than the text</article></div>", "the text"),
+    ("<p>t<div><article class='comment odd'>reader, reader, reader</article></div>", "t"),
+    ("<article><p class='share-price'>1<p class='search-results-text'>2<p id='related-work'>3<div class='post-header'><h1>4</h1></div>"
+     "<div class='share-buttons'>x</div><div class='ad'>x</div><p>x<sup>2</sup> <math><mi>y</mi><mo>=</mo><mn>1</mn></math></article>", "1\n\n2\n\n3\n\n4\n\nx2 y=1"),
+    ("<p class=\"a>text one</p>", "text one"), ("<p class=\"a>text</p><p id=\"b\">two</p>", "text\n\ntwo"), ("<p title='it's'>text", "text"),
+    ("<p title=\"a > b\" data-x='<i>'>text", "text"), ("<a b=\"c", ""), ("<p class=\"x>t" * 3000, "\n\n".join(["t"] * 3000)),
+]
+
+
+def test_structure_of_pages(spark):
+    rows = [(i, f"http://h{i}/", page, "x") for i, (page, _) in enumerate(STRUCTURES)]
+    got = boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in got} == {i: (want, len(want)) for i, (_, want) in enumerate(STRUCTURES)}
 
 
 def test_repetition_on_a_host_is_boilerplate(spark):
     rows = [(i, f"http://H.org:80/{i}", f"<div>home about contact us today now please</div><div>{' '.join(f'w{i}_{k}' for k in range(30))}</div>") for i in range(5)]
     rows += [(9, "http://other.org", "<p>home about contact us today now please"), (4, rows[4][1], rows[4][2]), (10, None, None)]
-    for shard in (256, 3):
+    for shard in (256, 3):  # whole blocks are counted over the host, however its pages are dealt
         got = boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=shard).collect()
         assert len(got) == len(rows)
-        if shard == 256:
-            assert all("home" not in r["text"] and "_29" in r["text"] for r in got if r["page_id"] < 9)
-            assert [r["text"] for r in got if r["page_id"] == 9] == ["home about contact us today now please"]
+        assert [r["text"] for r in got if r["page_id"] == 9] == ["home about contact us today now please"]
+        assert all("home" not in r["text"] and "_29" in r["text"] for r in got if r["page_id"] < 9)
     assert boilerplate.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repetition_on_a_host_of_600_pages_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    stock = [" ".join(f"s{k}x{j}" for j in range(8)) for k in range(40)]
+    line = "subscribe to our letter and read more each week"
+    pages, want_blocks = {}, {}
+    for i in range(600):
+        article = i % 3 == 0
+        own = [" ".join(f"w{i}_{j}_{k}" for k in range(10)) for j in range(2)]
+        picked = [stock[0]] if article and i % 2 else [stock[int(k)] for k in rng.choice(40, 2 if i % 50 else 3, replace=False)] if not article else []
+        parts = [*own, *picked, *([line] if article else [])]
+        rng.shuffle(parts)
+        pages[i], want_blocks[i] = (article, parts), parts
+    pages[600], pages[601] = (False, ["near copy one " + "a b c d e f g h " * 3]), (False, ["near copy two " + "a b c d e f g h " * 3])
+    has = {}
+    for article, parts in pages.values():
+        for t in set(parts):
+            has[article, t] = has.get((article, t), 0) + 1
+    articles = sum(a for a, _ in pages.values())
+
+    def boiler(article, t):
+        n = has[article, t]
+        return n >= max(20, 0.8 * articles) if article else n >= 3
+
+    want = {i: "\n\n".join(" ".join(t.split()) for t in parts if not boiler(a, t)) for i, (a, parts) in pages.items()}
+    assert any(line in " ".join(parts) for _, parts in pages.values()) and not any(line in t for t in want.values())
+    assert any(stock[0] in t for t in want.values()) and want[600] and want[601]  # half of the articles have that block: it stays there
+    rows = [(i, "http://one.org/", ("<article>%s</article>" if a else "<body>%s</body>") % "".join(f"<p>{t}</p>" for t in parts)) for i, (a, parts) in pages.items()]
+    rows += [(700, *rows[1][1:])] * 50  # copies count as one page, repeated rows are dealt out and come back as often
+    want[700] = want[1]
+    for shard in (1000, 60):
+        got = boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=shard).collect()
+        assert len(got) == len(rows) and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_pages_that_most_of_a_host_copies_keep_their_text(spark):
+    rows = [(i, "http://h/", f"<p>menu of this small site for all</p><p>{'the same long report in ten words again ' * 4}{i}</p>") for i in range(6)]
+    rows += [(10 + i, "http://h/", f"<p>menu of this small site for all</p><p>{' '.join(f'u{i}_{k}' for k in range(12))}</p>") for i in range(8)]
+    got = boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("menu" not in r["text"] and r["text"] for r in got) and all("report" in r["text"] for r in got if r["page_id"] < 6)
+
+
 def test_repeated_tokens_against_brute_force():
     rng = np.random.default_rng(2)
     words, page = rng.integers(0, 3, 300).astype(np.uint64), np.repeat(np.arange(6), 50)
@@ -481,6 +532,12 @@ def test_repeated_tokens_against_brute_force():
             if page[a] != page[b] and page[a] == page[a + 5] and page[b] == page[b + 5] and (words[a:a + 6] == words[b:b + 6]).all():
                 want[a:a + 6] = True
     assert (boilerplate.repeated(words, page, 6) == want).all()
+    runs = {}
+    for a in range(295):
+        if page[a] == page[a + 5]:
+            runs.setdefault(tuple(words[a:a + 6]), set()).add(page[a])
+    most = [max([len(runs[tuple(words[a:a + 6])]) for a in range(max(0, i - 5), min(i, 294) + 1) if page[a] == page[a + 5]], default=0) for i in range(300)]
+    assert boilerplate.occurrences(words, page, 6).tolist() == most
 
 
 def test_words_of_a_batch():
