@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.operators.ordering import exact_quantile, grouped_quantile
 from lumenfold.session import join_stats
 
+#: Side of the square tiles in which filters over neighbouring pixels run.
+TILE = 64
+
 
 def histogram(df: DataFrame, scope: Sequence[str], value: str, bins: int) -> DataFrame:
     """Equal-width bins between the minimum and maximum per scope; the last bin includes the maximum.
@@ -43,31 +47,81 @@ def net_and_ratio(on: DataFrame, off: DataFrame | None, pixel: Sequence[str], al
     return j.select(*pixel, net.alias("net"), (net / (F.col("_off") + 1e-9)).alias("ratio"))
 
 
-def _spread(df: DataFrame, maps: Sequence[str], axis: str, size: str, weights: Sequence[float]) -> DataFrame:
-    """One pass of a symmetric kernel along an axis with mirrored edges, as contributions summed per target pixel."""
-    r = len(weights) // 2
-    k, n = F.col(axis), F.col(size)
-    w = F.array(*[F.lit(float(v)) for v in weights])
-    periods = F.sequence(-(F.lit(r) / n).cast("int") - 1, (F.lit(r) / n).cast("int") + 1)
-    images = F.flatten(F.transform(periods, lambda m: F.array(k + 2 * n * m, 2 * n * m - 1 - k)))
-    near = F.filter(images, lambda e: (e >= -r) & (e <= n - 1 + r))
-    targets = F.flatten(F.transform(near, lambda e: F.transform(
-        F.sequence(F.greatest(F.lit(0), e - r), F.least(n - 1, e + r)),
-        lambda o: F.struct(o.alias("o"), F.get(w, e - o + r).alias("w")))))
-    other = "x" if axis == "y" else "y"
-    rows = df.select(*maps, other, "_ny", "_nx", "value", F.explode(targets).alias("_t"))
-    return (rows.groupBy(*maps, other, F.col("_t.o").alias(axis), "_ny", "_nx")
-            .agg(F.sum(F.col("value") * F.col("_t.w")).alias("value")))
+def _tiled(df: DataFrame, maps: Sequence[str], halo: int, mirrored: bool, columns: Sequence[str]) -> DataFrame:
+    """Pixels dealt to square tiles of TILE with a border of `halo`: tile numbers _ty, _tx and places _iy, _ix in the tile.
+
+    Only pixels near a tile's edge are copied. Mirrored edges repeat the map around itself, otherwise nothing is there.
+    """
+    def places(axis: str, size: str) -> Column:
+        k, n = F.col(axis).cast("long"), F.col(size).cast("long")
+        at = F.array(k)
+        if mirrored:
+            periods = F.sequence(-F.floor(F.lit(halo) / n) - 1, F.floor(F.lit(halo) / n) + 1)
+            at = F.filter(F.flatten(F.transform(periods, lambda m: F.array(k + 2 * n * m, 2 * n * m - 1 - k))), lambda e: (e >= -halo) & (e <= n - 1 + halo))
+        tiles = F.flatten(F.transform(at, lambda e: F.transform(
+            F.sequence(F.floor((e - halo) / TILE), F.floor((e + halo) / TILE)), lambda t: F.struct(t.alias("t"), (e - t * TILE + halo).alias("i")))))
+        return F.filter(tiles, lambda c: (c["t"] >= 0) & (c["t"] <= F.floor((n - 1) / TILE)))
+
+    dealt = df.select(*maps, "_ny", "_nx", *columns, places("x", "_nx").alias("_cx"), F.explode(places("y", "_ny")).alias("_cy"))
+    dealt = dealt.select(*maps, "_ny", "_nx", *columns, "_cy", F.explode("_cx").alias("_cx"))
+    return dealt.select(*maps, "_ny", "_nx", *columns, F.col("_cy.t").alias("_ty"), F.col("_cx.t").alias("_tx"),
+                        F.col("_cy.i").alias("_iy"), F.col("_cx.i").alias("_ix"))
+
+
+def _slid(a: np.ndarray, offsets: Sequence[int], every: bool) -> np.ndarray:
+    """Sliding minimum (every) or maximum of a boolean array over offsets in both directions; nothing is set outside."""
+    for axis in (0, 1):
+        pad = max(abs(o) for o in offsets)
+        wide = np.pad(a, [(pad, pad) if k == axis else (0, 0) for k in (0, 1)])
+        parts = [np.take(wide, np.arange(a.shape[axis]) + pad + o, axis) for o in offsets]
+        a = (np.logical_and if every else np.logical_or).reduce(parts)
+    return a
+
+
+def _pixels_of(pdf: pd.DataFrame, maps: Sequence[str], shown: np.ndarray, halo: int, name: str, result: np.ndarray) -> pd.DataFrame:
+    """Rows of the tile's own pixels that are shown, inside the map."""
+    first = pdf.iloc[0]
+    y0, x0 = int(first["_ty"]) * TILE, int(first["_tx"]) * TILE
+    core = slice(halo, halo + TILE)
+    iy, ix = np.nonzero(shown[core, core])
+    inside = (iy + y0 < int(first["_ny"])) & (ix + x0 < int(first["_nx"]))
+    iy, ix = iy[inside], ix[inside]
+    return pd.DataFrame({**{m: [first[m]] * len(iy) for m in maps}, "y": iy + y0, "x": ix + x0, name: result[core, core][iy, ix]})
+
+
+def _schema(df: DataFrame, maps: Sequence[str], value: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*[df.schema[c] for c in (*maps, "y", "x")], T.StructField(value, kind)])
 
 
 def gaussian_blur(pixels: DataFrame, maps: Sequence[str], sigma: float = 1.0) -> DataFrame:
-    """Separable Gaussian, cut at four sigma, mirrored at the edges."""
+    """Separable Gaussian, cut at four sigma, mirrored at the edges.
+
+    Both passes run inside tiles with a border, so there is one shuffle. Pixels without a row or value add nothing; a
+    pixel has a row if any pixel within the kernel has one.
+    """
     r = int(4.0 * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    w = (w / w.sum()).tolist()
-    df = join_stats(pixels.select(*maps, "y", "x", "value"), extents(pixels, maps), list(maps))
-    df = _spread(_spread(df, maps, "y", "_ny", w), maps, "x", "_nx", w)
-    return df.select(*maps, "y", "x", "value")
+    w = w / w.sum()
+    maps = list(maps)
+    df = join_stats(pixels.select(*maps, "y", "x", F.col("value").cast("double").alias("value")), extents(pixels, maps), maps)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = TILE + 2 * r
+        at = pdf["_iy"].to_numpy(), pdf["_ix"].to_numpy()
+        value, has, shown = np.zeros((side, side)), np.zeros((side, side), bool), np.zeros((side, side), bool)
+        given = pdf["value"].notna().to_numpy()
+        np.add.at(value, at, np.where(given, pdf["value"].to_numpy(), 0.0))
+        has[at[0][given], at[1][given]] = True
+        shown[at] = True
+        for axis in (0, 1):
+            wide = np.pad(value, [(r, r) if k == axis else (0, 0) for k in (0, 1)])
+            value = sum(w[o + r] * np.take(wide, np.arange(side) + r + o, axis) for o in range(-r, r + 1))
+        around = range(-r, r + 1)
+        result = np.where(_slid(has, around, False), value, np.nan)
+        return _pixels_of(pdf, maps, _slid(shown, around, False), r, "value", result)
+
+    tiles = _tiled(df, maps, r, True, ["value"])
+    return tiles.groupBy(*maps, "_ty", "_tx").applyInPandas(run, _schema(pixels, maps, "value", T.DoubleType()))
 
 
 def otsu_threshold(pixels: DataFrame, maps: Sequence[str], bins: int = 256) -> DataFrame:
@@ -94,25 +148,35 @@ def threshold_mask(pixels: DataFrame, maps: Sequence[str], method: str = "otsu",
     return join_stats(pixels, limits, list(maps)).withColumn("mask", F.col("value") >= F.col("threshold"))
 
 
-def _neighbourhood(mask: DataFrame, maps: Sequence[str], size: int, erode: bool) -> DataFrame:
-    lo = -(size // 2)
-    offsets = range(lo, lo + size) if erode else range(-(lo + size - 1), -lo + 1)
-    # a pixel at p is seen by the targets p - offset
-    at = F.array(*[F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x")) for dy in offsets for dx in offsets])
-    rows = mask.select(*maps, "_ny", "_nx", "mask", F.explode(at).alias("_t"))
-    rows = rows.filter((F.col("_t.y") >= 0) & (F.col("_t.y") < F.col("_ny")) & (F.col("_t.x") >= 0) & (F.col("_t.x") < F.col("_nx")))
-    seen = F.count_if("mask")
-    test = (seen == size * size) if erode else (seen > 0)
-    return rows.groupBy(*maps, F.col("_t.y").alias("y"), F.col("_t.x").alias("x"), "_ny", "_nx").agg(test.alias("mask"))
-
-
 def morphology(mask: DataFrame, maps: Sequence[str], op: str = "open", size: int = 2) -> DataFrame:
-    """Binary opening or closing with a square; everything outside the map counts as unset."""
-    df = join_stats(mask.select(*maps, "y", "x", "mask"), extents(mask, maps), list(maps))
+    """Binary opening or closing with a square; everything outside the map counts as unset, as do pixels without a row.
+
+    All steps run inside tiles with a border, so there is one shuffle.
+    """
     steps = {"open": (True, False), "close": (False, True), "erode": (True,), "dilate": (False,)}.get(op, ())
-    for erode in steps:
-        df = _neighbourhood(df, maps, size, erode)
-    return df.select(*maps, "y", "x", "mask")
+    maps = list(maps)
+    if not steps:
+        return mask.select(*maps, "y", "x", "mask")
+    df = join_stats(mask.select(*maps, "y", "x", "mask"), extents(mask, maps), maps)
+    halo, low = len(steps) * size, -(size // 2)
+    looks = {True: range(low, low + size), False: range(-(low + size - 1), -low + 1)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = TILE + 2 * halo
+        first = pdf.iloc[0]
+        y, x = (int(first[t]) * TILE - halo + np.arange(side) for t in ("_ty", "_tx"))
+        inside = ((y >= 0) & (y < int(first["_ny"])))[:, None] & ((x >= 0) & (x < int(first["_nx"])))[None, :]
+        at = pdf["_iy"].to_numpy(), pdf["_ix"].to_numpy()
+        on, shown = np.zeros((side, side), bool), np.zeros((side, side), bool)
+        yes = pdf["mask"].eq(True).to_numpy(dtype=bool)
+        on[at[0][yes], at[1][yes]] = True
+        shown[at] = True
+        for erode in steps:
+            on, shown = _slid(on, looks[erode], erode) & inside, _slid(shown, looks[erode], False) & inside
+        return _pixels_of(pdf, maps, shown, halo, "mask", on)
+
+    tiles = _tiled(df, maps, halo, False, ["mask"])
+    return tiles.groupBy(*maps, "_ty", "_tx").applyInPandas(run, _schema(mask, maps, "mask", T.BooleanType()))
 
 
 def roi_statistics(pixels: DataFrame, value: str = "value", mask: str = "mask", maps: Sequence[str] = ()) -> DataFrame:
