@@ -76,7 +76,7 @@ def shirley_batch(x: np.ndarray, y: np.ndarray, max_steps: int = 100, tol: float
     rows, n = y.shape
     m = max(1, min(7, n // 5))
     left, right = y[:, :m].mean(1, keepdims=True), y[:, -m:].mean(1, keepdims=True)
-    b = left + (right - left) * np.linspace(0.0, 1.0, n)
+    b = left + (right - left) * np.arange(n) / max(n - 1, 1)
     dx = np.diff(x, axis=1)
     live = np.arange(rows)
     for _ in range(max_steps):

@@ -257,3 +257,12 @@ def test_shirley_of_a_curve_without_net_peak_keeps_the_last_digits():
     y = np.array([4.930546262790251, 1.127437982056861, 0.3133859994828204, 7.2557491118182895, 15.735592013947283])
     b = bg.shirley_batch(x[None], y[None])[0]
     assert b.tolist() == shirley_as_written(x.tolist(), y.tolist()) and round((y - b).max() / ((y - b).std() + 1e-10), 4) == 0.0001
+
+
+def test_areas_that_are_only_rounding_noise_have_the_written_digits():
+    """Shares of such areas are shares of the noise, so the background has to add in the written order."""
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 5, 7):
+        x, y = np.round(687.0 + 0.1 * np.arange(n), 4), rng.random((100, n)) * 20.0
+        found = bg.shirley_batch(np.repeat(x[None], 100, 0), y)
+        assert [r.tolist() for r in found] == [shirley_as_written(x.tolist(), r.tolist(), 100) for r in y]
