@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.scalars import array_sum, rotate, spectrum_entropy
-from lumenfold.session import join_stats
+from lumenfold.session import join_stats, settled, spread
+
+#: Rows of a block of pixels; pairs of blocks are compared at once.
+BLOCK = 1024
 
 
 def channel_moments(spectra: DataFrame, keys: Sequence[str] = (), column: str = "intensity") -> DataFrame:
@@ -227,45 +230,70 @@ def silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key:
     return d.select(key, *keys, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 
-def sampled_silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id", sample: int = 5000,
+def sampled_silhouette(pixels: DataFrame, label: str, spectrum: str = "intensity", key: str = "vec_id", sample: int | None = 5000,
                        seed: int = 0) -> DataFrame:
-    """Per-pixel Euclidean silhouette on a seeded sample of at most `sample` pixels (the sampling is the operator).
+    """Per-pixel Euclidean silhouette on a seeded sample of at most `sample` pixels; None takes every pixel.
 
-    The sample is a matrix of bounded size that every task compares with its own rows: no pair rows exist.
+    All pairs are compared, so the work grows with the square of the pixels. They are packed into blocks of at most
+    BLOCK rows, and Spark pairs the blocks: a task holds two blocks and 64 MB of the second side, whatever the table's
+    size. No pair rows exist: a task adds up a pixel's distances to each cluster.
     """
-    picked = pixels.select(key, label, spectrum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
-    local = picked.toPandas()
-    m = np.stack(local[spectrum].to_list()).astype(float)
-    groups, which = np.unique(local[label].to_numpy(), return_inverse=True)
-    sizes = np.bincount(which, minlength=len(groups))
-    keys = local[key].to_numpy()
-    sc = pixels.sparkSession.sparkContext
-    shared = sc.broadcast((m, groups, which, sizes, keys))
-
-    def run(batches):
-        ref, names, idx, count, _ = shared.value
-        onehot = np.eye(len(names))[idx]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[spectrum].to_list()).astype(float)
-            own = np.searchsorted(names, pdf[label].to_numpy())
-            sq = (x * x).sum(1)[:, None] + (ref * ref).sum(1)[None, :] - 2.0 * x @ ref.T
-            total = np.sqrt(np.maximum(sq, 0.0))
-            total[pdf[key].to_numpy()[:, None] == shared.value[4][None, :]] = 0.0
-            sums = total @ onehot
-            rows = np.arange(len(x))
-            a = sums[rows, own] / np.maximum(count[own] - 1, 1)
-            mean = sums / count
-            mean[rows, own] = np.inf
-            b = mean.min(1)
-            s = np.where(count[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pd.DataFrame({key: pdf[key], label: pdf[label], "silhouette": s})
-
-    ids = pixels.sparkSession.createDataFrame([(int(k),) for k in keys], f"{key} bigint")
-    rows = pixels.select(key, label, spectrum).join(F.broadcast(ids), key, "left_semi")  # at most `sample` keys
+    rows = pixels.select(key, label, spectrum)
+    if sample is not None:
+        rows = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInPandas(run, f"{key} {kinds[key]}, {label} {kinds[label]}, silhouette double")
+
+    def pack(batches):
+        for pdf in batches:
+            for begin in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[begin:begin + BLOCK]
+                m = np.stack(part[spectrum].to_list()).astype(float)
+                yield pd.DataFrame({"keys": [part[key].to_list()], "labels": [[None if pd.isna(v) else v for v in part[label]]],
+                                    "width": [m.shape[1]], "values": [m.tobytes()]})
+
+    fields = f"keys array<{kinds[key]}>, labels array<{kinds[label]}>, width int, values binary"
+    # written once, as both sides of the pairs are read from it
+    blocks = settled(spread(rows).mapInPandas(pack, fields).withColumn("block", F.monotonically_increasing_id()), "silhouette")
+    n = blocks.count()
+    size = 8 * BLOCK * (blocks.agg(F.max("width")).first()[0] or 1)
+    left, right = blocks.repartition(max(n, 1)), blocks.repartition(-(-n // max(1, (64 << 20) // size)) or 1)
+    pairs = left.crossJoin(right.select(*[F.col(c).alias(f"{c}_2") for c in ("keys", "labels", "width", "values")]))
+
+    def compare(batches):
+        block, found, own = None, {}, None
+
+        def sums():
+            for name, (total, count) in found.items():
+                yield pd.DataFrame({key: own[0], label: own[1], "_other": [name] * len(total), "_s": total, "_n": count})
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.block != block:
+                    yield from sums()
+                    x = np.frombuffer(r.values).reshape(-1, r.width)
+                    block, found, own = r.block, {}, (r.keys, r.labels)
+                y = np.frombuffer(r.values_2).reshape(-1, r.width_2)
+                sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T
+                away = np.sqrt(np.maximum(sq, 0.0))
+                if not set(r.keys).isdisjoint(r.keys_2):
+                    away[np.asarray(r.keys)[:, None] == np.asarray(r.keys_2)[None, :]] = 0.0
+                which, names = pd.factorize(np.asarray(r.labels_2, dtype=object), use_na_sentinel=False)
+                inside = which[:, None] == np.arange(len(names))[None, :]
+                total, count = away @ inside.astype(float), inside.sum(0)
+                for k, name in enumerate(None if pd.isna(v) else v for v in names):  # null equals and differs from no label
+                    before = found.get(name, (0.0, 0))
+                    found[name] = before[0] + total[:, k], before[1] + int(count[k])
+        yield from sums()
+
+    parts = pairs.mapInPandas(compare, f"{key} {kinds[key]}, {label} {kinds[label]}, _other {kinds[label]}, _s double, _n long")
+    means = parts.groupBy(key, label, "_other").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    mine = F.col(label) == F.col("_other")
+    ab = means.groupBy(key, label).agg(
+        F.max(F.when(mine & (F.col("_n") > 1), F.col("_s") / (F.col("_n") - 1))).alias("_a"),
+        F.min(F.when(~mine, F.col("_s") / F.col("_n"))).alias("_b"))
+    top = F.greatest("_a", "_b")
+    value = F.when(F.col("_a").isNull() | (top == 0), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.nullif(top, F.lit(0.0)))
+    return ab.select(key, label, value.alias("silhouette"))
 
 
 def depth_as_map(spectra: DataFrame, layer: str = "layer") -> DataFrame:

@@ -67,6 +67,24 @@ def test_silhouette_counts_every_pixel(spark):
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
 
 
+def test_euclidean_silhouette_of_more_pixels_than_a_sample(spark):
+    rng = np.random.default_rng(6)
+    n = 5200
+    label = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 4)) + np.eye(3, 4)[label]
+    rows = [(i, int(a) if i else None, [float(v) for v in r]) for i, (a, r) in enumerate(zip(label, x, strict=True))]
+    d = spark.createDataFrame(rows, "vec_id long, label int, intensity array<double>")
+    got = {r["vec_id"]: r["silhouette"] for r in mp.sampled_silhouette(d, "label", sample=None).collect()}
+    assert len(got) == n and got[0] == 0.0
+    inside = [np.flatnonzero(label[1:] == c) + 1 for c in range(3)]
+    for i in (1, 2, 3, 2600, 5199):
+        away = np.sqrt(((x[i] - x) ** 2).sum(1))
+        means = [away[at].sum() / (len(at) - (c == label[i])) for c, at in enumerate(inside)]
+        a, b = means[label[i]], min(m for c, m in enumerate(means) if c != label[i])
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-6
+    assert mp.sampled_silhouette(d, "label", sample=40).count() == 40
+
+
 def test_least_squares_of_many_components():
     rng = np.random.default_rng(5)
     basis = rng.random((10, 30))
