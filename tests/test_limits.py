@@ -109,3 +109,12 @@ def test_quantiles_and_masks_keep_to_their_map(spark):
     assert bad == {0: 3, 1: 3, 2: 3}
     kept = mp.score_mask(d, "value", 0.5, maps=["map_id"]).where("mask").groupBy("map_id").count().collect()
     assert sorted(tuple(r) for r in kept) == [(m, 5) for m in range(3)]
+
+
+def test_tasks_of_component_sums_do_not_grow_with_the_table(spark, monkeypatch):
+    from lumenfold.plans import bindings
+    monkeypatch.setattr(bindings, "TASK_ROWS", 1000)
+    c = bindings.components(spark, "/root/testdata/sf0.01")
+    rows = bindings.table(spark, "/root/testdata/sf0.01", "lineitem").count()
+    assert rows >= 50_000 and c.rdd.getNumPartitions() >= rows // 1000
+    assert c.agg(F.sum("area")).first()[0] > 0
