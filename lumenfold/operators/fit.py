@@ -192,12 +192,24 @@ def initial_peaks(templates: Sequence[RegionTemplate], region: str) -> list[tupl
 Model = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+#: Derivatives of the rows that are fitted at once, at most.
+SLICE_BYTES = 4 << 20
+
+
 def bounded_lm(model: Model, theta: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, y: np.ndarray,
                weight: np.ndarray, steps: int = 200, tol: float = 1e-10, ended: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Damped least squares of many rows at once; every row has its own damping, bounds and stop.
 
-    `ended`, if given, is set where a row stopped by itself and not after `steps` steps.
+    `ended`, if given, is set where a row stopped by itself and not after `steps` steps. Rows are taken in slices whose
+    derivatives fill at most SLICE_BYTES, so the memory does not grow with the rows of a batch.
     """
+    size = max(1, SLICE_BYTES // (8 * max(1, x.shape[1] * theta.shape[1])))
+    if len(theta) > size:
+        parts = []
+        for begin in range(0, len(theta), size):
+            at = slice(begin, begin + size)
+            parts.append(bounded_lm(model, theta[at], lo[at], hi[at], x[at], y[at], weight[at], steps, tol, None if ended is None else ended[at]))
+        return np.concatenate([t for t, _ in parts]), np.concatenate([q for _, q in parts])
     theta = np.clip(theta, lo, hi)
     f, jac = model(theta, x)
     res = (y - f) * weight

@@ -266,3 +266,22 @@ def test_areas_that_are_only_rounding_noise_have_the_written_digits():
         x, y = np.round(687.0 + 0.1 * np.arange(n), 4), rng.random((100, n)) * 20.0
         found = bg.shirley_batch(np.repeat(x[None], 100, 0), y)
         assert [r.tolist() for r in found] == [shirley_as_written(x.tolist(), r.tolist(), 100) for r in y]
+
+
+def test_memory_of_fits_does_not_grow_with_the_batch(monkeypatch):
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    n = 6000
+    x = np.tile(np.linspace(-1.0, 1.0, 64), (n, 1))
+    y = 100.0 / (np.exp((x - rng.normal(0.0, 0.2, (n, 1))) / 0.08) + 1.0) + 5.0 + rng.normal(0.0, 0.2, x.shape)
+    start, lo, hi = (np.tile(v, (n, 1)) for v in ([0.0, 0.1, 95.0, 5.0], [-1.0, 0.01, -np.inf, -np.inf], [1.0, 5.0, np.inf, np.inf]))
+    ended = np.zeros(n, dtype=bool)
+    tracemalloc.start()
+    theta, ss = ft.bounded_lm(ft.edge_model(), start, lo, hi, x, y, np.ones_like(x), steps=6, ended=ended)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    monkeypatch.setattr(ft, "SLICE_BYTES", 1 << 40)
+    whole = np.zeros(n, dtype=bool)
+    want, sw = ft.bounded_lm(ft.edge_model(), start, lo, hi, x, y, np.ones_like(x), steps=6, ended=whole)
+    assert np.array_equal(theta, want) and np.array_equal(ss, sw) and np.array_equal(ended, whole)
