@@ -23,6 +23,27 @@ def test_forest_and_permutation_importance(spark):
     assert p["a"]["importance_mean"] > 0.5 > abs(p["b"]["importance_mean"]) and p["a"]["importance_std"] >= 0
 
 
+def test_a_forest_in_waves(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    a, b = rng.random(400), rng.random(400)
+    y = 3 * a + 0.05 * rng.normal(size=400)
+    d = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(a, b, y))], "sample long, a double, b double, y double")
+    train, test = co.split_by_hash(d, "sample")
+    whole = {r["feature"]: r["importance"] for r in co.importances(co.fit_forest(train, ["a", "b"], "y", trees=6, depth=5), ["a", "b"]).collect()}
+    one = {r["feature"]: r["importance"] for r in co.importances_in_waves(co.forest_waves(train, ["a", "b"], "y", 6, 5), ["a", "b"]).collect()}
+    assert all(abs(one[f] - v) < 0.05 for f, v in whole.items())
+    monkeypatch.setattr(co, "WAVE_NODES", 4 * train.count())
+    models = list(co.forest_waves(train, ["a", "b"], "y", 5, 5))
+    assert [m.getNumTrees for m in models] == [2, 2, 1]
+    cells = co.permuted(test, ["a", "b"], "y", repeats=2)
+    assert cells.count() == 5 * test.count()
+    p = {r["feature"]: r for r in co.permutation_loss(co.predict_in_waves(models, cells), ["a", "b"], "y").collect()}
+    assert p["a"]["importance_mean"] > 0.5 > abs(p["b"]["importance_mean"])
+    x = cells.where("_f is null").select("features", "y")
+    want = sorted(sum(t.predict(r["features"]) for m in models for t in m.trees) / 5 for r in x.collect())
+    assert np.allclose(sorted(r["prediction"] for r in co.predict_in_waves(models, x).collect()), want)
+
+
 def test_cluster_separates_groups(spark):
     rng = np.random.default_rng(1)
     rows = [(g * 50 + k, g, (10.0 * np.eye(3)[g] + 0.1 * rng.normal(size=3)).tolist()) for g in range(3) for k in range(50)]
