@@ -276,6 +276,15 @@ def test_repeated_passages_are_found_and_cut(spark, docs):
     assert passages.near_duplicate_passages(docs([])).count() == 0
 
 
+def test_a_passage_that_many_documents_share_makes_one_row_for_each(spark, docs):
+    from lumenfold.llm.passages import _star, _texts, _windows
+    common = [f"common{k}" for k in range(400)]
+    rows = [(i, " ".join([f"own{i}_{k}" for k in range(60)] + common)) for i in range(50)]
+    links = _star(_windows(_texts(docs(rows).coalesce(1)), 5, 46, 4)).where("rep is not null").cache()
+    size = {(r["doc"], r["rep"]): len(r["here"]) for r in links.collect()}
+    assert len(size) == links.count() and all(size[i, 0] >= 20 for i in range(1, 50))
+
+
 def test_a_common_phrase_in_the_first_document_hides_no_passage(docs):
     rng = random.Random(5)
     words = lambda n: [f"t{rng.randrange(10 ** 6)}" for _ in range(n)]
