@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure, blocks that a host repeats, and a suffix array over each host's pages."""
+"""Main text of web pages: page structure, blocks and substrings that a host repeats, by a suffix array where a host is small."""
 
 from __future__ import annotations
 
@@ -8,19 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import Words, pieces, written
+from lumenfold.llm.passages import shingles
 from lumenfold.session import join_stats
 
-#: Tokens of a repeated substring, share of a block that repetition must cover, pages of a host in one suffix array.
+#: Tokens of a repeated substring, share of a block that repetition must cover, most pages of a host whose suffix array one task sorts.
 LONG, COVERED, SHARD = 6, 0.6, 256
 #: Distinct pages of a host that repeat a substring or block outside of articles.
 PAGES = 3
 #: Distinct pages, and their share of the host's, from which what articles repeat is boilerplate: copies of an article are not.
 ARTICLE_PAGES, ARTICLE_SHARE = 20, 0.8
-BROADCAST_HOSTS, SALTS = 500_000, 4096
+BROADCAST_HOSTS, BROADCAST_HITS = 500_000, 32 << 20
+#: Cells of a larger host's counts of substrings, hosts that a task counts at once, groups of `shard` pages whose substrings are compared at once.
+CELLS, COUNTED, TOGETHER = 4096, 1024, 16
 
 # A quoted value begins right after =. One that holds < or > must be short and end where an attribute may end: an open quote ends with its tag.
 _PART = re.compile(
@@ -208,12 +212,27 @@ def repeated(words: np.ndarray, page: np.ndarray, long: int = LONG, least: int =
     return occurrences(words, page, long) >= least
 
 
+def _article_least(articles: int) -> int:
+    """Distinct pages from which what an article repeats is boilerplate, on a host with so many distinct articles."""
+    return max(ARTICLE_PAGES, int(np.ceil(ARTICLE_SHARE * articles)))
+
+
+def _kept(parts: list[str], article: bool, covered: np.ndarray, hashes: list[int], gone: set[int], most: set[int]) -> str:
+    """Text of a page without the blocks that are covered or that the whole host repeats (gone).
+
+    A page that would lose all its text loses only what most pages of the host have; an article never loses all.
+    """
+    kept = [t for t, c, h in zip(parts, covered, hashes, strict=True) if not c and h not in gone]
+    if not kept:
+        kept = parts if article else [t for t, h in zip(parts, hashes, strict=True) if h not in most]
+    return "\n\n".join(kept)
+
+
 def _texts(bodies: list[str], named: list[bool], gone: list[set[int]], most: list[set[int]], hashes: list[list[int]],
            long: int, share: float) -> list[str]:
-    """Main texts of a group of pages of one host, equal pages being one page.
+    """Main texts of all pages of one host, equal pages being one page.
 
-    Blocks go that the whole host repeats (gone) or that substrings repeated in this group cover. A page that would
-    lose all its text loses only what most pages of the host have; an article never loses all.
+    Blocks go that the host repeats (gone) or that its repeated substrings cover.
     """
     number: dict[tuple[str, bool], int] = {}
     own = [number.setdefault(page, len(number)) for page in zip(bodies, named, strict=True)]
@@ -223,28 +242,91 @@ def _texts(bodies: list[str], named: list[bool], gone: list[set[int]], most: lis
     counts = np.diff(words.docs)
     block = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     pages = occurrences(words.hashes, np.repeat(block, counts), long)
-    least = np.where(article, max(ARTICLE_PAGES, int(np.ceil(ARTICLE_SHARE * article.sum()))), PAGES)
+    least = np.where(article, _article_least(int(article.sum())), PAGES)
     sums = np.concatenate([[0], np.cumsum(pages >= np.repeat(least[block], counts))])
     covered = (sums[words.docs[1:]] - sums[words.docs[:-1]]) >= share * np.maximum(counts, 1)
     begin = np.searchsorted(block, np.arange(len(parts) + 1))
     done: dict[int, str] = {}
     for i, k in enumerate(own):
         if k not in done:
-            marks = covered[begin[k]:begin[k + 1]]
-            kept = [t for t, c, h in zip(parts[k], marks, hashes[i], strict=True) if not c and h not in gone[i]]
-            if not kept:
-                kept = parts[k] if article[k] else [t for t, h in zip(parts[k], hashes[i], strict=True) if h not in most[i]]
-            done[k] = "\n\n".join(kept)
+            done[k] = _kept(parts[k], bool(article[k]), covered[begin[k]:begin[k + 1]], hashes[i], gone[i], most[i])
     return [done[k] for k in own]
 
 
-def _host_blocks(parsed: DataFrame) -> DataFrame:
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Rows (with html) with their chosen text, whether an article holds it, its hash (body) and those of its blocks instead."""
+    others = [c for c in rows.columns if c != "html"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html"):
+            found = [chosen(page or "") for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([t for t, _ in found], pa.string()),
+                                              pa.array([a for _, a in found], pa.bool_())], [*others, "text", "named"])
+
+    schema = rows.select(*others).schema.add("text", "string").add("named", "boolean")
+    return rows.mapInArrow(parse, schema).select("*", F.xxhash64("text").alias("body"), _block_hashes("text").alias("hashes"))
+
+
+def _block_hashes(text: str) -> Column:
+    return F.transform(F.filter(F.split(text, "\n\n"), lambda t: t != ""), lambda t: F.xxhash64(t))
+
+
+def _distinct_pages(rows: DataFrame, long: int) -> DataFrame:
+    """A row for each distinct page: host, named, body and hashes of its blocks; and counts over a task's pages of larger hosts.
+
+    A row of counts (host, cells, tag) says for each of CELLS classes of substrings how many of these pages have one of
+    it; the host's sum is no less than the number of pages that have any one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        seen: set[int] = set()
+        first, tag = TaskContext.get().partitionId() << 32, 0
+        names = ["host", "text", "named", "cells", "tag"]
+
+        def flush() -> pa.RecordBatch:
+            nonlocal tag
+            n, tag = len(counts), tag + len(counts)
+            out = [pa.array(list(counts), pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()),
+                   pa.array([c.astype("<u4").tobytes() for c in counts.values()], pa.binary()), pa.array(np.arange(tag - n, tag) + first)]
+            counts.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays(out, names)
+
+        for batch in pieces(batches, "html"):
+            found = [chosen(page or "") for page in batch.column("html").to_pylist()]
+            n = len(found)
+            texts = pa.array([t for t, _ in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), texts, pa.array([a for _, a in found], pa.bool_()),
+                                              pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+            large = np.flatnonzero(np.asarray(batch.column("groups").is_valid()))
+            if not len(large):
+                continue
+            hosts = batch.column("host").to_pylist()
+            hashed, offsets = shingles(Words(texts.take(pa.array(large))), long)
+            for k, i in enumerate(large.tolist()):
+                page = hash((hosts[i], found[i]))
+                if page not in seen:
+                    seen.add(page)
+                    if hosts[i] not in counts:
+                        counts[hosts[i]] = np.zeros(CELLS, dtype=np.int64)
+                    counts[hosts[i]][np.unique(hashed[offsets[k]:offsets[k + 1]] % np.uint64(CELLS)).astype(np.int64)] += 1
+            if len(counts) >= COUNTED:
+                yield flush()
+        if counts:
+            yield flush()
+
+    pages = rows.select("host", "groups", "html").mapInArrow(run, "host long, text string, named boolean, cells binary, tag long")
+    return written(pages.select("host", "named", F.xxhash64("text").alias("body"), F.array_distinct(_block_hashes("text")).alias("blocks"),
+                                "cells", "tag").distinct(), "page_blocks")
+
+
+def _host_blocks(distinct: DataFrame) -> DataFrame:
     """Blocks of each distinct page that its whole host repeats: host, named, body, gone, and most (half of its pages have it).
 
     One row of hashes for each distinct page, so that copies count once; counts combine before they are shuffled.
     """
     keys = ["host", "named"]
-    distinct = written(parsed.select(*keys, "body", F.array_distinct("hashes").alias("blocks")).distinct(), "page_blocks")
     blocks_ = distinct.select(*keys, "body", F.explode("blocks").alias("block"))
     counts = blocks_.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("has")).where(F.col("has") >= PAGES)
     counts = join_stats(counts, distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("of")), keys)
@@ -254,6 +336,104 @@ def _host_blocks(parsed: DataFrame) -> DataFrame:
         F.collect_list("block").alias("gone"), F.collect_list(F.when(2 * F.col("has") >= F.col("of"), F.col("block"))).alias("most")), "page_repeats")
 
 
+def _heavy_cells(cells: DataFrame) -> DataFrame:
+    """Hosts (host, articles, cells; articles only) with the cells whose substrings enough pages may have, a bit for each."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(parts, "host").sortWithinPartitions("host")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host_, least, total = None, 0, np.zeros(CELLS, dtype=np.int64)
+
+        def bits() -> pa.RecordBatch:
+            heavy = total >= least
+            n = int(heavy.any())
+            return pa.RecordBatch.from_arrays([pa.array([host_] * n, pa.int64()), pa.array([np.packbits(heavy).tobytes()] * n, pa.binary())], ["host", "heavy"])
+
+        for batch in batches:
+            for h, articles, own in zip(*(batch.column(c).to_pylist() for c in ("host", "articles", "cells")), strict=True):
+                if h != host_:
+                    if host_ is not None:
+                        yield bits()
+                    host_, least, total = h, _article_least(articles), np.zeros(CELLS, dtype=np.int64)
+                total += np.frombuffer(own, dtype="<u4")
+        if host_ is not None:
+            yield bits()
+
+    return dealt.mapInArrow(run, "host long, heavy binary")
+
+
+def _host_substrings(rows: DataFrame, distinct: DataFrame, crowd: DataFrame, long: int) -> DataFrame:
+    """Substrings of each distinct page of the larger hosts (crowd: host, groups) that its whole host repeats: host, named, body, hits.
+
+    Hosts with pages without an article send all hashes of their substrings; hosts of articles only those in cells whose
+    counts reach the number of pages that an article needs, so hardly any. Hashes are dealt by host and value, so that a
+    task compares those of about TOGETHER groups of pages at once; equal pages count once.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = distinct.where("cells is null").join(crowd, "host").groupBy("host", "groups").agg(
+        F.count_if("named").alias("articles"), F.count_if(~F.col("named")).alias("others"))
+    pages = written(pages, "page_counts")
+    heavy = _heavy_cells(distinct.where("cells is not null").select("host", "cells").join(pages.where("others = 0"), "host").select("host", "articles", "cells"))
+    hosts = pages.where("others > 0").withColumn("heavy", F.lit(None).cast("binary")).unionByName(pages.join(heavy, "host"))
+    hosts = written(hosts.select("host", "articles", "heavy", F.ceil(F.col("groups") / TOGETHER).alias("deals")), "page_hosts")
+    chosen_ = _parsed(join_stats(rows.select("host", "html"), hosts, ["host"])).drop("hashes")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            hashed, offsets = shingles(Words(batch.column("text")), long)
+            out: dict[tuple[int, int], tuple[int, list[tuple], list[np.ndarray]]] = {}
+            columns = (batch.column(c).to_pylist() for c in ("host", "named", "body", "articles", "heavy", "deals"))
+            for i, (h, named, body, articles, heavy_, deals) in enumerate(zip(*columns, strict=True)):
+                own = np.unique(hashed[offsets[i]:offsets[i + 1]])
+                if heavy_ is not None:
+                    bits = np.unpackbits(np.frombuffer(heavy_, dtype=np.uint8)).astype(bool)
+                    own = own[bits[(own % np.uint64(CELLS)).astype(np.int64)]]
+                deal = (own >> np.uint64(32)) % np.uint64(deals)
+                for d in np.unique(deal).tolist():
+                    some = own[deal == d] if deals > 1 else own
+                    _, heads, hashes = out.setdefault((h, d), (articles, [], []))
+                    heads.append((body, int(named), len(some)))
+                    hashes.append(some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in out], pa.int64()), pa.array([d for _, d in out], pa.int64()), pa.array([a for a, _, _ in out.values()], pa.int64()),
+                 pa.array([np.array(x, dtype="<i8").tobytes() for _, x, _ in out.values()], pa.binary()),
+                 pa.array([np.concatenate(x).astype("<u8").tobytes() for _, _, x in out.values()], pa.binary())], ["host", "deal", "articles", "pages", "hashes"])
+
+    sent = chosen_.mapInArrow(send, "host long, deal long, articles long, pages binary, hashes binary")
+    dealt = sent.repartition(parts, "host", "deal").sortWithinPartitions("host", "deal")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, articles, heads, hashes = None, 0, [], []
+
+        def group() -> pa.RecordBatch:
+            head, hashed = np.concatenate(heads).reshape(-1, 3), np.concatenate(hashes)
+            order = np.lexsort((head[:, 1], head[:, 0]))
+            once = np.zeros(len(head), dtype=bool)
+            once[order] = np.concatenate([[True], (np.diff(head[order, :2], axis=0) != 0).any(axis=1)])
+            hashed, head = hashed[np.repeat(once, head[:, 2])], head[once]
+            _, value, has = np.unique(hashed, return_inverse=True, return_counts=True)
+            enough = has[value] >= np.repeat(np.where(head[:, 1] > 0, _article_least(articles), PAGES), head[:, 2])
+            ends = np.concatenate([[0], np.cumsum(enough)])[np.concatenate([[0], np.cumsum(head[:, 2])])]
+            hit, hashed = np.flatnonzero(np.diff(ends)), hashed[enough]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * len(hit), pa.int64()), pa.array(head[hit, 1] > 0), pa.array(head[hit, 0].astype(np.int64)),
+                 pa.array([hashed[ends[i]:ends[i + 1]].tobytes() for i in hit], pa.binary())], ["host", "named", "body", "hits"])
+
+        for batch in batches:
+            for h, d, of, own, values in zip(*(batch.column(c).to_pylist() for c in ("host", "deal", "articles", "pages", "hashes")), strict=True):
+                if (h, d) != key:
+                    if key is not None:
+                        yield group()
+                    key, articles, heads, hashes = (h, d), of, [], []
+                heads.append(np.frombuffer(own, dtype="<i8"))
+                hashes.append(np.frombuffer(values, dtype="<u8"))
+        if key is not None:
+            yield group()
+
+    hits = dealt.mapInArrow(compare, "host long, named boolean, body long, hits binary")
+    return written(hits.groupBy("host", "named", "body").agg(F.collect_list("hits").alias("hits")), "page_hits")
+
+
 def extract(pages: DataFrame, long: int = LONG, share: float = COVERED, shard: int = SHARD) -> DataFrame:
     """Main text of every page (page_id, url, html): page_id, url, text and n_chars (code points).
 
@@ -261,60 +441,51 @@ def extract(pages: DataFrame, long: int = LONG, share: float = COVERED, shard: i
     class, id and role names that mark them. An article or main element is the text where a page has one, also inside
     an element with such a name; else all that is left. Of that goes what the host repeats:
 
-    * blocks that are the same on PAGES distinct pages of the whole host, counted by Spark;
-    * blocks of which substrings of `long` tokens on PAGES distinct pages of a group cover `share` or more, found by a
-      suffix array over the token streams of about `shard` pages, so that no task gets a whole host.
+    * blocks that are the same on PAGES distinct pages of the host, counted by Spark;
+    * blocks of which substrings of `long` tokens on PAGES distinct pages of the host cover `share` or more: found by a
+      suffix array over the token streams of a host of at most `shard` pages, else by counting their hashes, dealt by
+      host and value, so that no task gets a whole host.
 
-    Inside article elements both need ARTICLE_PAGES pages and ARTICLE_SHARE of the host's or group's. A page that would
+    Inside article elements both need ARTICLE_PAGES pages and ARTICLE_SHARE of the host's articles. A page that would
     lose all its text loses only the blocks that half of the host's pages have; an article never loses all.
 
-    Null html is empty; pages without url share the empty host; repeated rows give repeated rows, count as one page and
-    are dealt out by their places in the input; an empty table gives no rows; other columns are ignored. Pages are parsed
-    twice, for the counts (hashes of blocks, written to the shared folder when this is called) and for the result.
+    Null html is empty; pages without url share the empty host; repeated rows give repeated rows and count as one page;
+    an empty table gives no rows; other columns are ignored. Pages are parsed twice, for the counts (hashes of blocks,
+    written to the shared folder when this is called) and for the result, and a third time in between where substrings of a
+    larger host may be repeated often enough.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
     rows = rows.select("page_id", "url", F.xxhash64(host(F.col("url"))).alias("host"), "html")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for batch in pieces(batches, "html"):
-            found = [chosen(page or "") for page in batch.column("html").to_pylist()]
-            salt = np.arange(at, at + len(found)) % SALTS
-            at += len(found)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([t for t, _ in found], pa.string()),
-                 pa.array([a for _, a in found], pa.bool_()), pa.array(salt.astype(np.int32))], ["page_id", "url", "host", "text", "named", "salt"])
-
-    parsed = rows.mapInArrow(parse, "page_id long, url string, host long, text string, named boolean, salt int")
-    parsed = parsed.withColumn("body", F.xxhash64("text")).withColumn(
-        "hashes", F.transform(F.filter(F.split("text", "\n\n"), lambda t: t != ""), lambda t: F.xxhash64(t)))
-    crowd = rows.groupBy("host").count().where(F.col("count") > shard).select("host", F.ceil(F.col("count") / shard).alias("shards"))
-    few = crowd.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS  # hosts of many pages only, 16 bytes each
-    repeats = _host_blocks(parsed)
-    marked = join_stats(parsed, repeats, ["host", "named", "body"], "left")
-    marked = marked.join(F.broadcast(crowd) if few else crowd, "host", "left")
-    marked = marked.withColumn("shard", F.pmod(F.xxhash64("page_id", "body", "salt"), F.coalesce("shards", F.lit(1))))
+    crowd = rows.groupBy("host").count().where(F.col("count") > shard).select("host", F.ceil(F.col("count") / shard).alias("groups"))
+    crowd = written(crowd, "page_crowds")  # hosts of many pages only, 16 bytes each
+    rows = rows.join(F.broadcast(crowd) if crowd.count() <= BROADCAST_HOSTS else crowd, "host", "left")
+    distinct = _distinct_pages(rows, long)
+    repeats = _host_blocks(distinct.where("cells is null"))
+    hits = _host_substrings(rows.where("groups is not null"), distinct, crowd, long)
     some = F.size(F.coalesce("gone", F.array().cast("array<bigint>"))) > 0
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = marked.select("host", "shard", "page_id", "url", "text", "named", F.when(some, F.col("hashes")).alias("hashes"), "gone", "most")
-    dealt = dealt.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard")
+    keys, taken = ["host", "named", "body"], ["page_id", "url", "text", "named", "hashes", "gone", "most"]
+
+    def marked(own: DataFrame) -> DataFrame:
+        return join_stats(_parsed(own), repeats, keys, "left")
+
+    def result(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
+                                           pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, urls, held = None, [], [], []
 
         def group() -> pa.RecordBatch:
-            texts = _texts(*(list(c) for c in zip(*held, strict=True)), long, share)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
-                                               pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            return result(ids, urls, _texts(*(list(c) for c in zip(*held, strict=True)), long, share))
 
         for batch in pieces(batches, "text"):
-            columns = (batch.column(c).to_pylist() for c in ("host", "shard", "page_id", "url", "text", "named", "hashes", "gone", "most"))
-            for h, s, page_id, url, text, named, hashes, gone, most in zip(*columns, strict=True):
-                if (h, s) != key:
+            columns = (batch.column(c).to_pylist() for c in ("host", *taken))
+            for h, page_id, url, text, named, hashes, gone, most in zip(*columns, strict=True):
+                if h != key:
                     if ids:
                         yield group()
-                    key, ids, urls, held = (h, s), [], [], []
+                    key, ids, urls, held = h, [], [], []
                 ids.append(page_id)
                 urls.append(url)
                 # no hash is needed where nothing of the page is repeated
@@ -322,4 +493,31 @@ def extract(pages: DataFrame, long: int = LONG, share: float = COVERED, shard: i
         if ids:
             yield group()
 
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    def run_larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            ids, urls, texts, named, hashes, gone, most, hits_ = (batch.column(c).to_pylist() for c in (*taken, "hits"))
+            for i, text in enumerate(texts):
+                if not gone[i] and not hits_[i]:
+                    continue
+                parts_ = [t for t in text.split("\n\n") if t]
+                covered = np.zeros(len(parts_), dtype=bool)
+                if hits_[i]:
+                    words = Words(pa.array(parts_, pa.string()))
+                    hashed, _ = shingles(Words(pa.array([text], pa.string())), long)
+                    inside = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+                    at = np.flatnonzero(np.isin(hashed, np.frombuffer(b"".join(hits_[i]), dtype="<u8")))
+                    np.add.at(inside, at, 1)
+                    np.add.at(inside, at + long, -1)
+                    sums = np.concatenate([[0], np.cumsum(np.cumsum(inside[:-1]) > 0)])
+                    covered = sums[words.docs[1:]] - sums[words.docs[:-1]] >= share * np.maximum(np.diff(words.docs), 1)
+                texts[i] = _kept(parts_, named[i], covered, hashes[i], set(gone[i] or ()), set(most[i] or ()))
+            yield result(ids, urls, texts)
+
+    schema = "page_id long, url string, text string, n_chars long"
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    smaller = marked(rows.where("groups is null")).select(
+        "host", "page_id", "url", "text", "named", F.when(some, F.col("hashes")).alias("hashes"), "gone", "most")
+    smaller = smaller.repartition(parts, "host").sortWithinPartitions("host").mapInArrow(run, schema)
+    few = (hits.agg(F.sum(F.aggregate("hits", F.lit(0), lambda n, h: n + F.length(h)) + 32)).first()[0] or 0) <= BROADCAST_HITS
+    larger = marked(rows.where("groups is not null")).join(F.broadcast(hits) if few else hits, keys, "left")
+    return smaller.union(larger.select(*taken, "hits").mapInArrow(run_larger, schema))

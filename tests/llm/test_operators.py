@@ -554,3 +554,27 @@ def test_words_of_a_batch():
     w = Words(pa.array(texts, pa.string()), ALNUM)
     assert np.diff(w.docs).tolist() == [2, 0, 0, 2, 2]
     assert (w.hashes[:2] == w.hashes[4:]).all() and w.raw[w.starts[2]:w.ends[2]].tobytes().decode() == "xéY"
+
+
+def test_substrings_of_a_large_host_do_not_depend_on_how_its_pages_are_dealt(spark):
+    rng = np.random.default_rng(8)
+    tall = [" ".join(f"t{k}x{j}" for j in range(9)) for k in range(90)]  # each stands inside blocks of few pages, with other words around it
+    footer, rare = "all rights of this site are kept by its owners", "some articles end with this line but most do not"
+    for kinds in ((False, True), (False,), (True,)):
+        rows = []
+        for i in range(240):
+            article = kinds[i % len(kinds)]
+            parts = [" ".join(f"w{i}_{j}_{k}" for k in range(9)) for j in range(2)]
+            parts += [f"p{i} {tall[int(k)]} q{i}" for k in rng.choice(90, 1, replace=False)]
+            parts += [f"{footer} {i}"] * (i % 10 > 0) + [f"{rare} {i}"] * (i % 10 > 2)
+            body = "".join(f"<p>{t}</p>" for t in parts)
+            rows.append((i, "http://one.org/", f"<article>{body}</article>" if article else f"<body>{body}</body>"))
+        rows += [(300 + k, *rows[5][1:]) for k in range(40)] + [(400, "http://two.org/", rows[0][2])]
+        table = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = [{r["page_id"]: r["text"] for r in boilerplate.extract(table, shard=shard).collect()} for shard in (1000, 12)]
+        assert got[0] == got[1] and len(got[0]) == len(rows)  # one suffix array over the host, and 24 groups of it
+        assert all((footer in t) == (i == 400 and footer in rows[0][2]) for i, t in got[1].items())
+        if kinds == (False,):
+            assert any("t5x" in html and "t5x" not in got[1][i] for i, _, html in rows)
+        if True in kinds:
+            assert all(rare in got[1][i] for i, _, html in rows if "<article>" in html and rare in html) == (kinds == (True,))
