@@ -463,11 +463,11 @@ def extract(pages: DataFrame, long: int = LONG, share: float = COVERED, shard: i
     distinct = _distinct_pages(rows, long)
     repeats = _host_blocks(distinct.where("cells is null"))
     hits = _host_substrings(rows.where("groups is not null"), distinct, crowd, long)
-    some = F.size(F.coalesce("gone", F.array().cast("array<bigint>"))) > 0
+    none = F.array().cast("array<bigint>")  # empty lists, as null ones cost Spark's Arrow writer time with the square of a batch
     keys, taken = ["host", "named", "body"], ["page_id", "url", "text", "named", "hashes", "gone", "most"]
 
     def marked(own: DataFrame) -> DataFrame:
-        return join_stats(_parsed(own), repeats, keys, "left")
+        return join_stats(_parsed(own), repeats, keys, "left").withColumns({c: F.coalesce(c, none) for c in ("gone", "most")})
 
     def result(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
@@ -489,7 +489,7 @@ def extract(pages: DataFrame, long: int = LONG, share: float = COVERED, shard: i
                 ids.append(page_id)
                 urls.append(url)
                 # no hash is needed where nothing of the page is repeated
-                held.append((text, named, set(gone or ()), set(most or ()), hashes or [0] * (text.count("\n\n") + 1 if text else 0)))
+                held.append((text, named, set(gone), set(most), hashes or [0] * (text.count("\n\n") + 1 if text else 0)))
         if ids:
             yield group()
 
@@ -510,14 +510,14 @@ def extract(pages: DataFrame, long: int = LONG, share: float = COVERED, shard: i
                     np.add.at(inside, at + long, -1)
                     sums = np.concatenate([[0], np.cumsum(np.cumsum(inside[:-1]) > 0)])
                     covered = sums[words.docs[1:]] - sums[words.docs[:-1]] >= share * np.maximum(np.diff(words.docs), 1)
-                texts[i] = _kept(parts_, named[i], covered, hashes[i], set(gone[i] or ()), set(most[i] or ()))
+                texts[i] = _kept(parts_, named[i], covered, hashes[i], set(gone[i]), set(most[i]))
             yield result(ids, urls, texts)
 
     schema = "page_id long, url string, text string, n_chars long"
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     smaller = marked(rows.where("groups is null")).select(
-        "host", "page_id", "url", "text", "named", F.when(some, F.col("hashes")).alias("hashes"), "gone", "most")
+        "host", "page_id", "url", "text", "named", F.when(F.size("gone") > 0, F.col("hashes")).otherwise(none).alias("hashes"), "gone", "most")
     smaller = smaller.repartition(parts, "host").sortWithinPartitions("host").mapInArrow(run, schema)
     few = (hits.agg(F.sum(F.aggregate("hits", F.lit(0), lambda n, h: n + F.length(h)) + 32)).first()[0] or 0) <= BROADCAST_HITS
-    larger = marked(rows.where("groups is not null")).join(F.broadcast(hits) if few else hits, keys, "left")
+    larger = marked(rows.where("groups is not null")).join(F.broadcast(hits) if few else hits, keys, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<binary>")))
     return smaller.union(larger.select(*taken, "hits").mapInArrow(run_larger, schema))

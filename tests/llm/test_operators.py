@@ -578,3 +578,12 @@ def test_substrings_of_a_large_host_do_not_depend_on_how_its_pages_are_dealt(spa
             assert any("t5x" in html and "t5x" not in got[1][i] for i, _, html in rows)
         if True in kinds:
             assert all(rare in got[1][i] for i, _, html in rows if "<article>" in html and rare in html) == (kinds == (True,))
+
+
+def test_lists_of_windows_and_links(spark):
+    at = np.arange(5, dtype=np.int64)
+    rows = passages._open_rows(at, at, at)
+    assert all(rows.column(c).null_count == 0 for c in ("kinds", "here", "there")) and rows.column("rep").null_count == 5
+    links = spark.createDataFrame([(1, [7 << 32 | 2, 8 << 32 | 2, 9 << 32]), (1, [8 << 32 | 3]), (2, [5 << 32]), (3, [])], "doc long, here array<long>")
+    assert {r["doc"]: sorted(r["f"]) for r in passages._far(links).collect()} == {1: [7, 8]}
+    assert "explode" not in passages._far(links)._jdf.queryExecution().executedPlan().toString()
