@@ -587,3 +587,14 @@ def test_lists_of_windows_and_links(spark):
     links = spark.createDataFrame([(1, [7 << 32 | 2, 8 << 32 | 2, 9 << 32]), (1, [8 << 32 | 3]), (2, [5 << 32]), (3, [])], "doc long, here array<long>")
     assert {r["doc"]: sorted(r["f"]) for r in passages._far(links).collect()} == {1: [7, 8]}
     assert "explode" not in passages._far(links)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chains_of_few_and_of_many_runs(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a = rng.integers(0, 60, 80).astype("<u4")
+        b = np.delete(np.where(rng.random(80) < 0.1, 99, a), rng.integers(0, 80, 3)).astype("<u4")
+        one = passages._stops(a, b, 0.8, 80)
+        with monkeypatch.context() as m:
+            m.setattr(passages, "FEW_RUNS", 0)
+            assert passages._stops(a, b, 0.8, 80).tolist() == one.tolist()
