@@ -118,3 +118,9 @@ def test_tasks_of_component_sums_do_not_grow_with_the_table(spark, monkeypatch):
     rows = bindings.table(spark, "/root/testdata/sf0.01", "lineitem").count()
     assert rows >= 50_000 and c.rdd.getNumPartitions() >= rows // 1000
     assert c.agg(F.sum("area")).first()[0] > 0
+
+
+def test_shuffles_of_component_sums_stay_below_the_number_that_holds_rows(spark, monkeypatch):
+    from lumenfold.plans import bindings
+    monkeypatch.setattr(bindings, "TASK_ROWS", 100)
+    assert [bindings.parts_for(spark.range(n)) for n in (15_000, 30_000, 80_000, 120_001)] == [150, 200, 200, 301]
