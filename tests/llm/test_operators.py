@@ -598,3 +598,31 @@ def test_chains_of_few_and_of_many_runs(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(passages, "FEW_RUNS", 0)
             assert passages._stops(a, b, 0.8, 80).tolist() == one.tolist()
+
+
+def test_an_insertion_that_leaves_a_similarity_of_exactly_four_fifths_is_bridged():
+    b = np.arange(92, dtype=np.uint32)
+    a = np.concatenate([b[:46], np.arange(1000, 1023, dtype=np.uint32), b[46:]])
+    for here, there in ((20, 20), (100, 77)):
+        assert passages.align(a, b, [here], [there], 46, 0.8) == [(0, 115, 0, 92, 0.8)]
+        assert passages._passages(a, b, np.array([here]), np.array([there]), 46, 0.8)[0] == [(0, 115, 0, 92, 0.8)]
+
+
+def test_sequences_that_are_joined_once_give_the_passages_of_each_place_alone():
+    rng = np.random.default_rng(7)
+    joined = 0
+    for k in range(300):
+        kinds = 40 if k % 5 == 0 else 1 << 20  # few kinds: b repeats values, and is aligned place by place
+        b = rng.integers(0, kinds, 300).astype(np.uint32)
+        a = np.concatenate([rng.integers(0, 1 << 20, 60), b[30:250], rng.integers(0, 1 << 20, 60)]).astype(np.uint32)
+        for x in rng.integers(0, 300, int(rng.integers(0, 30))):
+            a = np.delete(a, x) if x % 3 == 0 else np.insert(a, x, 1 << 21) if x % 3 == 1 else np.where(np.arange(len(a)) == x, 1 << 22, a)
+        a = a.astype(np.uint32)
+        shared = [(x, y) for x, v in enumerate(a.tolist()) for y in np.flatnonzero(b == v).tolist()]
+        here, there = np.array([shared[i] for i in rng.integers(0, len(shared), 12)] + [(0, 0), (len(a), 5)]).T
+        found = passages.align(a, b, here.tolist(), there.tolist(), 46, 0.8)
+        open_ = passages._unsettled(a, b, here.tolist(), there.tolist(), 46, [p[:2] for p in found])
+        one, rest = passages._passages(a, b, here, there, 46, 0.8)
+        assert (one, rest.tolist()) == (found, open_.tolist())
+        joined += passages.join(a, b) is not None
+    assert 100 < joined < 300
