@@ -97,8 +97,8 @@ def rsf(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RSF_BINDING.items()), "region string, rsf double")
 
 
-def components(spark: SparkSession, sf: str) -> DataFrame:
-    """sample, layer, region, component, area."""
+def component_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """sample, layer, region, component and area of each line item, and the partitions of shuffles over them."""
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
                                              "l_partkey", "l_extendedprice")
     # line items hardly repeat a part, so sums ahead of the join would only hold all rows of a task in memory
@@ -106,7 +106,12 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
                    F.concat("l_returnflag", "l_linestatus").alias("region"), "l_partkey", F.col("l_extendedprice").alias("area"))
     n = parts_for(li)
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("component"))
-    named = li.repartition(n, "l_partkey").join(part.hint("shuffle_hash"), "l_partkey")
+    return li.repartition(n, "l_partkey").join(part.hint("shuffle_hash"), "l_partkey"), n
+
+
+def components(spark: SparkSession, sf: str) -> DataFrame:
+    """sample, layer, region, component, area."""
+    named, n = component_rows(spark, sf)
     # the sums, and windows over the components of a region, share this shuffle
     return named.repartition(n, "sample", "layer", "region").groupBy("sample", "layer", "region", "component").agg(F.sum("area").alias("area"))
 

@@ -10,7 +10,7 @@ from lumenfold.operators import correlate as co
 from lumenfold.operators import groups as gr
 from lumenfold.operators import ordering as od
 from lumenfold.operators import quant as qn
-from lumenfold.plans.bindings import (AREAS, COMPONENTS, PERF, RSF, RSF_BINDING, areas, components, performance, rsf,
+from lumenfold.plans.bindings import (AREAS, COMPONENTS, PERF, RSF, RSF_BINDING, areas, component_rows, components, performance, rsf,
                                       table)
 from lumenfold.plans.registry import query
 
@@ -168,7 +168,8 @@ def quant_distinct_samples(spark, sf):
 
 @query("quant_component_total_share", f"WITH {COMPONENTS} SELECT component, round(sum(area) / (SELECT sum(area) FROM comps) * 100, 6) + 0e0 AS share FROM comps GROUP BY 1")
 def quant_component_total_share(spark, sf):
-    t = components(spark, sf).groupBy("component").agg(F.sum("area").alias("area")).withColumn("_all", F.lit(1))
+    # line items are added up by component in the task that joins them, without a sum for each sample, layer and region
+    t = component_rows(spark, sf)[0].groupBy("component").agg(F.sum("area").alias("area")).withColumn("_all", F.lit(1))
     d = qn.component_share(t, ["_all"])
     return d.select("component", rnd("area_percent", 6).alias("share"))
 

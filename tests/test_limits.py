@@ -124,3 +124,11 @@ def test_shuffles_of_component_sums_stay_below_the_number_that_holds_rows(spark,
     from lumenfold.plans import bindings
     monkeypatch.setattr(bindings, "TASK_ROWS", 100)
     assert [bindings.parts_for(spark.range(n)) for n in (15_000, 30_000, 80_000, 120_001)] == [150, 200, 200, 301]
+
+
+def test_total_shares_need_no_sums_by_sample_and_layer(spark):
+    from lumenfold.plans import catalog
+
+    d = catalog.QUERIES["quant_component_total_share"](spark, "/root/testdata/sf0.001")
+    assert "layer" not in d._jdf.queryExecution().executedPlan().toString()
+    assert abs(sum(r["share"] for r in d.collect()) - 100) < 1e-4
